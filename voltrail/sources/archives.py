@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from voltrail.functions.keys import is_landing_key
 from voltrail.operators.dedup import flatten_last_writer_wins
 from voltrail.operators.members import rename_duplicate_members
 from voltrail.session import fan_out
-from voltrail.sources.containers import filesystem, open_archive
+from voltrail.sources.containers import CHUNK_BYTES, filesystem, open_archive
 
 FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 MANIFEST_SCHEMA = (
@@ -101,19 +102,20 @@ def extract_archives(manifest: DataFrame) -> DataFrame:
     """Content of every file member, one row per chunk; `part` numbers the chunks from 0."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        size = 0
         for reader, row in _opened(batches):
-            part = -1
-            for part, chunk in enumerate(reader.chunks(row.member_no, row.filename)):
-                yield pd.DataFrame(
-                    [(row.archive, row.member_no, row.filename, part, chunk)],
-                    columns=["archive", "member_no", "filename", "part", "content"],
-                )
-            if part < 0:
-                yield pd.DataFrame(
-                    [(row.archive, row.member_no, row.filename, 0, b"")],
-                    columns=["archive", "member_no", "filename", "part", "content"],
-                )
+            for part, chunk in enumerate(chain(reader.chunks(row.member_no, row.filename), [b""])):
+                if chunk or part == 0:
+                    rows.append((row.archive, row.member_no, row.filename, part, chunk))
+                    size += len(chunk)
+                if size >= CHUNK_BYTES or len(rows) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
+    columns = ["archive", "member_no", "filename", "part", "content"]
     return _spread(manifest).select("archive", "member_no", "filename").mapInPandas(read, CONTENT_SCHEMA)
 
 

@@ -188,7 +188,12 @@ def describe_table(spark: SparkSession, table: str, profile: bool = False) -> Da
     return listing.join(non_null_counts(spark.table(table)), "column_name")
 
 
-EXPORT_OPTIONS = {"csv": {"header": "true"}, "json": {"ignoreNullFields": "false"}, "parquet": {}}
+_INSTANT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+EXPORT_OPTIONS = {
+    "csv": {"header": "true", "escape": '"', **_INSTANT},
+    "json": {"ignoreNullFields": "false", **_INSTANT},
+    "parquet": {},
+}
 
 
 def export_query(df: DataFrame, path: str, fmt: str = "csv") -> None:
