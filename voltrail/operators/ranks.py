@@ -49,44 +49,43 @@ def number_within(
     return join_per_group(rows, starts, [*keys, "__block"]).select(*df.columns, number.alias(out))
 
 
-def grouped_quantiles(df: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of `value` per `key`, one column per entry.
-
-    The readings collapse to (key, distinct value, count) with a partial step
-    before the shuffle. Counts per unit-wide block of values give each block its
-    first rank, so ranks are then found block by block and no task needs all
-    values of a key.
+def ranked_values(df: DataFrame, key: str, value: str, block_width: float = 16.0) -> DataFrame:
+    """(key, `value`, `n`, `upto`, `total`): each distinct value of a key, how often it
+    occurs, how many values of the key are not greater, and how many there are.
+
+    The rows collapse to distinct values with a partial step before the shuffle.
+    Counts per block of values say where each block starts, so ranks are
+    found block by block and no task needs all values of a key. NULLs stay as one
+    value that occurs 0 times, so that every key is present.
     """
     number = F.col(value).cast("double")
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(key), number.alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__block", F.floor("__value"))
+        df.groupBy(F.col(key), number.alias("value"))
+        .agg(F.count(value).alias("n"))
+        .withColumn("__slot", F.struct(F.col(key), F.floor(F.col("value") / block_width).alias("block")))
     )
-    blocks = counted.groupBy(key, "__block").agg(F.sum("__n").alias("__block_n"))
-    whole = Window.partitionBy(key)
-    earlier = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("__slot").agg(F.sum("n").alias("__block_n"))
+    whole = Window.partitionBy(f"__slot.{key}")
+    earlier = whole.orderBy("__slot.block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
-        key, "__block",
+        "__slot",
         F.coalesce(F.sum("__block_n").over(earlier), F.lit(0)).alias("__start"),
-        F.sum("__block_n").over(whole).alias("__total"),
+        F.sum("__block_n").over(whole).alias("total"),
     )
-    upto = Window.partitionBy(key, "__block").orderBy("__value")
-    placed = join_per_group(counted, starts, [key, "__block"]).select(
-        key, "__value", "__total", "__n",
-        (F.sum("__n").over(upto) + F.col("__start")).alias("__upto"),
+    inside = Window.partitionBy("__slot").orderBy("value")
+    return counted.join(starts, "__slot").select(
+        key, "value", "n", (F.sum("n").over(inside) + F.col("__start")).alias("upto"), "total"
     )
 
+
+def quantile_of_ranked(q: float) -> Column:
+    """The interpolated quantile, as an aggregate over the `ranked_values` of a key."""
+    where = (F.col("total") - 1) * F.lit(float(q))
+
     def at(rank: Column) -> Column:
         """The value that covers the 0-based rank."""
-        covers = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
-        return F.max(F.when(covers, F.col("__value")))
-
-    picks = []
-    for name, q in quantiles.items():
-        where = (F.col("__total") - 1) * F.lit(float(q))
-        low, high = at(F.floor(where)), at(F.ceil(where))
-        part = F.max(where - F.floor(where))
-        picks.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(key).agg(*picks)
+        covers = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(covers, F.col("value")))
+
+    low, high = at(F.floor(where)), at(F.ceil(where))
+    return low + (high - low) * F.max(where - F.floor(where))

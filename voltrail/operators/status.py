@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltrail.functions.signals import date_of, low_power_count
 from voltrail.operators.filters import low_battery_alerts
-from voltrail.operators.ranks import first_per_group, grouped_quantiles, join_per_group
+from voltrail.operators.ranks import first_per_group, join_per_group, quantile_of_ranked, ranked_values
 
 
 def vehicle_latest_status(df: DataFrame) -> DataFrame:
@@ -25,13 +25,14 @@ def fuel_level_bands(df: DataFrame, width: int = 20, top: int = 80) -> DataFrame
 
 def speed_profile(df: DataFrame) -> DataFrame:
     """Exact min, mean, median, 95th percentile and maximum speed per vehicle."""
-    spread = df.groupBy("vin_id").agg(
-        F.min("display_speed").alias("min_speed"),
-        F.avg("display_speed").alias("avg_speed"),
-        F.max("display_speed").alias("max_speed"),
+    speeds = ranked_values(df, "vin_id", "display_speed")
+    return speeds.groupBy("vin_id").agg(
+        F.min("value").cast("float").alias("min_speed"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("avg_speed"),
+        F.max("value").cast("float").alias("max_speed"),
+        quantile_of_ranked(0.5).alias("p50_speed"),
+        quantile_of_ranked(0.95).alias("p95_speed"),
     )
-    ranks = grouped_quantiles(df, "vin_id", "display_speed", {"p50_speed": 0.5, "p95_speed": 0.95})
-    return join_per_group(spread, ranks, ["vin_id"], "left")
 
 
 def speed_profile_approx(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
