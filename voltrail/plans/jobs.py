@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.operators.cleaning import clean_readings
@@ -26,8 +26,9 @@ from voltrail.sources.archives import landed_archives, scan_archives, unpack_arc
 from voltrail.sources.readings import read_or_sample
 from voltrail.sources.tables import (
     append_readings,
+    days_of,
     ensure_namespace,
-    existing_on_days,
+    read_days,
     read_table,
     replace_table,
 )
@@ -49,14 +50,15 @@ def unpack_landing(spark: SparkSession, landing: str, processed: str) -> DataFra
 def load_readings(spark: SparkSession, processed: str, table_path: str) -> int:
     """Clean all drops and append the readings the table lacks; returns their number.
 
-    The number is observed during the write instead of counted before it.
     Running the job again adds nothing. A missing input folder loads the sample rows.
+    The counts before and after come from the Parquet footers of the touched days.
     """
     incoming = _typed(read_or_sample(spark, processed, clean_readings))
-    fresh = new_readings(incoming, existing_on_days(spark, table_path, incoming))
-    seen = Observation("load_readings")
-    append_readings(fresh.observe(seen, F.count(F.lit(1)).alias("rows")), table_path)
-    return seen.get["rows"]
+    days = days_of(incoming)
+    before = read_days(spark, table_path, days)
+    already = before.count()
+    append_readings(new_readings(incoming, before), table_path)
+    return read_days(spark, table_path, days).count() - already
 
 
 def _typed(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bz2
+import io
+import lzma
 import struct
 import zipfile
 import zlib
@@ -12,10 +15,16 @@ from typing import BinaryIO, NamedTuple
 from pyarrow import fs as pafs
 
 CHUNK_BYTES = 4 * 1024 * 1024
+PACKED_BYTES = 64 * 1024
 
 # Compression method codes of ZIP members.
 ZIP_METHODS = {0: "stored", 8: "deflate", 9: "deflate64", 12: "bzip2", 14: "lzma", 93: "zstd", 95: "xz"}
 
+_UNPACKERS = {
+    zipfile.ZIP_STORED: lambda: bytes,
+    zipfile.ZIP_DEFLATED: lambda: zlib.decompressobj(-zlib.MAX_WBITS).decompress,
+    zipfile.ZIP_BZIP2: lambda: bz2.BZ2Decompressor().decompress,
+}
 _LOCAL_HEADER = struct.Struct("<4s5H3I2H")
 
 
@@ -40,8 +49,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def open_path(uri: str) -> BinaryIO:
+    """A seekable file; a small one is read at once."""
     files, path = filesystem(uri)
-    return files.open_input_file(path)
+    source = files.open_input_file(path)
+    return io.BytesIO(source.read()) if source.size() <= CHUNK_BYTES else source
 
 
 class ZipReader:
@@ -62,31 +73,30 @@ class ZipReader:
             while chunk := member.read(CHUNK_BYTES):
                 yield chunk
 
-    def actual_crc(self, member_no: int, filename: str) -> int | None:
-        """CRC of the stored bytes, without the reader's own check; None if they cannot be unpacked."""
-        info = self.infos[member_no]
+    def packed(self, info: zipfile.ZipInfo) -> Iterator[bytes]:
+        """The member's bytes as stored; few at a time, as they may unpack to many."""
         self.source.seek(info.header_offset)
         header = _LOCAL_HEADER.unpack(self.source.read(_LOCAL_HEADER.size))
         self.source.seek(header[9] + header[10], 1)
-        if info.compress_type == zipfile.ZIP_DEFLATED:
-            inflate = zlib.decompressobj(-zlib.MAX_WBITS).decompress
-        elif info.compress_type == zipfile.ZIP_STORED:
-            inflate = bytes
-        else:
+        left = info.compress_size
+        while left > 0 and (piece := self.source.read(min(left, PACKED_BYTES))):
+            left -= len(piece)
+            yield piece
+
+    def actual_crc(self, member_no: int, filename: str) -> int | None:
+        """CRC of the content without the reader's own check; None if it cannot be unpacked."""
+        info = self.infos[member_no]
+        if info.compress_type not in _UNPACKERS:
             try:
                 return _crc(self.chunks(member_no, filename))
-            except (zipfile.BadZipFile, EOFError):
+            except (zipfile.BadZipFile, lzma.LZMAError, EOFError):
+                return None
+        unpack, crc = _UNPACKERS[info.compress_type](), 0
+        for piece in self.packed(info):
+            try:
+                crc = zlib.crc32(unpack(piece), crc)
+            except (zlib.error, OSError, EOFError):
                 return None
-        left, crc = info.compress_size, 0
-        try:
-            while left > 0:
-                packed = self.source.read(min(left, CHUNK_BYTES))
-                if not packed:
-                    return None
-                left -= len(packed)
-                crc = zlib.crc32(inflate(packed), crc)
-        except zlib.error:
-            return None
         return crc
 
 

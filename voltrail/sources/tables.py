@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,16 +57,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return read_if_there(spark, path, TABLE_SCHEMA)
 
 
-def existing_on_days(spark: SparkSession, table_path: str, df: DataFrame) -> DataFrame:
-    """Rows of the table on the days that `df` has readings for.
+def days_of(df: DataFrame) -> list[date | None]:
+    """The distinct days of the readings: a list that the calendar bounds."""
+    return [row.day for row in df.select(date_of().alias("day")).distinct().collect()]
 
-    The list of days is bounded by the calendar, and as literals it prunes partitions.
-    """
-    days = [row.day for row in df.select(F.to_date("ts").alias("day")).distinct().collect()]
+
+def read_days(spark: SparkSession, path: str, days: Sequence[date | None]) -> DataFrame:
+    """The table's rows on these days; as literals they prune partitions."""
     touched = F.col(DAY).isin([d for d in days if d is not None])
     if None in days:
         touched = touched | F.col(DAY).isNull()
-    return read_table(spark, table_path).where(touched).drop(DAY)
+    return read_table(spark, path).where(touched).drop(DAY)
 
 
 def create_readings_table(spark: SparkSession, table: str, path: str | None = None) -> None:

@@ -10,7 +10,7 @@ from voltrail.operators.dedup import new_readings
 from voltrail.operators.filters import low_battery_alerts
 from voltrail.schema import RAW_SCHEMA, READINGS_SCHEMA
 from voltrail.sources.archives import FILES_SCHEMA, UNPACK_SCHEMA, landed_archives, unpack_archives
-from voltrail.sources.tables import append_readings, existing_on_days
+from voltrail.sources.tables import append_readings, days_of, read_days
 from voltrail.streaming.incremental import read_batches, start_batches, start_each
 
 
@@ -52,7 +52,7 @@ def stream_dedup_ingest(stream: DataFrame, table_path: str, checkpoint: str, **o
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        existing = existing_on_days(batch.sparkSession, table_path, batch)
+        existing = read_days(batch.sparkSession, table_path, days_of(batch))
         append_readings(new_readings(batch, existing), table_path)
 
     return start_each(stream, write, checkpoint, **options)
