@@ -28,12 +28,14 @@ def trend_last_24h(df: DataFrame, hours: int = 24) -> DataFrame:
     """The hourly trend over the last `hours` before the newest reading.
 
     The newest instant is a scalar subquery: Spark runs it first, and the result
-    reaches the scan as a literal; `ts_day`, when present, prunes with it.
+    reaches the scan as a literal. On a day-partitioned table it is looked up in the
+    newest partition only, and the trend reads no earlier partition than it needs.
     """
-    newest = df.agg(F.max("ts")).scalar()
-    start = newest - F.expr(f"INTERVAL {int(hours)} HOURS")
+    by_day = "ts_day" in df.columns
+    latest = df.where(F.col("ts_day") == df.agg(F.max("ts_day")).scalar()) if by_day else df
+    start = latest.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {int(hours)} HOURS")
     recent = df.where(F.col("ts") > start)
-    if "ts_day" in df.columns:
+    if by_day:
         recent = recent.where(F.col("ts_day") >= F.to_date(start))
     return trend_hourly_fuel_speed(recent)
 
