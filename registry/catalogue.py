@@ -5,6 +5,7 @@ from __future__ import annotations
 from registry import (
     archive_queries,
     cleaning_queries,
+    dashboard_queries,
     feature_queries,
     rollup_queries,
     stream_queries,
@@ -12,7 +13,8 @@ from registry import (
 )
 from registry.inputs import Query
 
-MODULES = (rollup_queries, feature_queries, cleaning_queries, table_queries, archive_queries, stream_queries)
+MODULES = (rollup_queries, feature_queries, cleaning_queries, table_queries, archive_queries, stream_queries,
+           dashboard_queries)
 
 
 def all_queries() -> dict[str, Query]:

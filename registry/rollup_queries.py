@@ -63,37 +63,17 @@ SELECT clean_mode, COUNT(vin_id) AS vehicle_records,
 }
 
 
-def _add_averages(key: str, dim: str | None, *columns: str) -> None:
-    """A dashboard average by its key: `AVG` of the columns over all rows, per vehicle or per hour."""
+def average_sql(dim: str | None, columns: tuple[str, ...]) -> str:
+    """`AVG` of the columns over all rows, per vehicle or per hour."""
     dims = {None: "", "vin_id": "vin_id, ", "hour": "date_trunc('hour', ts) AS hour, "}[dim]
     averages = ", ".join(
         "ROUND(AVG(CAST(display_speed AS DOUBLE)), 6) AS avg_display_speed"
         if c == M.SPEED else f"AVG({c}) AS avg_{c}"
         for c in columns
     )
-    group = " GROUP BY 1" if dim else ""
-    to_round = [f"avg_{M.SPEED}"] if M.SPEED in columns else []
-    QUERIES[key] = Query(
-        on_readings(getattr(M, key), *to_round), f"{READINGS}SELECT {dims}{averages} FROM readings{group}"
-    )
+    return f"SELECT {dims}{averages} FROM readings" + (" GROUP BY 1" if dim else "")
 
 
-_add_averages("kpi_avg_fuel", None, M.FUEL)
-_add_averages("kpi_avg_speed", None, M.SPEED)
-_add_averages("kpi_avg_soc", None, M.SOC)
-_add_averages("kpi_avg_charging", None, M.CHARGING)
-_add_averages("by_vehicle_fuel", "vin_id", M.FUEL)
-_add_averages("by_vehicle_speed", "vin_id", M.SPEED)
-_add_averages("by_vehicle_soc", "vin_id", M.SOC)
-_add_averages("by_vehicle_charging", "vin_id", M.CHARGING)
-_add_averages("by_vehicle_cltc_wltc", "vin_id", M.CLTC, M.WLTC)
-_add_averages("scatter_speed_fuel", "vin_id", M.SPEED, M.FUEL)
-_add_averages("table_vehicle_fuel_speed", "vin_id", M.FUEL, M.SPEED)
-_add_averages("table_vehicle_fuel_speed_charging", "vin_id", M.FUEL, M.SPEED, M.CHARGING)
-_add_averages("table_vehicle_soc_speed_charging", "vin_id", M.SOC, M.SPEED, M.CHARGING)
-_add_averages("table_vehicle_soc_speed_charging_cltc", "vin_id", M.SOC, M.SPEED, M.CHARGING, M.CLTC)
-_add_averages("trend_hourly_fuel_speed", "hour", M.FUEL, M.SPEED)
-_add_averages("trend_hourly_fuel", "hour", M.FUEL)
-_add_averages("trend_hourly_speed", "hour", M.SPEED)
-_add_averages("trend_hourly_soc", "hour", M.SOC)
-_add_averages("trend_hourly_charging", "hour", M.CHARGING)
+for _key, (_dim, _columns) in M.AVERAGES.items():
+    _round = [f"avg_{M.SPEED}"] if M.SPEED in _columns else []
+    QUERIES[_key] = Query(on_readings(M.QUERIES[_key], *_round), READINGS + average_sql(_dim, _columns))

@@ -24,7 +24,7 @@ def test_mode_share_without_any_vehicle(spark):
 
 def test_average_counts_zeros(spark):
     df = make_readings(spark, {"charging_time_remain_minute": 0}, {"charging_time_remain_minute": 10})
-    assert as_dicts(M.kpi_avg_charging(df)) == [{"avg_charging_time_remain_minute": 5.0}]
+    assert as_dicts(M.QUERIES["kpi_avg_charging"](df)) == [{"avg_charging_time_remain_minute": 5.0}]
 
 
 def test_day_over_day(spark):
@@ -35,12 +35,12 @@ def test_day_over_day(spark):
 
 def test_empty_input(spark):
     empty = make_readings(spark, {}).where("false")
-    assert as_dicts(M.kpi_avg_fuel(empty)) == [{"avg_fuel_percentage": None}]
-    assert as_dicts(M.by_vehicle_fuel(empty)) == []
+    assert as_dicts(M.QUERIES["kpi_avg_fuel"](empty)) == [{"avg_fuel_percentage": None}]
+    assert as_dicts(M.QUERIES["by_vehicle_fuel"](empty)) == []
 
 
 def test_scan_reads_only_the_columns_in_use(spark):
-    plan = plan_of(M.by_vehicle_fuel(readings(spark, SMALL)))
+    plan = plan_of(M.QUERIES["by_vehicle_fuel"](readings(spark, SMALL)))
     schema = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "user_id" in schema and "props" in schema
     assert "event_type" not in schema and "value" not in schema

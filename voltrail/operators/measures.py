@@ -17,21 +17,43 @@ CLTC = "fuel_cltc_mileage"
 WLTC = "fuel_wltc_mileage"
 
 
+# Dashboard averages: query -> (dimension, averaged columns).
+AVERAGES: dict[str, tuple[str | None, tuple[str, ...]]] = {
+    "kpi_avg_fuel": (None, (FUEL,)),
+    "kpi_avg_speed": (None, (SPEED,)),
+    "kpi_avg_soc": (None, (SOC,)),
+    "kpi_avg_charging": (None, (CHARGING,)),
+    "by_vehicle_fuel": ("vin_id", (FUEL,)),
+    "by_vehicle_speed": ("vin_id", (SPEED,)),
+    "by_vehicle_soc": ("vin_id", (SOC,)),
+    "by_vehicle_charging": ("vin_id", (CHARGING,)),
+    "by_vehicle_cltc_wltc": ("vin_id", (CLTC, WLTC)),
+    "scatter_speed_fuel": ("vin_id", (SPEED, FUEL)),
+    "table_vehicle_fuel_speed": ("vin_id", (FUEL, SPEED)),
+    "table_vehicle_fuel_speed_charging": ("vin_id", (FUEL, SPEED, CHARGING)),
+    "table_vehicle_soc_speed_charging": ("vin_id", (SOC, SPEED, CHARGING)),
+    "table_vehicle_soc_speed_charging_cltc": ("vin_id", (SOC, SPEED, CHARGING, CLTC)),
+    "trend_hourly_fuel_speed": ("hour", (FUEL, SPEED)),
+    "trend_hourly_fuel": ("hour", (FUEL,)),
+    "trend_hourly_speed": ("hour", (SPEED,)),
+    "trend_hourly_soc": ("hour", (SOC,)),
+    "trend_hourly_charging": ("hour", (CHARGING,)),
+}
+
+
 def measure(df: DataFrame, averages: Sequence[str], dims: Sequence[str | Column] = ()) -> DataFrame:
     """`AVG` of each named column by `dims`; the result columns are `avg_<name>`."""
     return df.groupBy(*dims).agg(*[F.avg(c).alias(f"avg_{c}") for c in averages])
 
 
-def fleet_average(*columns: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: measure(df, columns)
-
+def average(key: str) -> Callable[[DataFrame], DataFrame]:
+    dim, columns = AVERAGES[key]
 
-def by_vehicle(*columns: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: measure(df, columns, ["vin_id"])
+    def query(df: DataFrame) -> DataFrame:
+        dims = {None: [], "vin_id": ["vin_id"], "hour": [hour_of().alias("hour")]}[dim]
+        return measure(df, columns, dims)
 
-
-def hourly_trend(*columns: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: measure(df, columns, [hour_of().alias("hour")])
+    return query
 
 
 def kpi_active_vehicles(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -64,24 +86,12 @@ def kpi_active_vehicles_diff(df: DataFrame) -> DataFrame:
     return daily.withColumn("difference", F.col("active_vehicles") - before)
 
 
-kpi_avg_fuel = fleet_average(FUEL)
-kpi_avg_speed = fleet_average(SPEED)
-kpi_avg_soc = fleet_average(SOC)
-kpi_avg_charging = fleet_average(CHARGING)
-
-by_vehicle_fuel = by_vehicle(FUEL)
-by_vehicle_speed = by_vehicle(SPEED)
-by_vehicle_soc = by_vehicle(SOC)
-by_vehicle_charging = by_vehicle(CHARGING)
-by_vehicle_cltc_wltc = by_vehicle(CLTC, WLTC)
-scatter_speed_fuel = by_vehicle(SPEED, FUEL)
-table_vehicle_fuel_speed = by_vehicle(FUEL, SPEED)
-table_vehicle_fuel_speed_charging = by_vehicle(FUEL, SPEED, CHARGING)
-table_vehicle_soc_speed_charging = by_vehicle(SOC, SPEED, CHARGING)
-table_vehicle_soc_speed_charging_cltc = by_vehicle(SOC, SPEED, CHARGING, CLTC)
-
-trend_hourly_fuel_speed = hourly_trend(FUEL, SPEED)
-trend_hourly_fuel = hourly_trend(FUEL)
-trend_hourly_speed = hourly_trend(SPEED)
-trend_hourly_soc = hourly_trend(SOC)
-trend_hourly_charging = hourly_trend(CHARGING)
+QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    **{key: average(key) for key in AVERAGES},
+    "kpi_active_vehicles": kpi_active_vehicles,
+    "gauge_avg_charging": gauge_avg_charging,
+    "mode_distribution": mode_distribution,
+    "kpi_active_vehicles_diff": kpi_active_vehicles_diff,
+}
+
+trend_hourly_fuel_speed = average("trend_hourly_fuel_speed")
