@@ -213,3 +213,29 @@ def test_filesystem_of_spark_paths():
 def test_work_paths_differ(spark):
     assert work_path(spark, "x") != work_path(spark, "x")
     assert work_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_damaged_member_fails_extraction(spark, tmp_path):
+    path = make_zip(tmp_path / "raw" / "c.zip", [("bad", b"payload")], zipfile.ZIP_STORED)
+    path.write_bytes(path.read_bytes().replace(b"payload", b"paYload", 1))
+    with pytest.raises(Exception, match="bad checksum"):
+        extract_archives(archive_manifest(scan_archives(spark, str(tmp_path)))).collect()
+
+
+def test_members_are_read_without_the_directory(tmp_path):
+    from voltrail.sources.containers import checked_chunks, open_archive
+
+    path = make_zip(tmp_path / "c.zip", [("a", b"first"), ("b", b"second" * 9)])
+    members = list(open_archive(str(path)).members())
+    reader = open_archive(str(path))
+    assert b"".join(checked_chunks(reader, members[1])) == b"second" * 9
+    assert "archive" not in vars(reader)
+
+
+def test_a_bomb_is_unpacked_in_pieces(tmp_path):
+    from voltrail.sources.containers import open_archive
+
+    path = make_zip(tmp_path / "c.zip", [("zeros", bytes(40 * 1024 * 1024))])
+    reader = open_archive(str(path))
+    sizes = [len(p) for p in reader.content(next(reader.members()))]
+    assert sum(sizes) == 40 * 1024 * 1024 and max(sizes) <= CHUNK_BYTES

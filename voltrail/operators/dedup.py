@@ -11,12 +11,16 @@ from voltrail.functions.keys import basename
 from voltrail.operators.ranks import first_per_group
 
 
+def whole_row(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def row_identity(df: DataFrame, key: str = "__primary_key") -> Column:
     """The key, or the whole row as JSON where the key is NULL.
 
     Rows without a key are not copies of one another unless they agree in every column.
     """
-    return F.coalesce(F.col(key), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return F.coalesce(F.col(key), whole_row(df))
 
 
 def dedup_readings(df: DataFrame, key: str = "__primary_key") -> DataFrame:
@@ -26,8 +30,15 @@ def dedup_readings(df: DataFrame, key: str = "__primary_key") -> DataFrame:
 
 
 def new_readings(incoming: DataFrame, existing: DataFrame, key: str = "__primary_key") -> DataFrame:
-    """Incoming rows, each once, whose key is not in `existing` yet."""
-    seen = existing.select(row_identity(existing.select(*incoming.columns), key).alias("__seen"))
+    """Incoming rows, each once, whose key is not in `existing` yet.
+
+    The scan for existing keys reads the key column only. Rows without a key are
+    looked up in a scan of their own, which skips files that have none.
+    """
+    existing = existing.select(*incoming.columns)
+    seen = existing.where(F.col(key).isNotNull()).select(F.col(key).alias("__seen")).union(
+        existing.where(F.col(key).isNull()).select(whole_row(existing).alias("__seen"))
+    )
     fresh = dedup_readings(incoming, key)
     return fresh.join(seen, row_identity(incoming, key) == F.col("__seen"), "left_anti")
 

@@ -1,8 +1,8 @@
 """Archives as tables: manifest, content, checksum test and unpacking.
 
 The manifest reads only each archive's directory. Every later step spreads the
-members, not the archives, over the tasks and opens the archive at the member it
-wants, so one huge archive keeps the whole cluster busy. Content moves in chunks
+members, not the archives, over the tasks, and reads a member at the offset that
+the manifest gives, so one huge archive keeps the whole cluster busy. Content moves in chunks
 of `CHUNK_BYTES`, and no row or task holds a whole archive.
 """
 
@@ -20,13 +20,20 @@ from voltrail.functions.keys import is_landing_key
 from voltrail.operators.dedup import flatten_last_writer_wins
 from voltrail.operators.members import rename_duplicate_members
 from voltrail.session import fan_out
-from voltrail.sources.containers import CHUNK_BYTES, filesystem, open_archive
+from voltrail.sources.containers import (
+    CHUNK_BYTES,
+    Member,
+    actual_crc,
+    checked_chunks,
+    filesystem,
+    open_archive,
+)
 
 FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 MANIFEST_SCHEMA = (
     "archive string, archive_modified timestamp, archive_bytes bigint, member_no bigint, filename string, "
     "compressed bigint, uncompressed bigint, is_directory boolean, modified timestamp_ntz, crc32 bigint, "
-    "method string, error string"
+    "method string, offset bigint, error string"
 )
 CONTENT_SCHEMA = "archive string, member_no bigint, filename string, part bigint, content binary"
 CHECK_SCHEMA = "archive string, member_no bigint, filename string, expected_crc32 bigint, actual_crc32 bigint, ok boolean"
@@ -62,7 +69,7 @@ def archive_manifest(files: DataFrame, errors: str = "raise") -> DataFrame:
                 except Exception as broken:
                     if errors == "raise":
                         raise RuntimeError(f"cannot read archive {path}: {broken}") from broken
-                    rows.append((path, changed, length, *[None] * 8, str(broken)))
+                    rows.append((path, changed, length, *[None] * len(Member._fields), str(broken)))
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
@@ -89,13 +96,13 @@ def _spread(manifest: DataFrame) -> DataFrame:
 
 
 def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(reader, row) for each member, opening an archive once per run of its members."""
+    """(reader, member, row) for each member; an archive is opened once per run of its members."""
     current, reader = None, None
     for batch in batches:
         for row in batch.itertuples(index=False):
             if row.archive != current:
                 current, reader = row.archive, open_archive(row.archive)
-            yield reader, row
+            yield reader, Member(*[getattr(row, f) for f in Member._fields]), row
 
 
 def extract_archives(manifest: DataFrame) -> DataFrame:
@@ -104,8 +111,8 @@ def extract_archives(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         size = 0
-        for reader, row in _opened(batches):
-            for part, chunk in enumerate(chain(reader.chunks(row.member_no, row.filename), [b""])):
+        for reader, member, row in _opened(batches):
+            for part, chunk in enumerate(chain(checked_chunks(reader, member), [b""])):
                 if chunk or part == 0:
                     rows.append((row.archive, row.member_no, row.filename, part, chunk))
                     size += len(chunk)
@@ -116,7 +123,7 @@ def extract_archives(manifest: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["archive", "member_no", "filename", "part", "content"]
-    return _spread(manifest).select("archive", "member_no", "filename").mapInPandas(read, CONTENT_SCHEMA)
+    return _spread(manifest).select("archive", *Member._fields).mapInPandas(read, CONTENT_SCHEMA)
 
 
 def verify_member_crc(manifest: DataFrame) -> DataFrame:
@@ -124,8 +131,8 @@ def verify_member_crc(manifest: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        for reader, row in _opened(batches):
-            actual = reader.actual_crc(row.member_no, row.filename)
+        for reader, member, row in _opened(batches):
+            actual = actual_crc(reader, member)
             rows.append((row.archive, row.member_no, row.filename, row.crc32, actual, actual == row.crc32))
             if len(rows) >= _ROWS_PER_BATCH:
                 yield pd.DataFrame(rows, columns=columns)
@@ -134,7 +141,7 @@ def verify_member_crc(manifest: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["archive", "member_no", "filename", "expected_crc32", "actual_crc32", "ok"]
-    return _spread(manifest).select("archive", "member_no", "filename", "crc32").mapInPandas(check, CHECK_SCHEMA)
+    return _spread(manifest).select("archive", *Member._fields).mapInPandas(check, CHECK_SCHEMA)
 
 
 def unpack_plan(manifest: DataFrame, out: str) -> DataFrame:
@@ -155,14 +162,14 @@ def unpack_archives(files: DataFrame, out: str) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
-        for reader, row in _opened(batches):
+        for reader, member, row in _opened(batches):
             store, target = filesystem(row.target)
             folder, name = target.rsplit("/", 1)
             store.create_dir(folder, recursive=True)
             partial = f"{folder}/_writing-{uuid.uuid4().hex}"
             size = 0
             with store.open_output_stream(partial) as sink:
-                for chunk in reader.chunks(row.member_no, row.filename):
+                for chunk in checked_chunks(reader, member):
                     sink.write(chunk)
                     size += len(chunk)
             store.move(partial, f"{folder}/{name}")
@@ -175,7 +182,7 @@ def unpack_archives(files: DataFrame, out: str) -> DataFrame:
 
     columns = ["archive", "member_no", "filename", "target", "bytes"]
     winners = unpack_plan(archive_manifest(files), out)
-    return _spread(winners).select("archive", "member_no", "filename", "target").mapInPandas(write, UNPACK_SCHEMA)
+    return _spread(winners).select("archive", *Member._fields, "target").mapInPandas(write, UNPACK_SCHEMA)
 
 
 def landed_archives(files: DataFrame) -> DataFrame:

@@ -10,22 +10,23 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
+from functools import cached_property
 from typing import BinaryIO, NamedTuple
 
+import pandas as pd
 from pyarrow import fs as pafs
 
 CHUNK_BYTES = 4 * 1024 * 1024
-PACKED_BYTES = 64 * 1024
 
 # Compression method codes of ZIP members.
 ZIP_METHODS = {0: "stored", 8: "deflate", 9: "deflate64", 12: "bzip2", 14: "lzma", 93: "zstd", 95: "xz"}
 
-_UNPACKERS = {
-    zipfile.ZIP_STORED: lambda: bytes,
-    zipfile.ZIP_DEFLATED: lambda: zlib.decompressobj(-zlib.MAX_WBITS).decompress,
-    zipfile.ZIP_BZIP2: lambda: bz2.BZ2Decompressor().decompress,
-}
 _LOCAL_HEADER = struct.Struct("<4s5H3I2H")
+_ENCRYPTED = 0x1
+
+
+class BadContent(Exception):
+    """A member whose bytes cannot be unpacked."""
 
 
 class Member(NamedTuple):
@@ -37,6 +38,7 @@ class Member(NamedTuple):
     modified: datetime | None
     crc32: int | None
     method: str
+    offset: int
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -55,49 +57,77 @@ def open_path(uri: str) -> BinaryIO:
     return io.BytesIO(source.read()) if source.size() <= CHUNK_BYTES else source
 
 
+def _inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    unpacker = zlib.decompressobj(-zlib.MAX_WBITS)
+    for piece in pieces:
+        while piece:
+            yield unpacker.decompress(piece, CHUNK_BYTES)
+            piece = unpacker.unconsumed_tail
+    yield unpacker.flush()
+
+
+def _bunzip(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    unpacker = bz2.BZ2Decompressor()
+
+    def unpack(piece: bytes) -> bytes:
+        try:
+            return unpacker.decompress(piece, CHUNK_BYTES)
+        except OSError as broken:
+            raise BadContent(str(broken)) from broken
+
+    for piece in pieces:
+        yield unpack(piece)
+        while not unpacker.needs_input and not unpacker.eof:
+            yield unpack(b"")
+
+
+_UNPACKERS = {"stored": iter, "deflate": _inflate, "bzip2": _bunzip}
+
+
 class ZipReader:
+    """Lists members from the archive's directory; reads a member at its offset without it."""
+
     def __init__(self, source: BinaryIO) -> None:
         self.source = source
-        self.archive = zipfile.ZipFile(source)
-        self.infos = self.archive.infolist()
+
+    @cached_property
+    def archive(self) -> zipfile.ZipFile:
+        return zipfile.ZipFile(self.source)
 
     def members(self) -> Iterator[Member]:
-        for no, info in enumerate(self.infos):
+        for no, info in enumerate(self.archive.infolist()):
             yield Member(
-                no, info.filename, info.compress_size, info.file_size, info.is_dir(),
-                _instant(info.date_time), info.CRC, ZIP_METHODS.get(info.compress_type, str(info.compress_type)),
+                no, info.filename, info.compress_size, info.file_size, info.is_dir(), _instant(info.date_time),
+                info.CRC, ZIP_METHODS.get(info.compress_type, str(info.compress_type)), info.header_offset,
             )
 
-    def chunks(self, member_no: int, filename: str) -> Iterator[bytes]:
-        with self.archive.open(self.infos[member_no]) as member:
-            while chunk := member.read(CHUNK_BYTES):
-                yield chunk
-
-    def packed(self, info: zipfile.ZipInfo) -> Iterator[bytes]:
-        """The member's bytes as stored; few at a time, as they may unpack to many."""
-        self.source.seek(info.header_offset)
+    def _packed(self, member: Member) -> Iterator[bytes]:
+        self.source.seek(member.offset)
         header = _LOCAL_HEADER.unpack(self.source.read(_LOCAL_HEADER.size))
+        if header[2] & _ENCRYPTED:
+            raise BadContent("the member is encrypted")
         self.source.seek(header[9] + header[10], 1)
-        left = info.compress_size
-        while left > 0 and (piece := self.source.read(min(left, PACKED_BYTES))):
+        left = member.compressed
+        while left > 0 and (piece := self.source.read(min(left, CHUNK_BYTES))):
             left -= len(piece)
             yield piece
 
-    def actual_crc(self, member_no: int, filename: str) -> int | None:
-        """CRC of the content without the reader's own check; None if it cannot be unpacked."""
-        info = self.infos[member_no]
-        if info.compress_type not in _UNPACKERS:
+    def content(self, member: Member) -> Iterator[bytes]:
+        """The unpacked bytes in pieces, checksum not looked at."""
+        if member.method not in _UNPACKERS:
+            with self.archive.open(self.archive.infolist()[member.member_no]) as opened:
+                while piece := opened.read(CHUNK_BYTES):
+                    yield piece
+            return
+        pieces = _UNPACKERS[member.method](self._packed(member))
+        while True:
             try:
-                return _crc(self.chunks(member_no, filename))
-            except (zipfile.BadZipFile, lzma.LZMAError, EOFError):
-                return None
-        unpack, crc = _UNPACKERS[info.compress_type](), 0
-        for piece in self.packed(info):
-            try:
-                crc = zlib.crc32(unpack(piece), crc)
-            except (zlib.error, OSError, EOFError):
-                return None
-        return crc
+                piece = next(pieces, None)
+            except (zlib.error, EOFError, ValueError) as broken:
+                raise BadContent(str(broken)) from broken
+            if piece is None:
+                return
+            yield piece
 
 
 class SevenZipReader:
@@ -115,20 +145,14 @@ class SevenZipReader:
         for no, info in enumerate(self.archive.list()):
             yield Member(
                 no, info.filename, info.compressed or 0, info.uncompressed, info.is_directory,
-                info.creationtime.replace(tzinfo=None) if info.creationtime else None, info.crc32, method,
+                info.creationtime.replace(tzinfo=None) if info.creationtime else None, info.crc32, method, 0,
             )
 
-    def chunks(self, member_no: int, filename: str) -> Iterator[bytes]:
+    def content(self, member: Member) -> Iterator[bytes]:
         self.archive.reset()
-        content = self.archive.read([filename])[filename]
-        while chunk := content.read(CHUNK_BYTES):
-            yield chunk
-
-    def actual_crc(self, member_no: int, filename: str) -> int | None:
-        try:
-            return _crc(self.chunks(member_no, filename))
-        except Exception:
-            return None
+        unpacked = self.archive.read([member.filename])[member.filename]
+        while piece := unpacked.read(CHUNK_BYTES):
+            yield piece
 
 
 def _instant(parts: tuple[int, ...]) -> datetime | None:
@@ -139,13 +163,32 @@ def _instant(parts: tuple[int, ...]) -> datetime | None:
         return None
 
 
-def _crc(chunks: Iterator[bytes]) -> int:
+def actual_crc(reader: ZipReader | SevenZipReader, member: Member) -> int | None:
+    """CRC of the unpacked bytes; None if they cannot be unpacked."""
     crc = 0
-    for chunk in chunks:
-        crc = zlib.crc32(chunk, crc)
+    try:
+        for piece in reader.content(member):
+            crc = zlib.crc32(piece, crc)
+    except (BadContent, zipfile.BadZipFile, lzma.LZMAError, EOFError):
+        return None
     return crc
 
 
+def checked_chunks(reader: ZipReader | SevenZipReader, member: Member) -> Iterator[bytes]:
+    """The content in chunks of `CHUNK_BYTES`; fails at the end if the checksum is not the member's."""
+    crc, held = 0, bytearray()
+    for piece in reader.content(member):
+        crc = zlib.crc32(piece, crc)
+        held += piece
+        while len(held) >= CHUNK_BYTES:
+            yield bytes(held[:CHUNK_BYTES])
+            del held[:CHUNK_BYTES]
+    if held:
+        yield bytes(held)
+    if not pd.isna(member.crc32) and crc != member.crc32:
+        raise BadContent(f"bad checksum of {member.filename}")
+
+
 # Leading bytes -> reader. The content decides, not the file's suffix.
 READERS = {
     b"PK\x03\x04": ZipReader,
