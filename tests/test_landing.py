@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helpers import as_dicts, plan_of
 from voltrail.functions.content import MAGIC_NUMBERS, digests
 from voltrail.operators import members as M
-from voltrail.session import work_path
+from voltrail.session import qualified, work_path
 from voltrail.sources.archives import (
     archive_manifest,
     archive_summary,
@@ -210,6 +210,11 @@ def test_filesystem_of_spark_paths():
         assert filesystem(uri)[1] == "/a/b"
 
 
+def test_paths_get_a_scheme(spark):
+    assert qualified(spark, "/a/b") == "file:/a/b"
+    assert qualified(spark, "hdfs://host/a") == "hdfs://host/a" and qualified(spark, "file:/a") == "file:/a"
+
+
 def test_work_paths_differ(spark):
     assert work_path(spark, "x") != work_path(spark, "x")
     assert work_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

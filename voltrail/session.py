@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, so that Spark and Python tasks mean the same file system."""
+    if ":" in path.split("/", 1)[0]:
+        return path
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other call uses."""
     return f"{shared_dir(spark)}/voltrail/{label}-{uuid.uuid4().hex}"

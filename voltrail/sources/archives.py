@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voltrail.functions.keys import is_landing_key
 from voltrail.operators.dedup import flatten_last_writer_wins
 from voltrail.operators.members import rename_duplicate_members
-from voltrail.session import fan_out
+from voltrail.session import fan_out, qualified
 from voltrail.sources.containers import (
     CHUNK_BYTES,
     Member,
@@ -181,7 +181,7 @@ def unpack_archives(files: DataFrame, out: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["archive", "member_no", "filename", "target", "bytes"]
-    winners = unpack_plan(archive_manifest(files), out)
+    winners = unpack_plan(archive_manifest(files), qualified(files.sparkSession, out))
     return _spread(winners).select("archive", *Member._fields, "target").mapInPandas(write, UNPACK_SCHEMA)
 
 
