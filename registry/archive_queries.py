@@ -121,12 +121,13 @@ LANG_MAGIC = {"en": MAGIC_NUMBERS["7z"], "fr": MAGIC_NUMBERS["zip"], "de": MAGIC
 
 QUERIES = {
     "extract_archives": Query(
-        _extract, MEMBERS_SQL + "SELECT archive, member_no, filename, 0 AS part, bytes, md5(text) AS md5 FROM m"
+        _extract, MEMBERS_SQL + "SELECT archive, member_no, filename, CAST(0 AS BIGINT) AS part, bytes, md5(text) AS md5 FROM m"
     ),
     "archive_manifest": Query(
         _manifest,
         MEMBERS_SQL.rstrip() + CRC_SQL + """
-SELECT archive, SUM(30 + 46 + 2 * strlen(filename) + bytes) OVER (PARTITION BY archive) + 22 AS archive_bytes,
+SELECT archive,
+       CAST(SUM(30 + 46 + 2 * strlen(filename) + bytes) OVER (PARTITION BY archive) + 22 AS BIGINT) AS archive_bytes,
        member_no, filename, bytes AS compressed, bytes AS uncompressed, false AS is_directory,
        TIMESTAMP '2024-01-02 03:04:06' AS modified, crc32, 'stored' AS method
 FROM m JOIN crcs USING (archive, member_no)""",

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.inputs import table
-from voltrail.session import work_path
+from voltrail.session import send_to_tasks, work_path
 from voltrail.sources.archives import landed_archives, scan_archives
 from voltrail.sources.containers import filesystem
 
+send_to_tasks(__name__)
+
 PER_ARCHIVE = 64
 
 

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, at the smallest scale."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -29,3 +33,18 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """The same query when the Python workers cannot import this repository."""
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    script = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from voltrail.session import build_session\n"
+        "spark = build_session('elsewhere', 'local[2]', **{'spark.sql.shuffle.partitions': '2'})\n"
+        f"print('rows', e.queries()['verify_member_crc'](spark, {SMALL!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]

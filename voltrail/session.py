@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SESSION_CONF = {
@@ -60,6 +62,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/voltrail/{label}-{uuid.uuid4().hex}"
 
 
+def send_to_tasks(module: str) -> None:
+    """Send the module's functions to Python tasks by value: executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def fan_out(spark: SparkSession) -> int:
     """Task count for work whose cost is not visible in its shuffle bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voltrail.functions.keys import is_landing_key
 from voltrail.operators.dedup import flatten_last_writer_wins
 from voltrail.operators.members import rename_duplicate_members
-from voltrail.session import fan_out, qualified
+from voltrail.session import fan_out, qualified, send_to_tasks
 from voltrail.sources.containers import (
     CHUNK_BYTES,
     Member,
@@ -29,6 +29,8 @@ from voltrail.sources.containers import (
     open_archive,
 )
 
+send_to_tasks(__name__)
+
 FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 MANIFEST_SCHEMA = (
     "archive string, archive_modified timestamp, archive_bytes bigint, member_no bigint, filename string, "

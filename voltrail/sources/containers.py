@@ -16,12 +16,16 @@ from typing import BinaryIO, NamedTuple
 import pandas as pd
 from pyarrow import fs as pafs
 
+from voltrail.session import send_to_tasks
+
+send_to_tasks(__name__)
+
 CHUNK_BYTES = 4 * 1024 * 1024
 
 # Compression method codes of ZIP members.
 ZIP_METHODS = {0: "stored", 8: "deflate", 9: "deflate64", 12: "bzip2", 14: "lzma", 93: "zstd", 95: "xz"}
 
-_LOCAL_HEADER = struct.Struct("<4s5H3I2H")
+_LOCAL_HEADER = "<4s5H3I2H"
 _ENCRYPTED = 0x1
 
 
@@ -103,7 +107,7 @@ class ZipReader:
 
     def _packed(self, member: Member) -> Iterator[bytes]:
         self.source.seek(member.offset)
-        header = _LOCAL_HEADER.unpack(self.source.read(_LOCAL_HEADER.size))
+        header = struct.unpack(_LOCAL_HEADER, self.source.read(struct.calcsize(_LOCAL_HEADER)))
         if header[2] & _ENCRYPTED:
             raise BadContent("the member is encrypted")
         self.source.seek(header[9] + header[10], 1)
