@@ -10,7 +10,8 @@ from registry.inputs import RAW, READINGS, Query, on_readings, raw_readings, rea
 from registry.rollup_queries import DAILY_SUMMARY_SQL
 from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.dedup import dedup_readings, flatten_last_writer_wins
-from voltrail.operators.rollups import charging_behavior_analysis, driving_mode_analysis, vehicle_daily_summary
+from voltrail.operators.rollups import vehicle_daily_summary
+from voltrail.plans.jobs import build_rollups
 from voltrail.session import work_path
 from voltrail.sources import bi
 from voltrail.sources import tables as T
@@ -82,12 +83,9 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _namespace(spark: SparkSession, sf_dir: str) -> str:
-    """A fresh namespace with the three rollups written as tables."""
+    """A fresh namespace with the three rollups built as tables."""
     name = T.temp_name("fleet")
-    T.ensure_namespace(spark, name)
-    df = readings(spark, sf_dir)
-    for op in (vehicle_daily_summary, charging_behavior_analysis, driving_mode_analysis):
-        T.write_rollup(op(df), f"{name}.{op.__name__}", path=work_path(spark, op.__name__))
+    build_rollups(spark, readings(spark, sf_dir), name, work_path(spark, name))
     return name
 
 
@@ -100,8 +98,8 @@ def _ctas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built from half the vehicles first, then replaced by the full rollup."""
     name, df = T.temp_name("daily"), readings(spark, sf_dir)
-    T.replace_table(vehicle_daily_summary(df.where("channel_id < 4")), name)
-    T.replace_table(vehicle_daily_summary(df), name)
+    for part in (df.where("channel_id < 4"), df):
+        T.replace_table(vehicle_daily_summary(part), name, root=work_path(spark, "replaced"))
     return rounded(spark.table(name), "avg_display_speed")
 
 

@@ -45,7 +45,7 @@ def run(start, spark, drops, **options):
 
 def test_daily_summary_over_late_batches(spark, small, drops):
     out = run(rollups.stream_daily_summary, spark, drops)
-    batches = spark.read.parquet(out).select("batch_id").distinct().count()
+    batches = spark.read.parquet(f"{out}/batches").select("batch_id").distinct().count()
     assert batches == 4
     got = rounded(rollups.daily_summary_so_far(spark, out), "avg_display_speed")
     assert same_rows(got, rounded(vehicle_daily_summary(small), "avg_display_speed"))
@@ -78,6 +78,28 @@ def test_alerts(spark, small, drops):
     assert same_rows(ingest.alerts_so_far(spark, out), low_battery_alerts(small, 65))
 
 
+@pytest.mark.parametrize("start, compact, result, doubles", [
+    (rollups.stream_daily_summary, rollups.compact_daily_summary, rollups.daily_summary_so_far, ["avg_display_speed"]),
+    (rollups.stream_hourly_trend, rollups.compact_hourly_trend, rollups.hourly_trend_so_far, AVERAGES),
+    (rollups.stream_charging_sessions, rollups.compact_charging_sessions, rollups.charging_sessions_so_far, []),
+])
+def test_compaction_changes_no_result(spark, small, drops, start, compact, result, doubles):
+    out = run(start, spark, drops)
+    before = rounded(result(spark, out), *doubles).cache()
+    before.count()
+    assert compact(spark, out) == 2
+    after = result(spark, out)
+    files = {f.split("file:")[1].split("part-")[0] for f in after.inputFiles()}
+    assert any("compacted/batch_id=2" in f for f in files)
+    assert same_rows(before, rounded(after, *doubles))
+    assert compact(spark, out) == 2
+    assert same_rows(before, rounded(result(spark, out), *doubles))
+
+
+def test_compaction_waits_for_a_second_batch(spark):
+    assert rollups.compact_daily_summary(spark, work_path(spark, "none")) is None
+
+
 def test_nothing_written_yet(spark):
     assert rollups.daily_summary_so_far(spark, work_path(spark, "none")).count() == 0
     assert rollups.charging_sessions_so_far(spark, work_path(spark, "none")).count() == 0

@@ -69,7 +69,9 @@ def _typed(df: DataFrame) -> DataFrame:
     ])
 
 
-def build_rollups(spark: SparkSession, readings: DataFrame, namespace: str) -> dict[str, str]:
+def build_rollups(
+    spark: SparkSession, readings: DataFrame, namespace: str, root: str | None = None
+) -> dict[str, str]:
     """Rebuild the three rollup tables from a single scan of the readings.
 
     The shared facts are written once to the shared folder, which also spares a
@@ -80,7 +82,7 @@ def build_rollups(spark: SparkSession, readings: DataFrame, namespace: str) -> d
     day_mode_facts(readings).write.parquet(facts_path)
     facts = spark.read.parquet(facts_path)
     return {
-        f"{namespace}.{name}": replace_table(derive(facts), f"{namespace}.{name}")
+        f"{namespace}.{name}": replace_table(derive(facts), f"{namespace}.{name}", root=root)
         for name, derive in ROLLUPS.items()
     }
 

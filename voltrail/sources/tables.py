@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from voltrail.functions.signals import date_of
 from voltrail.operators.cleaning import non_null_counts
 from voltrail.schema import READINGS_SCHEMA
-from voltrail.session import work_path
 from voltrail.sources.readings import read_if_there
 
 DAY = "ts_day"
@@ -119,14 +118,17 @@ def write_rollup(df: DataFrame, table: str, partition: str = "date", path: str |
     writer.saveAsTable(table)
 
 
-def replace_table(df: DataFrame, table: str, partition: str = "date") -> str:
+def replace_table(df: DataFrame, table: str, partition: str = "date", root: str | None = None) -> str:
     """Full refresh of `table`; returns the folder that now holds it.
 
-    The rows go to a folder of their own first, so `df` may read the old table,
-    and a failed write leaves it in place. Only then does the name move over.
+    The rows go to a new folder below `root` (the database's own by default), so
+    `df` may read the old table, and a failed write leaves it in place. Only then
+    does the name move over. The old folder stays for queries that still read it.
     """
     spark = df.sparkSession
-    path = work_path(spark, table.replace(".", "-"))
+    database, _, name = table.rpartition(".")
+    root = root or spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _by_partition(df, partition).write.partitionBy(partition).option("compression", "snappy").parquet(path)
     spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
     spark.catalog.createTable(table, path=path, source="parquet")

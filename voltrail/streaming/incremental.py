@@ -2,7 +2,13 @@
 
 Each micro-batch writes one folder named after its batch id and overwrites it if
 the batch is run again, so a restart from the checkpoint neither loses nor
-doubles rows. Nothing passes through the driver.
+doubles rows. `compact_batches` replaces many small results by their merge, so
+that reading stays cheap however long the stream runs. Nothing passes through the
+driver.
+
+    out/batches/batch_id=<n>     result of micro-batch n
+    out/compacted/batch_id=<n>   merge of the results up to n
+    out/compactions              the finished merges
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +24,8 @@ from voltrail.sources.readings import read_if_there
 
 Transform = Callable[[DataFrame], DataFrame]
 
+_COMPACTIONS = T.StructType([T.StructField("upto", T.LongType())])
+
 
 def start_batches(
     stream: DataFrame,
@@ -27,10 +36,10 @@ def start_batches(
     available_now: bool = True,
     every: str = "1 minute",
 ) -> StreamingQuery:
-    """Write `transform(batch)` of every micro-batch to `out/batch_id=<n>`."""
+    """Write `transform(batch)` of every micro-batch to a folder of its own below `out`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batches/batch_id={batch_id}")
 
     return start_each(stream, write, checkpoint, mode, available_now, every)
 
@@ -50,7 +59,34 @@ def start_each(
     )
 
 
-def read_batches(like: DataFrame, out: str) -> DataFrame:
-    """Everything written so far; `like` gives the columns, `batch_id` is added."""
+def _written(like: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
-    return read_if_there(like.sparkSession, out, schema)
+    return read_if_there(like.sparkSession, path, schema)
+
+
+def read_batches(like: DataFrame, out: str) -> DataFrame:
+    """The newest merge and every later result; `like` gives the columns, `batch_id` is added.
+
+    The newest merge is a scalar subquery over partition values, so older folders are not read.
+    """
+    done = read_if_there(like.sparkSession, f"{out}/compactions", _COMPACTIONS)
+    newest = F.coalesce(done.agg(F.max("upto")).scalar(), F.lit(-1))
+    merged = _written(like, f"{out}/compacted").where(F.col("batch_id") == newest)
+    return merged.unionByName(_written(like, f"{out}/batches").where(F.col("batch_id") > newest))
+
+
+def compact_batches(like: DataFrame, out: str, merge: Transform) -> int | None:
+    """Merge all results but the last one, which might still be written; returns the last batch merged.
+
+    Readers use the merge once it is complete and recorded. May run beside the stream.
+    """
+    spark = like.sparkSession
+    last = _written(like, f"{out}/batches").agg(F.max("batch_id")).first()[0]
+    done = read_if_there(spark, f"{out}/compactions", _COMPACTIONS).agg(F.max("upto")).first()[0]
+    upto = -1 if last is None else last - 1
+    if upto < 0 or done is not None and upto <= done:
+        return done
+    results = read_batches(like, out).where(F.col("batch_id") <= upto)
+    merge(results).select(*like.columns).write.mode("overwrite").parquet(f"{out}/compacted/batch_id={upto}")
+    spark.createDataFrame([(upto,)], _COMPACTIONS).coalesce(1).write.mode("append").parquet(f"{out}/compactions")
+    return upto

@@ -16,24 +16,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voltrail.operators.measures import FUEL, SPEED
 from voltrail.operators.ranks import first_per_group
-from voltrail.operators.rollups import daily_summary_from_facts, day_mode_facts
+from voltrail.operators.rollups import daily_summary_from_facts, day_mode_facts, merge_facts
 from voltrail.operators.sessions import GAP_SECONDS, charging_slices, merge_slices, sessions_from_slices
 from voltrail.operators.trends import hourly_sums, sliding_from_hourly
 from voltrail.schema import READINGS_SCHEMA
-from voltrail.streaming.incremental import read_batches, start_batches
+from voltrail.streaming.incremental import compact_batches, read_batches, start_batches
 
 
 def _no_readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], READINGS_SCHEMA)
 
 
+def _facts_shape(spark: SparkSession) -> DataFrame:
+    return day_mode_facts(_no_readings(spark))
+
+
+def _slices_shape(spark: SparkSession) -> DataFrame:
+    return charging_slices(_no_readings(spark))
+
+
+def _hours_shape(spark: SparkSession) -> DataFrame:
+    return hourly_sums(_no_readings(spark))
+
+
 def stream_daily_summary(stream: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
     return start_batches(stream, out, checkpoint, day_mode_facts, **options)
 
 
 def daily_summary_so_far(spark: SparkSession, out: str) -> DataFrame:
-    facts = read_batches(day_mode_facts(_no_readings(spark)), out).drop("batch_id")
-    return daily_summary_from_facts(facts)
+    return daily_summary_from_facts(read_batches(_facts_shape(spark), out).drop("batch_id"))
+
+
+def compact_daily_summary(spark: SparkSession, out: str) -> int | None:
+    return compact_batches(_facts_shape(spark), out, lambda facts: merge_facts(facts.drop("batch_id")))
 
 
 def stream_charging_sessions(
@@ -43,8 +58,12 @@ def stream_charging_sessions(
 
 
 def charging_sessions_so_far(spark: SparkSession, out: str, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    slices = read_batches(charging_slices(_no_readings(spark), gap_seconds), out)
-    return sessions_from_slices(merge_slices(slices), gap_seconds)
+    """`gap_seconds` must be the stream's."""
+    return sessions_from_slices(merge_slices(read_batches(_slices_shape(spark), out)), gap_seconds)
+
+
+def compact_charging_sessions(spark: SparkSession, out: str) -> int | None:
+    return compact_batches(_slices_shape(spark), out, merge_slices)
 
 
 def stream_hourly_trend(stream: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
@@ -56,10 +75,13 @@ def stream_hourly_trend(stream: DataFrame, out: str, checkpoint: str, **options)
     return start_batches(hourly_sums(stream), out, checkpoint, mode="update", **options)
 
 
+def _newest_hours(versions: DataFrame) -> DataFrame:
+    return first_per_group(versions, [F.col("hour")], [F.col("batch_id").desc()])
+
+
 def hourly_sums_so_far(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of every hour."""
-    versions = read_batches(hourly_sums(_no_readings(spark)), out)
-    return first_per_group(versions, [F.col("hour")], [F.col("batch_id").desc()]).drop("batch_id")
+    return _newest_hours(read_batches(_hours_shape(spark), out)).drop("batch_id")
 
 
 def hourly_trend_so_far(spark: SparkSession, out: str) -> DataFrame:
@@ -73,3 +95,7 @@ def hourly_trend_so_far(spark: SparkSession, out: str) -> DataFrame:
 def sliding_trend_so_far(spark: SparkSession, out: str, hours: int = 24) -> DataFrame:
     """24-hour windows that start every hour, derived from the hourly stream's output."""
     return sliding_from_hourly(hourly_sums_so_far(spark, out), hours)
+
+
+def compact_hourly_trend(spark: SparkSession, out: str) -> int | None:
+    return compact_batches(_hours_shape(spark), out, _newest_hours)
