@@ -14,7 +14,9 @@ _DIMS = {None: "''", "vin_id": "vin_id", "hour": "CAST(date_trunc('hour', ts) AS
 _AVG = "ROUND(AVG(CAST({c} AS DOUBLE)), 6)"
 _OTHERS = {
     "kpi_active_vehicles": [("''", "active_vehicles", "COUNT(DISTINCT vin_id)")],
-    "gauge_avg_charging": [("''", f"{how.lower()}_{M.CHARGING}", f"ROUND({how}({M.CHARGING}), 6)") for how in ("AVG", "MIN", "MAX")],
+    "gauge_avg_charging": [
+        ("''", f"{how.lower()}_{M.CHARGING}", f"ROUND({how}({M.CHARGING}), 6)") for how in ("AVG", "MIN", "MAX")
+    ],
     "mode_distribution": [
         ("CAST(clean_mode AS VARCHAR)", "vehicle_records", "COUNT(vin_id)"),
         ("CAST(clean_mode AS VARCHAR)", "share", "ROUND(COUNT(vin_id) / SUM(COUNT(vin_id)) OVER (), 6)"),

@@ -19,8 +19,10 @@ from voltrail.sources.envelopes import filter_landing_keys, unpack_event_envelop
 from voltrail.sources.readings import read_or_sample, sample_readings, scan_readings
 
 SAMPLE_SQL = """SELECT * FROM (VALUES
-  ('TEST001_1704067200', 'TEST001', 120, 50, 500, 480, 75, 1, 2, false, 80, CAST(60.5 AS FLOAT), 1, 1, TIMESTAMP '2024-01-01'),
-  ('TEST002_1704067200', 'TEST002', 90, 30, 450, 430, 60, 0, 1, true, 70, CAST(45.2 AS FLOAT), 2, 2, TIMESTAMP '2024-01-01')
+  ('TEST001_1704067200', 'TEST001', 120, 50, 500, 480, 75, 1, 2, false, 80, CAST(60.5 AS FLOAT), 1, 1,
+   TIMESTAMP '2024-01-01'),
+  ('TEST002_1704067200', 'TEST002', 90, 30, 450, 430, 60, 0, 1, true, 70, CAST(45.2 AS FLOAT), 2, 2,
+   TIMESTAMP '2024-01-01')
 )"""
 
 

@@ -69,6 +69,14 @@ def test_extract_content_whole_and_in_chunks(spark, tmp_path):
     assert {r["filename"]: bytes(r["content"]) for r in rows if r["filename"] != "big.bin"} == {"none": b"", "small": b"s"}
 
 
+def test_odd_file_and_member_names(spark, tmp_path):
+    make_zip(tmp_path / "raw" / "sp ace+é%41.zip", [("d/ü b%20.txt", b"x")])
+    out = tmp_path / "out put"
+    files = landed_archives(scan_archives(spark, str(tmp_path / "raw")))
+    log = as_dicts(unpack_archives(files, str(out)))
+    assert log[0]["archive"].endswith("sp ace+é%41.zip") and [p.name for p in out.iterdir()] == ["ü b%20.txt"]
+
+
 def test_broken_archive_fails_or_is_reported(spark, landing):
     whole = (landing / "a.zip").read_bytes()
     (landing / "cut.zip").write_bytes(whole[: len(whole) // 2])

@@ -9,8 +9,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check import TABLES, rows_of
+from helpers import plan_of
 
 SMALL = "/root/testdata/sf0.001"
+NEEDS_PYTHON = {"extract_archives", "archive_manifest", "archive_summary", "verify_member_crc"}
 SQL = entry_module.oracle_sql()
 
 
@@ -29,6 +31,10 @@ def test_query_equals_sql(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     result = con.execute(SQL[name])
     assert rows_of(df.columns, rows) == rows_of([c[0] for c in result.description], result.fetchall())
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    if name not in NEEDS_PYTHON:
+        assert "InPandas" not in plan and "Python" not in plan
 
 
 def test_entry(spark):

@@ -205,6 +205,16 @@ def test_new_readings(spark):
     assert sorted((r["vin_id"] or "", r["fuel_percentage"]) for r in rows) == [("", 2), ("B", 50)]
 
 
+def test_new_readings_shuffles_the_incoming_rows_once(spark):
+    table = make_readings(spark, {})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(new_readings(make_readings(spark, {}, {"vin_id": "B"}), table))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 2
+
+
 def test_last_writer_wins(spark):
     df = spark.createDataFrame(
         [("a/x.parquet", 1), ("b/x.parquet", 2), ("c/y.parquet", 1), ("d/x.parquet", None), ("z.parquet", 1)],

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from voltrail.functions.keys import basename
 from voltrail.operators.ranks import first_per_group
 
+_IDENTITY = "__identity"
+
 
 def whole_row(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
@@ -23,24 +25,29 @@ def row_identity(df: DataFrame, key: str = "__primary_key") -> Column:
     return F.coalesce(F.col(key), whole_row(df))
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """One row per identity, which stays as a column: later steps on it need no shuffle of their own."""
+    order = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return first_per_group(df.withColumn(_IDENTITY, row_identity(df, key)), [F.col(_IDENTITY)], order)
+
+
 def dedup_readings(df: DataFrame, key: str = "__primary_key") -> DataFrame:
     """One row per key; among differing rows the smallest by the other columns stays."""
-    order = [F.col(f"`{c}`") for c in df.columns if c != key]
-    return first_per_group(df, [row_identity(df, key)], order)
+    return _once(df, key).drop(_IDENTITY)
 
 
 def new_readings(incoming: DataFrame, existing: DataFrame, key: str = "__primary_key") -> DataFrame:
     """Incoming rows, each once, whose key is not in `existing` yet.
 
     The scan for existing keys reads the key column only. Rows without a key are
-    looked up in a scan of their own, which skips files that have none.
+    looked up in a scan of their own, which skips files that have none. Copies in
+    the table collapse before the shuffle, and both sides meet on one shuffle each.
     """
     existing = existing.select(*incoming.columns)
-    seen = existing.where(F.col(key).isNotNull()).select(F.col(key).alias("__seen")).union(
-        existing.where(F.col(key).isNull()).select(whole_row(existing).alias("__seen"))
+    seen = existing.where(F.col(key).isNotNull()).select(F.col(key).alias(_IDENTITY)).union(
+        existing.where(F.col(key).isNull()).select(whole_row(existing).alias(_IDENTITY))
     )
-    fresh = dedup_readings(incoming, key)
-    return fresh.join(seen, row_identity(incoming, key) == F.col("__seen"), "left_anti")
+    return _once(incoming, key).join(seen.distinct(), _IDENTITY, "left_anti").drop(_IDENTITY)
 
 
 def flatten_last_writer_wins(

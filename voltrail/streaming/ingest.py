@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,13 +48,16 @@ def stream_dedup_ingest(stream: DataFrame, table_path: str, checkpoint: str, **o
     """Append each reading once, however late or often it is delivered.
 
     Copies have the same `ts`, so only the day partitions that the batch touches
-    are compared. Copies inside a batch collapse before the shuffle. A batch that
-    is run again finds its own rows and adds nothing.
+    are compared; the batch is kept while its days are found and its rows written.
+    Copies inside a batch collapse before the shuffle. A batch that is run again
+    finds its own rows and adds nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
         existing = read_days(batch.sparkSession, table_path, days_of(batch))
         append_readings(new_readings(batch, existing), table_path)
+        batch.unpersist()
 
     return start_each(stream, write, checkpoint, **options)
 
