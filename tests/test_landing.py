@@ -73,7 +73,7 @@ def test_odd_file_and_member_names(spark, tmp_path):
     make_zip(tmp_path / "raw" / "sp ace+é%41.zip", [("d/ü b%20.txt", b"x")])
     out = tmp_path / "out put"
     files = landed_archives(scan_archives(spark, str(tmp_path / "raw")))
-    log = as_dicts(unpack_archives(files, str(out)))
+    log = as_dicts(unpack_archives(archive_manifest(files), str(out)))
     assert log[0]["archive"].endswith("sp ace+é%41.zip") and [p.name for p in out.iterdir()] == ["ü b%20.txt"]
 
 
@@ -119,7 +119,7 @@ def test_unpack_flattens_and_last_archive_wins(spark, landing, tmp_path):
     os.utime(landing / "day2" / "b.zip", (1_700_000_100, 1_700_000_100))
     out = str(tmp_path / "processed")
     files = landed_archives(scan_archives(spark, str(landing)))
-    log = as_dicts(unpack_archives(files, out), "target")
+    log = as_dicts(unpack_archives(archive_manifest(files), out), "target")
     assert [r["target"].rsplit("/", 1)[1] for r in log] == ["empty.txt", "one.txt", "two.txt"]
     assert (tmp_path / "processed" / "one.txt").read_bytes() == b"ONE"
     assert sorted(p.name for p in (tmp_path / "processed").iterdir()) == ["empty.txt", "one.txt", "two.txt"]
@@ -127,7 +127,7 @@ def test_unpack_flattens_and_last_archive_wins(spark, landing, tmp_path):
 
 def test_unpack_cannot_leave_the_folder(spark, tmp_path):
     make_zip(tmp_path / "raw" / "evil.zip", [("../../escape.txt", b"x"), ("/abs.txt", b"y")])
-    unpack_archives(scan_archives(spark, str(tmp_path / "raw")), str(tmp_path / "processed")).collect()
+    unpack_archives(archive_manifest(scan_archives(spark, str(tmp_path / "raw"))), str(tmp_path / "processed")).collect()
     assert sorted(p.name for p in (tmp_path / "processed").iterdir()) == ["abs.txt", "escape.txt"]
     assert not (tmp_path / "escape.txt").exists()
 
@@ -137,7 +137,7 @@ def test_repeated_names_in_one_archive(spark, tmp_path):
         make_zip(tmp_path / "raw" / "d.zip", [("x.txt", b"1"), ("x.txt", b"2"), ("x.txt", b"3"), ("y.txt", b"4")])
     renamed = as_dicts(M.rename_duplicate_members(archive_manifest(scan_archives(spark, str(tmp_path)))), "member_no")
     assert [r["output_name"] for r in renamed] == ["x.txt", "x.txt_0", "x.txt_1", "y.txt"]
-    unpack_archives(scan_archives(spark, str(tmp_path / "raw")), str(tmp_path / "out")).collect()
+    unpack_archives(archive_manifest(scan_archives(spark, str(tmp_path / "raw"))), str(tmp_path / "out")).collect()
     assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {
         "x.txt": b"1", "x.txt_0": b"2", "x.txt_1": b"3", "y.txt": b"4"}
 

@@ -22,7 +22,7 @@ from voltrail.operators.rollups import (
 )
 from voltrail.schema import READINGS_SCHEMA
 from voltrail.session import build_session, work_path
-from voltrail.sources.archives import landed_archives, scan_archives, unpack_archives
+from voltrail.sources.archives import archive_manifest, landed_archives, scan_archives, unpack_archives
 from voltrail.sources.readings import read_or_sample
 from voltrail.sources.tables import (
     append_readings,
@@ -42,8 +42,9 @@ ROLLUPS = {
 
 def unpack_landing(spark: SparkSession, landing: str, processed: str) -> DataFrame:
     """Unpack every archive under `landing`; returns the log, written once and read back."""
-    log = work_path(spark, "unpack-log")
-    unpack_archives(landed_archives(scan_archives(spark, landing)), processed).write.parquet(log)
+    listed, log = work_path(spark, "manifest"), work_path(spark, "unpack-log")
+    archive_manifest(landed_archives(scan_archives(spark, landing))).write.parquet(listed)
+    unpack_archives(spark.read.parquet(listed), processed).write.parquet(log)
     return spark.read.parquet(log)
 
 

@@ -154,9 +154,11 @@ def unpack_plan(manifest: DataFrame, out: str) -> DataFrame:
     )
 
 
-def unpack_archives(files: DataFrame, out: str) -> DataFrame:
+def unpack_archives(manifest: DataFrame, out: str) -> DataFrame:
     """Write every winning member to `out/<basename>`; the result logs what was written.
 
+    The manifest is used more than once: persist it, or read it from a table.
+
     Writing happens when the result is computed. Each file is completed under a
     name of its own and then renamed, so a task that is run again repeats its work
     without harm.
@@ -183,7 +185,7 @@ def unpack_archives(files: DataFrame, out: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["archive", "member_no", "filename", "target", "bytes"]
-    winners = unpack_plan(archive_manifest(files), qualified(files.sparkSession, out))
+    winners = unpack_plan(manifest, qualified(manifest.sparkSession, out))
     return _spread(winners).select("archive", *Member._fields, "target").mapInPandas(write, UNPACK_SCHEMA)
 
 

@@ -27,6 +27,10 @@ Transform = Callable[[DataFrame], DataFrame]
 _COMPACTIONS = T.StructType([T.StructField("upto", T.LongType())])
 
 
+def batch_path(out: str, batch_id: int) -> str:
+    return f"{out}/batches/batch_id={batch_id}"
+
+
 def start_batches(
     stream: DataFrame,
     out: str,
@@ -39,7 +43,7 @@ def start_batches(
     """Write `transform(batch)` of every micro-batch to a folder of its own below `out`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batches/batch_id={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(batch_path(out, batch_id))
 
     return start_each(stream, write, checkpoint, mode, available_now, every)
 

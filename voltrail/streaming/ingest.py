@@ -10,9 +10,15 @@ from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.dedup import new_readings
 from voltrail.operators.filters import low_battery_alerts
 from voltrail.schema import RAW_SCHEMA, READINGS_SCHEMA
-from voltrail.sources.archives import FILES_SCHEMA, UNPACK_SCHEMA, landed_archives, unpack_archives
+from voltrail.sources.archives import (
+    FILES_SCHEMA,
+    UNPACK_SCHEMA,
+    archive_manifest,
+    landed_archives,
+    unpack_archives,
+)
 from voltrail.sources.tables import append_readings, days_of, read_days
-from voltrail.streaming.incremental import read_batches, start_batches, start_each
+from voltrail.streaming.incremental import batch_path, read_batches, start_batches, start_each
 
 
 def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
@@ -35,9 +41,13 @@ def ingest_arrivals_stream(
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
         .load(landing).select("path", "modificationTime", "length")
     )
-    return start_batches(
-        landed_archives(arrivals), log, checkpoint, lambda files: unpack_archives(files, out), **options
-    )
+
+    def write(files: DataFrame, batch_id: int) -> None:
+        manifest = archive_manifest(files).persist(StorageLevel.MEMORY_AND_DISK)
+        unpack_archives(manifest, out).write.mode("overwrite").parquet(batch_path(log, batch_id))
+        manifest.unpersist()
+
+    return start_each(landed_archives(arrivals), write, checkpoint, **options)
 
 
 def arrivals_log(spark: SparkSession, log: str) -> DataFrame:
