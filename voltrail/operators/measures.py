@@ -86,6 +86,26 @@ def kpi_active_vehicles_diff(df: DataFrame) -> DataFrame:
     return daily.withColumn("difference", F.col("active_vehicles") - before)
 
 
+kpi_avg_fuel = average("kpi_avg_fuel")
+kpi_avg_speed = average("kpi_avg_speed")
+kpi_avg_soc = average("kpi_avg_soc")
+kpi_avg_charging = average("kpi_avg_charging")
+by_vehicle_fuel = average("by_vehicle_fuel")
+by_vehicle_speed = average("by_vehicle_speed")
+by_vehicle_soc = average("by_vehicle_soc")
+by_vehicle_charging = average("by_vehicle_charging")
+by_vehicle_cltc_wltc = average("by_vehicle_cltc_wltc")
+scatter_speed_fuel = average("scatter_speed_fuel")
+table_vehicle_fuel_speed = average("table_vehicle_fuel_speed")
+table_vehicle_fuel_speed_charging = average("table_vehicle_fuel_speed_charging")
+table_vehicle_soc_speed_charging = average("table_vehicle_soc_speed_charging")
+table_vehicle_soc_speed_charging_cltc = average("table_vehicle_soc_speed_charging_cltc")
+trend_hourly_fuel_speed = average("trend_hourly_fuel_speed")
+trend_hourly_fuel = average("trend_hourly_fuel")
+trend_hourly_speed = average("trend_hourly_speed")
+trend_hourly_soc = average("trend_hourly_soc")
+trend_hourly_charging = average("trend_hourly_charging")
+
 QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     **{key: average(key) for key in AVERAGES},
     "kpi_active_vehicles": kpi_active_vehicles,
@@ -93,5 +113,3 @@ QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "mode_distribution": mode_distribution,
     "kpi_active_vehicles_diff": kpi_active_vehicles_diff,
 }
-
-trend_hourly_fuel_speed = average("trend_hourly_fuel_speed")
