@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,22 +30,11 @@ def build_session(app_name: str = "voltrail", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by `spark.checkpoint.dir`.
-
-    Only a local master, where driver and executors share one disk, may fall
-    back to a temporary folder.
-    """
+    """The folder every executor can reach: `spark.checkpoint.dir`, or else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return qualified(spark, named.rstrip("/"))
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="voltrail-"))
-    return context.getCheckpointDir().rstrip("/")
+    return qualified(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -69,3 +57,10 @@ def send_to_tasks(module: str) -> None:
 def fan_out(spark: SparkSession) -> int:
     """Task count for work whose cost is not visible in its shuffle bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: later stages neither repeat nor lose them."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
