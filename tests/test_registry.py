@@ -10,10 +10,11 @@ import pytest
 import __spark_entry__ as entry_module
 from check import TABLES, rows_of
 from helpers import plan_of
+from registry.catalogue import all_queries
 
 SMALL = "/root/testdata/sf0.001"
 NEEDS_PYTHON = {"extract_archives", "archive_manifest", "archive_summary", "verify_member_crc"}
-SQL = entry_module.oracle_sql()
+OWN = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -25,11 +26,11 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_equals_sql(spark, con, name):
-    df = entry_module.queries()[name](spark, SMALL)
+    df = OWN[name].run(spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
-    result = con.execute(SQL[name])
+    result = con.execute(OWN[name].sql)
     assert rows_of(df.columns, rows) == rows_of([c[0] for c in result.description], result.fetchall())
     plan = plan_of(df)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -37,6 +38,10 @@ def test_query_equals_sql(spark, con, name):
         assert "InPandas" not in plan and "Python" not in plan
 
 
+def test_all_are_registered():
+    assert set(OWN) <= set(entry_module.queries())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
