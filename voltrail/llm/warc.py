@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voltrail.llm.common import base32
-from voltrail.session import work_path, written
+from voltrail.session import shuffles_freed, work_path, written
 
 MAGIC = "WARC/1."
 CUT = "\n" + MAGIC
@@ -75,7 +75,8 @@ def record_text(rows: DataFrame) -> Column:
 def write_warc(pages: DataFrame, path: str) -> None:
     """One record per page; Spark's commit protocol makes each file whole or absent."""
     rows = with_record_types(pages)
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", END).text(path)
+    with shuffles_freed(pages.sparkSession):
+        rows.select(record_text(rows).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _field(name: str, header: Column) -> Column:
