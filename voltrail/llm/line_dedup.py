@@ -189,8 +189,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     own = docs.columns
     marked = docs.withColumn("_line_doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    joined = marked.join(
-        drops.select(F.col("doc_id").alias("_line_doc"), F.col("keys").alias("_line_keys")), "_line_doc", "left")
+    # What documents lose grows with them, so it is never sent to all tasks.
+    lost = drops.select(F.col("doc_id").alias("_line_doc"), F.col("keys").alias("_line_keys")).hint("merge")
+    joined = marked.join(lost, "_line_doc", "left")
     return joined.select(*own, apply(F.col("text"), F.col("_line_keys")).alias("line_result"))
 
 
