@@ -47,7 +47,6 @@ def test_planted_passages(spark, monkeypatch, block):
         if kind == 2:
             for i in range(3, len(own), 6):
                 own[i] = "reworded"
-            rarest = set(item[:0])
         rows.append((n, f"{around[0]} {' '.join(own)} {around[1]}"))
         planted[n] = n
     rows += [(100 + i, " ".join(words(rng, 150))) for i in range(60)] + odd_rows(500)
@@ -55,7 +54,7 @@ def test_planted_passages(spark, monkeypatch, block):
     found = {r["doc_id"]: r for r in find_contamination(make_docs(spark, rows), spark.createDataFrame(table, ITEMS)).collect()}
     exact = [n for n in planted if n % 3 != 2]
     assert all(found[n]["item_ids"] == [n] and not found[n]["kept"] for n in exact)
-    assert sum(found[n]["item_ids"] == [n] for n in planted) >= len(planted) - 1
+    assert all(found[n]["item_ids"] == [n] for n in planted)
     assert not any(found[i]["contaminated"] for i in found if i is None or i >= 100)
 
 

@@ -36,7 +36,6 @@ SHARE = 0.6
 RANK = 256
 MIN_WORDS = 5
 ITEM_BLOCK = 2048
-ANSWER_TERMS = 3
 
 
 def passage_starts(words: int) -> range:
@@ -58,7 +57,7 @@ def make_item(item_id: int, text: str, idf: np.ndarray) -> Item:
     terms = features_of(answer, known) if mark else np.zeros(0, np.int32)
     if not len(terms):
         own = np.unique(ids)
-        terms = own[np.argsort(-idf[own], kind="stable")][:ANSWER_TERMS]
+        terms = own[np.argsort(-idf[own], kind="stable")][:max(1, len(own) // 2)]
     return Item(item_id, ids, np.unique(terms))
 
 
@@ -195,8 +194,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = Features()
         for batch in batches:
             ids = [features_of(t, known) for t in batch["text"]]
-            yield pd.DataFrame({"ids": [
-                x[s:s + 2 * STEP].tolist() for x in ids if len(x) >= MIN_WORDS for s in passage_starts(len(x))]})
+            cut_ids = [x[s:s + 2 * STEP].tolist() for x in ids if len(x) >= MIN_WORDS for s in passage_starts(len(x))]
+            yield pd.DataFrame({"ids": pd.Series(cut_ids, dtype=object)})
 
     basis = decompose(usable.mapInPandas(cut, "ids array<int>"), idf, RANK)
     blocks = -(-usable.count() // ITEM_BLOCK)

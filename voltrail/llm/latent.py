@@ -76,13 +76,14 @@ def _summed(passages: DataFrame, rows: Callable[[np.ndarray], Iterator[tuple[int
                         sums[number] += vector
                     else:
                         sums[number] = vector.copy()
-        yield pd.DataFrame({"number": list(sums), "vector": list(sums.values())})
+        yield pd.DataFrame({
+            "number": np.array(list(sums), np.int32), "vector": pd.Series([v.tolist() for v in sums.values()], dtype=object)})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         numbers, place = np.unique(group["number"].to_numpy(), return_inverse=True)
         total = np.zeros((len(numbers), width))
         np.add.at(total, place, np.stack(group["vector"].to_list()))
-        return pd.DataFrame({"number": numbers.astype(np.int32), "vector": list(total)})
+        return pd.DataFrame({"number": numbers.astype(np.int32), "vector": total.tolist()})
 
     parts = passages.mapInPandas(run, "number int, vector array<double>")
     total = parts.groupBy(F.pmod("number", F.lit(64))).applyInPandas(add, "number int, vector array<double>")

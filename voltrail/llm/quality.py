@@ -1,14 +1,16 @@
 """Quality by weak labels: overlapping heuristic labellers, a label model over all texts, and a hashed linear scorer.
 
-Labellers look at capitals, signs, table bars, repeated words and lines, and at words of insult; one more repeats the
-given labels where there are any. Each says bad, good or nothing. A label model of two hidden classes, fitted by
-expectation-maximisation to how often each pattern of answers occurs in the whole corpus, learns how far each labeller
-is right; the number of patterns is bounded by the number of labellers. Its posterior labels train a linear scorer over
-hashed words and labeller answers, which then judges every text: a text with a score of at least one half is rejected.
-
-The insult words are learned too: words in at least `LEXICON_SHARE` of the texts labelled toxic and hardly in any other.
-Learning from labels uses at most `FIT_ROWS` labelled texts (those with the smallest hash of their id); texts whose hash
-leaves 0 by 5 stay out of the fit and serve to measure accuracy (`held_out_accuracy`).
+Labellers look at capitals, signs, table bars, repeated words and lines, and at words of insult; each says bad or
+nothing. One says good where none of these says anything, and one repeats the given labels where there are any. A label
+model of two hidden classes, fitted by expectation-maximisation to how often each pattern of answers occurs in the whole
+corpus, learns how telling each answer is; silence is no evidence. The number of patterns is bounded by the number of
+labellers. Its posterior labels train a linear scorer over hashed words, beginnings of words and labeller answers, which
+then judges every text: one with a score of at least one half is rejected, as is one whose labellers alone make the label
+model `SURE`.
+
+The insults are learned too: words and beginnings of words in at least `LEXICON_SHARE` of the texts labelled toxic and
+hardly in any other. Learning from labels uses at most `FIT_ROWS` labelled texts (those with the smallest hash of their
+id); texts whose hash leaves 0 by 5 stay out of the fit and serve to measure accuracy (`held_out_accuracy`).
 
 Defined results: null or empty text has no bad sign and is kept. Null ids are kept as they are; repeated rows are judged
 alike. Several labels of one text count as the worst of them. Extra columns are ignored. Without labels the heuristics
@@ -18,6 +20,7 @@ alone teach the scorer; an empty table gives no rows. Texts of any length are re
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 from voltrail.session import send_to_tasks, written
 
 FIT_ROWS = 20_000
-LEXICON_SHARE, LEXICON_PURITY, LEXICON_TEXTS = 0.05, 0.95, 3
+LEXICON_SHARE, LEXICON_PURITY, LEXICON_TEXTS = 0.02, 0.97, 4
+BEGINNINGS = (4, 5, 6, 7, 8)
 DIMENSIONS = 1 << 20
 EPOCHS, STEP, SHRINK = 12, 0.5, 1e-5
 ROUNDS = 100
+SURE = 0.95
 NO_ID = -(2**63)
 
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,50 +45,52 @@ SIGNS = b"#$%&*@^~+=<>\\/{}[]_"
 EDGES = b".,;:!?\"'()"
 BAD, GOOD, SILENT = 1, 0, 2
 
-#: Labellers on measurements: name, bad from, good below.
+#: Labellers on measurements: name, and the value from which the text is bad.
 LABELLERS = (
-    ("capitals", 0.3, 0.15),
-    ("shouts", 0.2, 0.02),
-    ("signs", 0.05, 0.01),
-    ("bars", 0.2, 0.02),
-    ("echo", 0.3, 0.05),
-    ("sameness", 0.75, 0.55),
-    ("same_lines", 0.5, 0.2),
-    ("insults", 1.0, 0.5),
-    ("insult_rate", 0.01, 0.0005),
+    ("capitals", 0.3), ("shouts", 0.2), ("signs", 0.05), ("sign_words", 0.3), ("bars", 0.15), ("bar_lines", 0.5),
+    ("echo", 0.3), ("sameness", 0.75), ("same_lines", 0.5), ("insults", 1.0), ("many_insults", 3.0),
 )
-NAMES = tuple(name for name, _, _ in LABELLERS) + ("given",)
+NAMES = tuple(name for name, _ in LABELLERS) + ("plain", "given")
+
+
+def word_parts(tokens: set[bytes]) -> set[bytes]:
+    """Distinct words without punctuation around them, and their beginnings, marked by a hyphen."""
+    words = {t.strip(EDGES) for t in tokens}
+    parts = set(words)
+    for size in BEGINNINGS:
+        parts.update(w[:size] + b"-" for w in words if len(w) >= size)
+    return parts
 
 
 def measure(text: str, insults: frozenset[bytes]) -> tuple[list[float], set[bytes]]:
-    """The labellers' measurements, and the distinct words without punctuation around them."""
+    """The labellers' measurements and the text's word parts."""
     raw = text.encode("utf-8", "surrogatepass")
     tokens = raw.lower().split()
     distinct = set(tokens)
-    words = {t.strip(EDGES) for t in distinct}
+    parts = word_parts(distinct)
     n, size = max(len(tokens), 1), max(len(raw), 1)
     lines = raw.split(b"\n")
-    hit = words & insults
-    hits = sum(t.strip(EDGES) in hit for t in tokens) if hit else 0
+    hits = float(len(parts & insults))
     return [
         (len(raw) - len(raw.translate(None, CAPITALS))) / size,
         raw.count(b"!!") / n,
         (len(raw) - len(raw.translate(None, SIGNS))) / size,
+        sum(t[-1] in SIGNS for t in distinct) / max(len(distinct), 1),
         tokens.count(b"|") / n,
+        sum(line.count(b"|") >= 3 for line in lines) / len(lines),
         sum(map(eq, tokens, tokens[1:])) / n,
         # Few words among many; short texts repeat little by nature.
         1 - len(distinct) / n if n >= 20 else 0.0,
         1 - len(set(lines)) / len(lines) if len(lines) >= 5 else 0.0,
-        float(len(hit)),
-        hits / n,
-    ], words
+        hits,
+        hits,
+    ], parts
 
 
 def votes_of(measures: list[float]) -> list[int]:
-    return [
-        BAD if value >= bad else GOOD if value < good else SILENT
-        for value, (_, bad, good) in zip(measures, LABELLERS)
-    ]
+    """The answers of all labellers but the given labels."""
+    votes = [BAD if value >= bad else SILENT for value, (_, bad) in zip(measures, LABELLERS)]
+    return [*votes, SILENT if BAD in votes else GOOD]
 
 
 def pattern_of(votes: list[int]) -> int:
@@ -102,20 +109,20 @@ def votes_from(pattern: int) -> list[int]:
 
 
 def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of `bad` for each pattern, and each labeller's answers (bad, good, nothing) by class (bad, good)."""
+    """Posterior of `bad` for each pattern, and how often each labeller says bad or good in each class (bad, good)."""
     if not patterns:
-        return {}, np.full((len(NAMES), 2, 3), 1 / 3)
+        return {}, np.full((len(NAMES), 2, 2), 0.5)
     numbers = list(patterns)
     votes = np.array([votes_from(p) for p in numbers])
     n = np.array([patterns[p] for p in numbers], float)
-    answers = np.stack([votes == BAD, votes == GOOD, votes == SILENT], 2).astype(float)
-    # At first any labeller that says bad is believed.
-    posterior = np.where((votes == BAD).any(1), 0.9, 0.05)
+    answers = np.stack([votes == BAD, votes == GOOD], 2).astype(float)
+    # At first any heuristic that says bad is believed, and a given label more.
+    posterior = np.where((votes[:, :-1] == BAD).any(1), 0.9, 0.05)
+    posterior = np.where(votes[:, -1] == BAD, 0.95, np.where(votes[:, -1] == GOOD, 0.05, posterior))
     for _ in range(ROUNDS):
-        rates = np.empty((len(NAMES), 2, 3))
+        rates = np.empty((len(NAMES), 2, 2))
         for cls, weight in enumerate((posterior * n, (1 - posterior) * n)):
-            counts = np.einsum("p,pla->la", weight, answers) + 0.01
-            rates[:, cls] = counts / counts.sum(1, keepdims=True)
+            rates[:, cls] = (np.einsum("p,pla->la", weight, answers) + 0.01) / (weight.sum() + 0.02)
         prior = np.clip((posterior * n).sum() / n.sum(), 1e-4, 0.5)
         log = np.einsum("pla,lca->pc", answers, np.log(rates)) + np.log([prior, 1 - prior])
         after = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
@@ -126,10 +133,10 @@ def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]
     return dict(zip(numbers, posterior.tolist())), rates
 
 
-def hashed(words: set[bytes], votes: list[int]) -> np.ndarray:
-    """The features of a text: its words, and what the labellers say of it."""
+def hashed(parts: set[bytes], votes: list[int]) -> np.ndarray:
+    """The features of a text: its word parts, and what the labellers say of it."""
     marks = [zlib.crc32(f"\t{name}={vote}".encode()) % DIMENSIONS for name, vote in zip(NAMES, votes)]
-    return np.unique(np.array([zlib.crc32(w) % DIMENSIONS for w in words] + marks, np.int32))
+    return np.unique(np.array([zlib.crc32(p) % DIMENSIONS for p in parts] + marks, np.int32))
 
 
 def train_scorer(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -159,12 +166,26 @@ def learn_insults(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
     sample = fit_sample(labels)
     marked = _texts(docs).join(F.broadcast(sample), "doc_id").where("fit")
     totals = marked.agg(F.sum("toxic")).first()[0] or 0
-    plain = F.regexp_replace(F.lower("text"), r"[.,;:!?\"'()]+(?=\s|$)|(?<=\s|^)[.,;:!?\"'()]+", "")
-    words = marked.select("toxic", F.explode(F.array_distinct(F.split(plain, r"\s+"))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    if not totals:
+        return frozenset()
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of the batch's word parts."""
+        for batch in batches:
+            toxic, all_ = Counter(), Counter()
+            for text, is_toxic in zip(batch["text"], batch["toxic"]):
+                own = word_parts(set(text.encode("utf-8", "surrogatepass").lower().split()))
+                all_.update(own)
+                if is_toxic:
+                    toxic.update(own)
+            yield pd.DataFrame({"part": list(all_), "toxic": [toxic[p] for p in all_], "n": list(all_.values())})
+
+    counts = marked.select("text", "toxic").mapInPandas(parts, "part binary, toxic long, n long").groupBy("part").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     least = max(LEXICON_TEXTS, LEXICON_SHARE * totals)
-    found = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= LEXICON_PURITY * F.col("n")) & (F.col("word") != ""))
-    return frozenset(r["word"].encode("utf-8") for r in found.select("word").collect())
+    found = counts.where(
+        (F.col("toxic") >= least) & (F.col("toxic") >= LEXICON_PURITY * F.col("n")) & (F.length("part") > 0))
+    return frozenset(bytes(r["part"]) for r in found.select("part").collect())
 
 
 def fit_sample(labels: DataFrame) -> DataFrame:
@@ -210,11 +231,11 @@ class QualityModel:
             for batch in batches:
                 rows = []
                 for text, bad in zip(batch["text"], batch["bad"]):
-                    measures, words = measure(text, insults)
+                    measures, parts = measure(text, insults)
                     votes = votes_of(measures)
                     known = posterior.get(pattern_of([*votes, BAD if bad else GOOD]), 0.5)
                     # The scorer must do without the given label.
-                    rows.append((hashed(words, [*votes, SILENT]), known))
+                    rows.append((hashed(parts, [*votes, SILENT]), known))
                 yield pd.DataFrame(rows, columns=["features", "label"])
 
         def train(group: pd.DataFrame) -> pd.DataFrame:
@@ -227,28 +248,31 @@ class QualityModel:
         rows = written(rows, "quality-examples")
         out = np.zeros(DIMENSIONS + 1)
         if not rows.isEmpty():
-            for place, weight in rows.groupBy(F.lit(0)).applyInPandas(train, "place long, weight double").collect():
+            for place, weight in rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(train, "place long, weight double").collect():
                 out[place] = weight
         return out
 
     def judge(self, docs: DataFrame) -> DataFrame:
-        """All rows of `docs` as doc_id, score, votes, kept."""
-        insults, weights = self.insults, self.weights.astype(np.float32)
+        """All rows of `docs` as doc_id, score, posterior, votes, kept."""
+        insults, posterior, weights = self.insults, self.posterior, self.weights.astype(np.float32)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                scores, votes = [], []
+                scores, sure, votes = [], [], []
                 for text in batch["text"]:
-                    measures, words = measure(text, insults)
+                    measures, parts = measure(text, insults)
                     vote = votes_of(measures)
-                    linear = float(weights[hashed(words, [*vote, SILENT])].sum() + weights[-1])
+                    linear = float(weights[hashed(parts, [*vote, SILENT])].sum() + weights[-1])
                     scores.append(1 / (1 + np.exp(-np.clip(linear, -30, 30))))
+                    sure.append(posterior.get(pattern_of([*vote, SILENT]), 0.0))
                     votes.append(",".join(name for name, v in zip(NAMES, vote) if v == BAD))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "votes": votes})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "posterior": sure, "votes": votes})
 
         judged = _texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(
-            score, "doc_id long, score double, votes string")
-        return judged.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "score", "votes", (F.col("score") < 0.5).alias("kept"))
+            score, "doc_id long, score double, posterior double, votes string")
+        kept = (F.col("score") < 0.5) & (F.col("posterior") < SURE)
+        return judged.select(
+            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "score", "posterior", "votes", kept.alias("kept"))
 
     def held_out_accuracy(self, docs: DataFrame) -> tuple[float, float]:
         """The shares of bad and of good labelled texts outside the fit that are judged so."""
@@ -260,5 +284,5 @@ class QualityModel:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, votes, kept: a row per text."""
+    """doc_id, score, posterior, votes, kept: a row per text."""
     return QualityModel(docs, labels).judge(docs)
