@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.inputs import READINGS, Query, on_readings, table
-from registry.landing import landed
+from registry.landing import PER_ARCHIVE, land_documents, landed
 from voltrail.functions.content import MAGIC_NUMBERS
 from voltrail.functions.keys import basename
 from voltrail.operators import members as M
+from voltrail.plans.jobs import unpack_messages
+from voltrail.session import work_path
 from voltrail.sources.archives import archive_manifest, archive_summary, extract_archives, verify_member_crc
 
 KEY = b"0123456789abcdef"
@@ -24,11 +26,17 @@ MEMBERS_SQL = """WITH m AS (
 CRC_SQL = """, steps AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, bit: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t
   FROM range(256) r(i)),
+codes AS (
+  SELECT archive, member_no, lang, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                                                  lambda h: ('0x' || h)::BIGINT) AS b FROM m),
 crcs AS (
-  SELECT archive, member_no, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
-                                                    lambda h: ('0x' || h)::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc32 FROM m, steps)
+  SELECT archive, member_no,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc32,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+                                      CASE WHEN lang = 'fr' THEN list_prepend(xor(b[1], 1), b[2:]) ELSE b END),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS damaged_crc32
+  FROM codes, steps)
 """
 
 
@@ -37,18 +45,32 @@ def _by_name(df: DataFrame) -> DataFrame:
 
 
 def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deflated members, shown by digest."""
+    """Deflated members, a digest each."""
     content = extract_archives(archive_manifest(landed(spark, sf_dir, deflate=True)))
-    return _by_name(content).select(
-        "archive", "member_no", "filename", "part",
-        F.length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"),
-    )
+    parts = F.array_sort(F.collect_list(F.struct("part", "content")))
+    whole = F.aggregate(parts, F.lit(b""), lambda seen, p: F.concat(seen, p["content"]))
+    return _by_name(content).groupBy("archive", "member_no", "filename").agg(
+        F.sum(F.length("content")).alias("bytes"), F.md5(whole).alias("md5"))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notification per archive, and one per page about something else."""
+    store = land_documents(spark, sf_dir, deflate=True).removesuffix("/raw")
+    number = F.floor(F.col("doc_id") / PER_ARCHIVE).cast("string")
+    archives = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit('{"Records": [{"s3": {"object": {"key": "raw%2Fdocs-'), number, F.lit('.zip"}}}]}')).alias("body"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit('{"Records": [{"s3": {"object": {"key": "logs/'), "page_id", F.lit('.zip"}}}]}')).alias("body"))
+    out = work_path(spark, "unpacked")
+    unpack_messages(spark, archives.union(pages), store, out)
+    files = spark.read.format("binaryFile").load(out)
+    return files.select(basename(F.col("path")).alias("filename"), F.md5("content").alias("md5"))
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_name(archive_manifest(landed(spark, sf_dir))).select(
         "archive", "archive_bytes", "member_no", "filename", "compressed", "uncompressed",
-        "is_directory", F.col("modified").cast("timestamp").alias("modified"), "crc32", "method",
+        "is_directory", F.col("modified").cast("timestamp").alias("modified"), "crc32", "method", "offset", "error",
     )
 
 
@@ -58,9 +80,7 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first byte of every French document was changed after archiving."""
-    return _by_name(verify_member_crc(archive_manifest(landed(spark, sf_dir, damage="fr")))).select(
-        "archive", "member_no", "filename", "ok"
-    )
+    return _by_name(verify_member_crc(archive_manifest(landed(spark, sf_dir, damage="fr"))))
 
 
 def _member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +141,10 @@ LANG_MAGIC = {"en": MAGIC_NUMBERS["7z"], "fr": MAGIC_NUMBERS["zip"], "de": MAGIC
 
 QUERIES = {
     "extract_archives": Query(
-        _extract, MEMBERS_SQL + "SELECT archive, member_no, filename, CAST(0 AS BIGINT) AS part, bytes, md5(text) AS md5 FROM m"
+        _extract, MEMBERS_SQL + "SELECT archive, member_no, filename, bytes, md5(text) AS md5 FROM m"
+    ),
+    "unpack_from_messages": Query(
+        _messages, "SELECT 'doc-' || doc_id || '.txt' AS filename, md5(text) AS md5 FROM documents"
     ),
     "archive_manifest": Query(
         _manifest,
@@ -129,7 +152,10 @@ QUERIES = {
 SELECT archive,
        CAST(SUM(30 + 46 + 2 * strlen(filename) + bytes) OVER (PARTITION BY archive) + 22 AS BIGINT) AS archive_bytes,
        member_no, filename, bytes AS compressed, bytes AS uncompressed, false AS is_directory,
-       TIMESTAMP '2024-01-02 03:04:06' AS modified, crc32, 'stored' AS method
+       TIMESTAMP '2024-01-02 03:04:06' AS modified, crc32, 'stored' AS method,
+       CAST(coalesce(SUM(30 + strlen(filename) + bytes) OVER (
+         PARTITION BY archive ORDER BY member_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(NULL AS VARCHAR) AS error
 FROM m JOIN crcs USING (archive, member_no)""",
     ),
     "archive_summary": Query(
@@ -140,7 +166,10 @@ SELECT archive, CAST(SUM(30 + 46 + 2 * strlen(filename) + bytes) + 22 AS BIGINT)
 FROM m GROUP BY archive""",
     ),
     "verify_member_crc": Query(
-        _verify, MEMBERS_SQL + "SELECT archive, member_no, filename, lang <> 'fr' AS ok FROM m"
+        _verify,
+        MEMBERS_SQL.rstrip() + CRC_SQL + """
+SELECT archive, member_no, filename, crc32 AS expected_crc32, damaged_crc32 AS actual_crc32, lang <> 'fr' AS ok
+FROM m JOIN crcs USING (archive, member_no)""",
     ),
     "detect_container_type": Query(
         _blobs,
@@ -175,8 +204,10 @@ FROM (
                || regexp_replace(url, '^https?://', '') AS filename FROM pages))""",
     ),
     "content_digests": Query(
-        lambda s, d: M.content_digests(_contents(s, d)).drop("crc32"),
-        "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents",
+        lambda s, d: M.content_digests(_contents(s, d)),
+        MEMBERS_SQL.rstrip().replace("lang, text,", "lang, text, doc_id,") + CRC_SQL + """
+SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, crc32
+FROM m JOIN crcs USING (archive, member_no)""",
     ),
     "duplicate_content": Query(
         lambda s, d: M.duplicate_content(_contents(s, d), "doc_id"),

@@ -29,7 +29,7 @@ def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.rename_signals(raw_readings(spark, sf_dir).drop("__primary_key"))
+    return C.rename_signals(raw_readings(spark, sf_dir)).withColumn("__primary_key", F.hex("__primary_key"))
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ QUERIES = {
     ),
     "rename_signal_columns": Query(
         _rename,
-        RAW + "SELECT __sequence, __op_type, "
+        RAW + "SELECT __primary_key, __sequence, __op_type, "
         + ", ".join(f'{SIGNAL} AS {name}' for SIGNAL, name in zip(RAW_NAMES.split(", "), TABLE_NAMES.split(", ")))
         + " FROM raw",
     ),

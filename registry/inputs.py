@@ -113,7 +113,7 @@ READINGS = """WITH readings AS (
 """
 
 RAW = READINGS.rstrip() + """, raw AS (
-  SELECT epoch_us(ts) AS __sequence, 1 AS __op_type, vin_id,
+  SELECT upper(md5(__primary_key)) AS __primary_key, epoch_us(ts) AS __sequence, 1 AS __op_type, vin_id,
          charging_time_remain_minute AS Charging_Time_Remain_Minute,
          extender_starting_point AS Extender_Starting_Point,
          fuel_cltc_mileage AS Fuel_CLTC_Mileage, fuel_wltc_mileage AS Fuel_WLTC_Mileage,

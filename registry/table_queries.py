@@ -11,7 +11,7 @@ from registry.rollup_queries import DAILY_SUMMARY_SQL
 from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.dedup import dedup_readings, flatten_last_writer_wins
 from voltrail.operators.rollups import vehicle_daily_summary
-from voltrail.plans.jobs import build_rollups
+from voltrail.plans.jobs import build_rollups, load_readings
 from voltrail.session import work_path
 from voltrail.sources import bi
 from voltrail.sources import tables as T
@@ -33,7 +33,21 @@ def _raw_drops(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_readings(spark, _raw_drops(spark, sf_dir)).drop("__primary_key")
+    return scan_readings(spark, _raw_drops(spark, sf_dir)).withColumn("__primary_key", F.hex("__primary_key"))
+
+
+def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops, of which one lacks `Road_Mode`, loaded with either one first in the folder."""
+    raw, both = raw_readings(spark, sf_dir), None
+    for first in ("lacking", "whole"):
+        drops, loaded = work_path(spark, "drops"), work_path(spark, "loaded")
+        names = ["day=1", "day=2"] if first == "lacking" else ["day=2", "day=1"]
+        raw.where("channel_id < 4").drop("Road_Mode").write.parquet(f"{drops}/{names[0]}")
+        raw.where("channel_id >= 4").write.parquet(f"{drops}/{names[1]}")
+        load_readings(spark, drops, loaded)
+        rows = T.read_table(spark, loaded).withColumn("first_drop", F.lit(first))
+        both = rows if both is None else both.unionByName(rows)
+    return both
 
 
 def _read_or_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +188,14 @@ def _bi_sql(columns: list[str]) -> str:
 
 
 QUERIES = {
-    "scan_readings": Query(_scan, RAW + f"SELECT __sequence, __op_type, {RAW_NAMES} FROM raw"),
+    "scan_readings": Query(_scan, RAW + f"SELECT __primary_key, __sequence, __op_type, {RAW_NAMES} FROM raw"),
+    "load_drifted_drops": Query(
+        _drifted,
+        READINGS + "SELECT first_drop, "
+        + ", ".join("CASE WHEN channel_id >= 4 THEN road_mode END AS road_mode" if c == "road_mode" else c
+                    for c in COLUMNS.split(", "))
+        + ", CAST(ts AS DATE) AS ts_day FROM readings, (VALUES ('lacking'), ('whole')) v(first_drop)",
+    ),
     "filter_landing_keys": Query(
         _landing_keys,
         """SELECT page_id, key FROM (

@@ -1,4 +1,5 @@
 import io
+import os
 import struct
 import zipfile
 import zlib
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from helpers import as_dicts, plan_of
 from voltrail.functions.content import MAGIC_NUMBERS, digests
 from voltrail.operators import members as M
+from voltrail.plans import jobs
+from voltrail.sources import archives
 from voltrail.session import qualified, work_path
 from voltrail.sources.archives import (
     archive_manifest,
@@ -88,16 +91,47 @@ def test_broken_archive_fails_or_is_reported(spark, landing):
     assert sorted(r["archive"].rsplit("/", 1)[1] for r in reported) == ["cut.zip", "text.zip"]
 
 
-def test_seven_zip_without_its_package(spark, tmp_path):
-    pytest.importorskip("pyarrow")
-    try:
-        import py7zr  # noqa: F401
-        pytest.skip("the optional package is here")
-    except ImportError:
-        pass
+def test_other_containers_are_reported(spark, tmp_path):
     (tmp_path / "x.zip").write_bytes(bytes.fromhex(MAGIC_NUMBERS["7z"]) + b"rest")
     row = as_dicts(archive_manifest(scan_archives(spark, str(tmp_path)), errors="report"))[0]
-    assert "py7zr" in row["error"]
+    assert "not a known archive" in row["error"]
+
+
+def test_a_small_archive_is_one_task_and_a_large_one_several(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "RANGE_BYTES", 100_000)
+    make_zip(tmp_path / "small.zip", [(f"{i}.txt", b"x") for i in range(200)])
+    make_zip(tmp_path / "large.zip", [(f"{i}.bin", os.urandom(50_000)) for i in range(40)], zipfile.ZIP_STORED)
+    spread = archives._spread(archive_manifest(scan_archives(spark, str(tmp_path))))
+    tasks = spread.withColumn("task", F.spark_partition_id()).groupBy("archive").agg(F.count_distinct("task").alias("n"))
+    found = {r["archive"].rsplit("/", 1)[1]: r["n"] for r in tasks.collect()}
+    assert found["small.zip"] == 1 and found["large.zip"] > 1
+
+
+def test_landing_folders_of_any_name(spark, tmp_path):
+    """No archive is left out without a word; other files and shared names are reported."""
+    make_zip(tmp_path / "in" / "a.zip", [("x/one.txt", b"1"), ("two.txt", b"2")])
+    make_zip(tmp_path / "in" / "draw" / "b.zip", [("one.txt", b"3")])
+    (tmp_path / "in" / "notes.md").write_text("no archive")
+    done = jobs.unpack_landing(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.txt", "two.txt"] and done.log.count() == 2
+    assert [r["path"].rsplit("/", 1)[1] for r in as_dicts(done.skipped)] == ["notes.md"]
+    assert as_dicts(done.collisions) == [{"basename": "one.txt", "paths": 2}]
+
+
+def test_messages_to_files(spark, tmp_path):
+    make_zip(tmp_path / "raw" / "day 1" / "a.zip", [("one.txt", b"1")])
+    body = '{"Records": [{"s3": {"object": {"key": "%s"}}}]}'
+    rows = [(body % "raw%2Fday+1/a.zip",), (body % "raw%2Fday+1/a.zip",), (body % "logs/x.zip",), (None,), ("{}",)]
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        done = jobs.unpack_messages(spark, spark.createDataFrame(rows, "body string"), str(tmp_path), out)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["one.txt"] and (tmp_path / "out" / "one.txt").read_bytes() == b"1"
+    assert [r["path"].rsplit("/", 2)[1:] for r in as_dicts(done.skipped)] == [["logs", "x.zip"]]
+
+
+def test_a_store_that_tasks_cannot_open(spark):
+    with pytest.raises(RuntimeError, match="viewfs://x/y"):
+        jobs.unpack_landing(spark, "viewfs://x/y", "/tmp/nowhere")
 
 
 @pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
@@ -113,8 +147,6 @@ def test_crc_check_finds_damage(spark, tmp_path, method):
 
 
 def test_unpack_flattens_and_last_archive_wins(spark, landing, tmp_path):
-    import os
-
     os.utime(landing / "a.zip", (1_700_000_000, 1_700_000_000))
     os.utime(landing / "day2" / "b.zip", (1_700_000_100, 1_700_000_100))
     out = str(tmp_path / "processed")

@@ -47,6 +47,26 @@ def test_quantiles_keep_vehicles_without_speed(spark):
     assert [r["p50_speed"] for r in rows] == [None, 10.0]
 
 
+ODD_SPEEDS = [float("nan"), 10.0, 20.0, 30.0, 40.0, -0.0, 0.0, float("inf"), float("-inf"), -3.5, 1e-9, None]
+
+
+@pytest.mark.parametrize("speeds", [ODD_SPEEDS, ODD_SPEEDS[:5], [float("nan")], [-0.0, 0.0, 0.0, 5.0]])
+def test_quantiles_equal_percentile_on_odd_numbers(spark, speeds):
+    df = make_readings(spark, *[{"display_speed": s, "ts": at(i)} for i, s in enumerate(speeds)])
+    exact = df.selectExpr("percentile(cast(display_speed as double), 0.5) a", "percentile(cast(display_speed as double), 0.95) b")
+    got = status.speed_profile(df).select("p50_speed", "p95_speed").first()
+    assert [str(x) for x in got] == [str(x) for x in exact.first()]
+
+
+def test_close_speeds_use_several_blocks(spark):
+    speeds = spark.range(200_000).select(F.lit("A").alias("vin_id"), (F.col("id") / 200_000 * 15).cast("float").alias("display_speed"))
+    blocks = speeds.groupBy(ranks.value_block(F.col("display_speed").cast("double"))).count()
+    assert blocks.count() > 100 and blocks.agg(F.max("count")).first()[0] < 5_000
+    got = status.speed_profile(speeds).first()
+    exact = speeds.selectExpr("percentile(cast(display_speed as double), 0.95)").first()[0]
+    assert got["p95_speed"] == pytest.approx(exact, abs=1e-12)
+
+
 def test_approximate_profile_is_close(skewed):
     exact = {r["vin_id"]: r["max_speed"] for r in as_dicts(status.speed_profile(skewed))}
     assert {r["vin_id"]: r["max_speed"] for r in as_dicts(status.speed_profile_approx(skewed))} == exact
@@ -61,11 +81,12 @@ def test_numbering_spans_blocks(spark):
     assert len(got) == 1000 and (got.no == want.reindex(got.index)).all()
 
 
-def test_latest_status_limits_before_the_shuffle(skewed, frame):
+def test_latest_status_sorts_only_the_newest(skewed, frame):
     latest = status.vehicle_latest_status(skewed)
     want = frame.assign(vin_id=frame.vin_id.fillna("null")).groupby("vin_id").ts.max()
     assert {(r["vin_id"] or "null"): r["ts"] for r in as_dicts(latest)} == {k: v.to_pydatetime() for k, v in want.items()}
-    assert plan_of(status.vehicle_latest_status(skewed)).count("WindowGroupLimit") == 2
+    plan = plan_of(status.vehicle_latest_status(skewed))
+    assert plan.count("WindowGroupLimit") == 2 and "HashAggregate" in plan
 
 
 def test_latest_status_settles_ties(spark):

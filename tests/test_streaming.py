@@ -149,7 +149,7 @@ def test_landing_zone_to_rollup_tables(spark, small, tmp_path):
     for i, part in enumerate(sorted(parquet.glob("*.parquet"))):
         make_zip(tmp_path / "raw" / f"drop{i}.zip", [(f"day/{part.name}", part.read_bytes())])
     processed, table = str(tmp_path / "processed"), work_path(spark, "readings")
-    assert jobs.unpack_landing(spark, str(tmp_path / "raw"), processed).count() == 3
+    assert jobs.unpack_landing(spark, str(tmp_path / "raw"), processed).log.count() == 3
     assert jobs.load_readings(spark, processed, table) == small.count()
     assert jobs.load_readings(spark, processed, table) == 0
     assert same_rows(read_table(spark, table).drop(DAY), small)

@@ -18,12 +18,16 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def is_landing_key(key: Column) -> Column:
-    """A decoded key under `raw/` that names an archive."""
+def is_archive_name(key: Column) -> Column:
     suffix = F.lit(False)
     for ending in ARCHIVE_SUFFIXES:
         suffix = suffix | key.endswith(ending)
-    return key.contains(RAW_PREFIX) & suffix
+    return suffix
+
+
+def is_landing_key(key: Column) -> Column:
+    """A decoded key under `raw/` that names an archive."""
+    return key.contains(RAW_PREFIX) & is_archive_name(key)
 
 
 def _segments(path: str) -> list[str]:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from voltrail.functions.signals import is_low_battery
 
-ISIN_LIMIT = 1_000
-BROADCAST_LIMIT = 1_000_000
-
 
 def filter_time_range(
     df: DataFrame, start: datetime | str, end: datetime | str, ts: str = "ts", day: str = "ts_day"
@@ -26,21 +23,10 @@ def filter_time_range(
 
 
 def filter_vehicles(df: DataFrame, ids: Sequence[str] | DataFrame, vin: str = "vin_id") -> DataFrame:
-    """Rows of the chosen vehicles.
-
-    A list has a known length: short ones become `IN`, longer ones a broadcast
-    semi join. Beyond the limit, or for a DataFrame of ids, the join strategy is
-    left to Catalyst, and AQE splits the partitions of hot vehicles.
-    """
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(vin)), vin, "left_semi")
-    wanted = sorted(set(ids))
-    if len(wanted) <= ISIN_LIMIT:
-        return df.where(F.col(vin).isin(wanted))
-    side = df.sparkSession.createDataFrame([(v,) for v in wanted], f"{vin} string")
-    if len(wanted) <= BROADCAST_LIMIT:
-        side = F.broadcast(side)
-    return df.join(side, vin, "left_semi")
+    """Rows of the chosen vehicles: a semi join, whose strategy is left to Catalyst; AQE splits hot vehicles."""
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(v,) for v in sorted(set(ids))], f"{vin} string")
+    return df.join(ids.select(F.col(ids.columns[0]).alias(vin)), vin, "left_semi")
 
 
 def low_battery_alerts(df: DataFrame, soc_below: int = 20) -> DataFrame:

@@ -49,20 +49,31 @@ def number_within(
     return join_per_group(rows, starts, [*keys, "__block"]).select(*df.columns, number.alias(out))
 
 
-def ranked_values(df: DataFrame, key: str, value: str, block_width: float = 16.0) -> DataFrame:
+def value_block(value: Column, blocks_per_e: int = 1024) -> Column:
+    """Ascending block numbers that are as fine as the values are close.
+
+    A block spans about a thousandth of its values' size, which is some thousand distinct numbers of 24 binary places,
+    whatever the range; only sizes below a millionth share blocks. NaN goes with the largest, as it sorts.
+    """
+    scaled = F.signum(value) * F.log1p(F.abs(value) * 1000) * blocks_per_e
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(scaled))
+
+
+def ranked_values(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, `value`, `n`, `upto`, `total`): each distinct value of a key, how often it
     occurs, how many values of the key are not greater, and how many there are.
 
     The rows collapse to distinct values with a partial step before the shuffle.
     Counts per block of values say where each block starts, so ranks are
     found block by block and no task needs all values of a key. NULLs stay as one
-    value that occurs 0 times, so that every key is present.
+    value that occurs 0 times, so that every key is present. NaN counts as the
+    largest value and the two zeros as one, as Spark's own percentiles have it.
     """
     number = F.col(value).cast("double")
     counted = (
         df.groupBy(F.col(key), number.alias("value"))
         .agg(F.count(value).alias("n"))
-        .withColumn("__slot", F.struct(F.col(key), F.floor(F.col("value") / block_width).alias("block")))
+        .withColumn("__slot", F.struct(F.col(key), value_block(F.col("value")).alias("block")))
     )
     blocks = counted.groupBy("__slot").agg(F.sum("n").alias("__block_n"))
     whole = Window.partitionBy(f"__slot.{key}")

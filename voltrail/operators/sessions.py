@@ -2,7 +2,9 @@
 
 Two readings in the same slice of one gap length are always in the same session.
 So readings first collapse to one row per vehicle and slice, with a partial step
-before the shuffle, and only the slices are put in order per vehicle. Slices of
+before the shuffle. Slices are put in order block by block, `BLOCK_SLICES` to a
+block at most, and each block learns from one row per earlier block what went
+before it: a vehicle with many short slices spreads over many tasks. Slices of
 disjoint inputs merge by the same aggregate, which the stream uses.
 """
 
@@ -12,8 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltrail.functions.signals import is_charging
+from voltrail.operators.ranks import join_per_group, number_within
 
 GAP_SECONDS = 6 * 3600
+BLOCK_SLICES = 65_536
 
 
 def charging_slices(df: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
@@ -41,22 +45,34 @@ def merge_slices(slices: DataFrame) -> DataFrame:
     )
 
 
-def sessions_from_slices(slices: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+def sessions_from_slices(
+    slices: DataFrame, gap_seconds: int = GAP_SECONDS, block_slices: int = BLOCK_SLICES
+) -> DataFrame:
     """A slice opens a session when its first reading is more than one gap after the last one."""
-    by_time = Window.partitionBy("vin_id").orderBy("slice_no")
-    silence = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(by_time))
-    opens = F.when(silence <= gap_seconds * 1_000_000, 0).otherwise(1)
-    return (
-        slices.withColumn("opens", opens)
-        .withColumn("session_no", F.sum("opens").over(by_time))
-        .groupBy("vin_id", "session_no")
-        .agg(
-            F.min("first_ts").alias("session_start"),
-            F.max("last_ts").alias("session_end"),
-            F.sum("n").alias("reading_count"),
-            (F.max("most_minutes") - F.min("least_minutes")).alias("minutes_drop"),
-        )
+    keys = ["vin_id", "__block"]
+    rows = slices.withColumn("__block", F.floor(F.col("slice_no") / block_slices))
+    in_order = Window.partitionBy("vin_id").orderBy("__block")
+    inside = Window.partitionBy(*keys).orderBy("slice_no")
+    ends = rows.groupBy(*keys).agg(F.max("last_ts").alias("__end"))
+    before = ends.select(*keys, F.lag("__end").over(in_order).alias("__before"))
+    rows = join_per_group(rows, before, keys)
+    silence = F.unix_micros("first_ts") - F.unix_micros(F.coalesce(F.lag("last_ts").over(inside), F.col("__before")))
+    opens = F.coalesce(silence > gap_seconds * 1_000_000, F.lit(True))
+    rows = rows.withColumn("__opened", F.when(opens, F.col("first_ts"))).drop("__before")
+    # Openings rise with time, so the latest one so far is the largest.
+    latest = rows.groupBy(*keys).agg(F.max("__opened").alias("__latest"))
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select(*keys, F.max("__latest").over(earlier).alias("__carried"))
+    so_far = F.max("__opened").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = join_per_group(rows, carried, keys).withColumn("session_start", F.coalesce(so_far, F.col("__carried")))
+    sessions = rows.groupBy("vin_id", "session_start").agg(
+        F.min(F.when(F.col("__opened").isNotNull(), F.col("slice_no"))).alias("slice_no"),
+        F.max("last_ts").alias("session_end"),
+        F.sum("n").alias("reading_count"),
+        (F.max("most_minutes") - F.min("least_minutes")).alias("minutes_drop"),
     )
+    numbered = number_within(sessions, ["vin_id"], "slice_no", "session_no", block_slices)
+    return numbered.select("vin_id", "session_no", "session_start", "session_end", "reading_count", "minutes_drop")
 
 
 def charging_sessions_true(df: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:

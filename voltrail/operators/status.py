@@ -11,9 +11,15 @@ from voltrail.operators.ranks import first_per_group, join_per_group, quantile_o
 
 
 def vehicle_latest_status(df: DataFrame) -> DataFrame:
-    """The newest reading per vehicle; equal instants are settled by the other columns."""
+    """The newest reading per vehicle; equal instants are settled by the other columns.
+
+    The newest instants are a hash aggregate over two columns. Only the readings
+    of those instants, which meet them by a join, are ever sorted by all columns.
+    """
+    newest = df.groupBy("vin_id").agg(F.max("ts").alias("__newest"))
+    at_newest = join_per_group(df, newest, ["vin_id"]).where(F.col("ts").eqNullSafe(F.col("__newest"))).drop("__newest")
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("vin_id", "ts")]
-    return first_per_group(df, [F.col("vin_id")], [F.col("ts").desc_nulls_last(), *rest])
+    return first_per_group(at_newest, [F.col("vin_id")], rest)
 
 
 def fuel_level_bands(df: DataFrame, width: int = 20, top: int = 80) -> DataFrame:

@@ -7,32 +7,41 @@
 
 from __future__ import annotations
 
+import logging
 import sys
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voltrail.operators.cleaning import clean_readings
-from voltrail.operators.dedup import new_readings
+from voltrail.functions.keys import decode_key, is_archive_name, is_landing_key
+from voltrail.operators.cleaning import clean_readings, drop_internal, rename_signals, schema_drift
+from voltrail.operators.dedup import basename_collisions, new_readings
 from voltrail.operators.rollups import (
     charging_behavior_from_facts,
     daily_summary_from_facts,
     day_mode_facts,
     driving_mode_from_facts,
 )
-from voltrail.schema import READINGS_SCHEMA
-from voltrail.session import build_session, work_path
-from voltrail.sources.archives import archive_manifest, landed_archives, scan_archives, unpack_archives
-from voltrail.sources.readings import read_or_sample
+from voltrail.schema import READINGS_SCHEMA, SIGNAL_SCHEMA
+from voltrail.session import build_session, qualified, written
+from voltrail.sources.archives import archive_manifest, check_store, scan_archives, unpack_archives
+from voltrail.sources.envelopes import unpack_event_envelope
+from voltrail.sources.readings import read_or_sample, scan_readings
 from voltrail.sources.tables import (
+    append_audit,
     append_readings,
     days_of,
     ensure_namespace,
     read_days,
     read_table,
     replace_table,
+    table_row_counts,
 )
 
+LOG = logging.getLogger(__name__)
+
 ROLLUPS = {
     "vehicle_daily_summary": daily_summary_from_facts,
     "charging_behavior_analysis": charging_behavior_from_facts,
@@ -40,26 +49,76 @@ ROLLUPS = {
 }
 
 
-def unpack_landing(spark: SparkSession, landing: str, processed: str) -> DataFrame:
-    """Unpack every archive under `landing`; returns the log, written once and read back."""
-    listed, log = work_path(spark, "manifest"), work_path(spark, "unpack-log")
-    archive_manifest(landed_archives(scan_archives(spark, landing))).write.parquet(listed)
-    unpack_archives(spark.read.parquet(listed), processed).write.parquet(log)
-    return spark.read.parquet(log)
+class Unpacked(NamedTuple):
+    """log: what was written. skipped: files that are no archives by name. collisions: names that several members have."""
+
+    log: DataFrame
+    skipped: DataFrame
+    collisions: DataFrame
+
+
+def unpack_landing(spark: SparkSession, landing: str, processed: str) -> Unpacked:
+    """Unpack every archive under `landing`, whatever its folders are called."""
+    check_store(landing)
+    files = scan_archives(spark, landing)
+    named = is_archive_name(F.col("path"))
+    return _unpack(spark, files.where(named), files.where(~named).select("path"), processed)
+
+
+def unpack_messages(spark: SparkSession, messages: DataFrame, store: str, processed: str, body: str = "body") -> Unpacked:
+    """Unpack the archives that storage notifications name: message, key, filter, unpack.
+
+    `store` is the root that keys are relative to. Keys outside `raw/` and objects that are no archives are skipped.
+    """
+    check_store(store)
+    keys = unpack_event_envelope(messages.select(body), body).select(decode_key(F.col("key")).alias("key")).distinct()
+    path = F.concat(F.lit(qualified(spark, store.rstrip("/")) + "/"), F.col("key")).alias("path")
+    landed = is_landing_key(F.col("key"))
+    files = keys.where(landed).select(
+        path, F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(None).cast("long").alias("length"))
+    return _unpack(spark, files, keys.where(~landed).select(path), processed)
+
+
+def _unpack(spark: SparkSession, files: DataFrame, skipped: DataFrame, processed: str) -> Unpacked:
+    manifest = written(archive_manifest(files), "manifest")
+    log = written(unpack_archives(manifest, processed), "unpack-log")
+    members = manifest.where(~F.col("is_directory"))
+    place = F.concat_ws("/", "archive", "filename")
+    report = Unpacked(log, written(skipped, "skipped"), written(basename_collisions(members.select(place.alias("path")), "path"), "collisions"))
+    for what, rows in (("skipped, as they are no archives", report.skipped), ("names shared by several members, the last one stays", report.collisions)):
+        if number := rows.count():
+            LOG.warning("%d %s", number, what)
+    return report
+
+
+def drift_of(spark: SparkSession, processed: str) -> DataFrame:
+    """Missing, unexpected and differing columns over all drops, from their footers."""
+    drops = rename_signals(drop_internal(scan_readings(spark, processed, merge_schema=True)))
+    expected = T.StructType([f for f in READINGS_SCHEMA if f.name != "__primary_key"])
+    return schema_drift(drops, expected).where("status <> 'ok'")
 
 
 def load_readings(spark: SparkSession, processed: str, table_path: str) -> int:
     """Clean all drops and append the readings the table lacks; returns their number.
 
-    Running the job again adds nothing. A missing input folder loads the sample rows.
-    The counts before and after come from the Parquet footers of the touched days.
+    Every drop is read under the full set of signals, so one that lacks a column
+    takes it from no other. Drift and the counts before, incoming and after are
+    logged. Running the job again adds nothing. A missing input folder loads the
+    sample rows.
     """
-    incoming = _typed(read_or_sample(spark, processed, clean_readings))
-    days = days_of(incoming)
-    before = read_days(spark, table_path, days)
-    already = before.count()
-    append_readings(new_readings(incoming, before), table_path)
-    return read_days(spark, table_path, days).count() - already
+    incoming = _typed(read_or_sample(spark, processed, lambda drops: _reported(spark, processed, drops), SIGNAL_SCHEMA))
+    before = read_days(spark, table_path, days_of(incoming))
+    fresh = written(new_readings(incoming, before), "load")
+    audit = {row.step: row.row_count for row in append_audit(before, fresh).collect()}
+    append_readings(fresh, table_path)
+    LOG.info("readings on the touched days: %s before, %s incoming, %s after", *(audit[s] for s in ("before", "incoming", "after")))
+    return audit["incoming"]
+
+
+def _reported(spark: SparkSession, processed: str, drops: DataFrame) -> DataFrame:
+    for row in drift_of(spark, processed).collect():
+        LOG.warning("column %s: %s (expected %s, found %s)", row.column_name, row.status, row.expected_type, row.actual_type)
+    return clean_readings(drops)
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -79,13 +138,14 @@ def build_rollups(
     lost executor's work a second scan. Returns table name -> folder.
     """
     ensure_namespace(spark, namespace)
-    facts_path = work_path(spark, "day-mode-facts")
-    day_mode_facts(readings).write.parquet(facts_path)
-    facts = spark.read.parquet(facts_path)
-    return {
+    facts = written(day_mode_facts(readings), "day-mode-facts")
+    paths = {
         f"{namespace}.{name}": replace_table(derive(facts), f"{namespace}.{name}", root=root)
         for name, derive in ROLLUPS.items()
     }
+    for row in table_row_counts(spark, list(paths)).collect():
+        LOG.info("%s: %d rows", row.table_name, row.row_count)
+    return paths
 
 
 def main(argv: list[str]) -> int:
@@ -95,7 +155,7 @@ def main(argv: list[str]) -> int:
     step, source, target = argv
     spark = build_session(f"voltrail-{step}")
     if step == "unpack":
-        print(f"files written: {unpack_landing(spark, source, target).count()}")
+        print(f"files written: {unpack_landing(spark, source, target).log.count()}")
     elif step == "load":
         print(f"readings appended: {load_readings(spark, source, target)}")
     else:

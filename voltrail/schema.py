@@ -58,6 +58,9 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
+# The signals of a raw drop: what a load reads, by name and whatever the case, from every drop.
+SIGNAL_SCHEMA = T.StructType([f for f in RAW_SCHEMA if f.name not in INTERNAL_COLUMNS])
+
 # The two literal test rows, key and `ts` left out.
 SAMPLE_SIGNALS = [
     ("TEST001", 120, 50, 500, 480, 75, 1, 2, False, 80, 60.5, 1, 1),

@@ -1,9 +1,10 @@
 """Archives as tables: manifest, content, checksum test and unpacking.
 
-The manifest reads only each archive's directory. Every later step spreads the
-members, not the archives, over the tasks, and reads a member at the offset that
-the manifest gives, so one huge archive keeps the whole cluster busy. Content moves in chunks
-of `CHUNK_BYTES`, and no row or task holds a whole archive.
+The manifest reads only each archive's directory. Every later step deals out
+stretches of `RANGE_BYTES` of an archive: a small archive is opened by one task,
+which reads its members in the order they lie in, and a huge one keeps the whole
+cluster busy. Content moves in chunks of `CHUNK_BYTES`, and no row or task holds a
+whole archive. Tasks open the files themselves, through pyarrow: see `check_store`.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from voltrail.sources.containers import (
     checked_chunks,
     filesystem,
     open_archive,
+    stat,
 )
 
 send_to_tasks(__name__)
@@ -41,6 +44,7 @@ CONTENT_SCHEMA = "archive string, member_no bigint, filename string, part bigint
 CHECK_SCHEMA = "archive string, member_no bigint, filename string, expected_crc32 bigint, actual_crc32 bigint, ok boolean"
 UNPACK_SCHEMA = "archive string, member_no bigint, filename string, target string, bytes bigint"
 
+RANGE_BYTES = 64 * 1024 * 1024
 _ROWS_PER_BATCH = 4_096
 
 
@@ -53,7 +57,10 @@ def scan_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_manifest(files: DataFrame, errors: str = "raise") -> DataFrame:
-    """One row per member. A broken archive fails the job, or gives one row with `error` set."""
+    """One row per member. A broken archive fails the job, or gives one row with `error` set.
+
+    `files` has path, modificationTime and length; where the length is unknown, the store is asked for both.
+    """
     if errors not in ("raise", "report"):
         raise ValueError("errors must be 'raise' or 'report'")
     names = [c.split()[0] for c in MANIFEST_SCHEMA.split(", ")]
@@ -63,6 +70,8 @@ def archive_manifest(files: DataFrame, errors: str = "raise") -> DataFrame:
         for batch in batches:
             for path, changed, length in zip(batch["path"], batch["modificationTime"], batch["length"]):
                 try:
+                    if pd.isna(length):
+                        changed, length = stat(path)
                     for m in open_archive(path).members():
                         rows.append((path, changed, length, *m, None))
                         if len(rows) >= _ROWS_PER_BATCH:
@@ -90,11 +99,13 @@ def archive_summary(manifest: DataFrame) -> DataFrame:
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
-    """File members over tasks: the count is explicit, as the rows say nothing about the bytes behind them."""
+    """File members over tasks, a stretch of an archive to a task.
+
+    The task count is explicit, as the rows say nothing about the bytes behind them.
+    """
     members = manifest.where(F.col("error").isNull() & ~F.col("is_directory"))
-    return members.repartition(fan_out(manifest.sparkSession), "archive", "member_no").sortWithinPartitions(
-        "archive", "member_no"
-    )
+    stretch = F.floor(F.col("offset") / RANGE_BYTES)
+    return members.repartition(fan_out(manifest.sparkSession), "archive", stretch).sortWithinPartitions("archive", "offset")
 
 
 def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -160,23 +171,28 @@ def unpack_archives(manifest: DataFrame, out: str) -> DataFrame:
     The manifest is used more than once: persist it, or read it from a table.
 
     Writing happens when the result is computed. Each file is completed under a
-    name of its own and then renamed, so a task that is run again repeats its work
-    without harm.
+    name of its own and then takes the place of an earlier one, so a task that is
+    run again repeats its work without harm.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+        rows, made = [], set()
         for reader, member, row in _opened(batches):
             store, target = filesystem(row.target)
-            folder, name = target.rsplit("/", 1)
-            store.create_dir(folder, recursive=True)
+            folder = target.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
             partial = f"{folder}/_writing-{uuid.uuid4().hex}"
             size = 0
             with store.open_output_stream(partial) as sink:
                 for chunk in checked_chunks(reader, member):
                     sink.write(chunk)
                     size += len(chunk)
-            store.move(partial, f"{folder}/{name}")
+            # Not every store moves onto a name that exists.
+            if store.get_file_info(target).type != FileType.NotFound:
+                store.delete_file(target)
+            store.move(partial, target)
             rows.append((row.archive, row.member_no, row.filename, row.target, size))
             if len(rows) >= _ROWS_PER_BATCH:
                 yield pd.DataFrame(rows, columns=columns)
@@ -191,3 +207,14 @@ def unpack_archives(manifest: DataFrame, out: str) -> DataFrame:
 
 def landed_archives(files: DataFrame) -> DataFrame:
     return files.where(is_landing_key(F.col("path")))
+
+
+def check_store(path: str) -> None:
+    """Fails by name if this path's store cannot be opened through pyarrow, as tasks will have to."""
+    try:
+        filesystem(path)
+    except Exception as unknown:
+        raise RuntimeError(
+            f"archives are read by tasks through pyarrow, which cannot open {path}: {unknown}. "
+            "Give the executors access of their own, or copy the archives to a store they can open."
+        ) from unknown

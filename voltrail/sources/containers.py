@@ -54,11 +54,26 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
 
 
+def stat(uri: str) -> tuple[datetime, int]:
+    """When a file was changed, and its size."""
+    files, path = filesystem(uri)
+    info = files.get_file_info(path)
+    return info.mtime, info.size
+
+
+class ReadAhead(io.BufferedReader):
+    """A seekable file, read ahead in chunks."""
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        try:
+            return super().seek(offset, whence)
+        except ValueError as before_start:
+            raise OSError(str(before_start)) from before_start
+
+
 def open_path(uri: str) -> BinaryIO:
-    """A seekable file; a small one is read at once."""
     files, path = filesystem(uri)
-    source = files.open_input_file(path)
-    return io.BytesIO(source.read()) if source.size() <= CHUNK_BYTES else source
+    return ReadAhead(files.open_input_file(path), CHUNK_BYTES)
 
 
 def _inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -134,31 +149,6 @@ class ZipReader:
             yield piece
 
 
-class SevenZipReader:
-    """Needs the optional `py7zr` package on the executors."""
-
-    def __init__(self, source: BinaryIO) -> None:
-        try:
-            import py7zr
-        except ImportError as missing:
-            raise RuntimeError("7z archives need the py7zr package on every executor") from missing
-        self.archive = py7zr.SevenZipFile(source)
-
-    def members(self) -> Iterator[Member]:
-        method = ",".join(self.archive.archiveinfo().method_names)
-        for no, info in enumerate(self.archive.list()):
-            yield Member(
-                no, info.filename, info.compressed or 0, info.uncompressed, info.is_directory,
-                info.creationtime.replace(tzinfo=None) if info.creationtime else None, info.crc32, method, 0,
-            )
-
-    def content(self, member: Member) -> Iterator[bytes]:
-        self.archive.reset()
-        unpacked = self.archive.read([member.filename])[member.filename]
-        while piece := unpacked.read(CHUNK_BYTES):
-            yield piece
-
-
 def _instant(parts: tuple[int, ...]) -> datetime | None:
     """Member times may be unset or nonsense; the content is still good."""
     try:
@@ -167,7 +157,7 @@ def _instant(parts: tuple[int, ...]) -> datetime | None:
         return None
 
 
-def actual_crc(reader: ZipReader | SevenZipReader, member: Member) -> int | None:
+def actual_crc(reader: ZipReader, member: Member) -> int | None:
     """CRC of the unpacked bytes; None if they cannot be unpacked."""
     crc = 0
     try:
@@ -178,7 +168,7 @@ def actual_crc(reader: ZipReader | SevenZipReader, member: Member) -> int | None
     return crc
 
 
-def checked_chunks(reader: ZipReader | SevenZipReader, member: Member) -> Iterator[bytes]:
+def checked_chunks(reader: ZipReader, member: Member) -> Iterator[bytes]:
     """The content in chunks of `CHUNK_BYTES`; fails at the end if the checksum is not the member's."""
     crc, held = 0, bytearray()
     for piece in reader.content(member):
@@ -197,11 +187,10 @@ def checked_chunks(reader: ZipReader | SevenZipReader, member: Member) -> Iterat
 READERS = {
     b"PK\x03\x04": ZipReader,
     b"PK\x05\x06": ZipReader,
-    b"7z\xbc\xaf\x27\x1c": SevenZipReader,
 }
 
 
-def open_archive(uri: str) -> ZipReader | SevenZipReader:
+def open_archive(uri: str) -> ZipReader:
     source = open_path(uri)
     head = source.read(6)
     source.seek(0)

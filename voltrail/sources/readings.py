@@ -35,14 +35,16 @@ def sample_readings(spark: SparkSession, instant: datetime = SAMPLE_INSTANT) ->
 
 
 def read_or_sample(
-    spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame] = lambda drops: drops
+    spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame] = lambda drops: drops,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """The drops under `path` after `prepare`, or the sample rows when there is no such path.
 
-    Any other failure is the caller's to see.
+    Pass a schema where drops may differ: without one, the columns of one footer
+    stand for all. Any other failure is the caller's to see.
     """
     try:
-        drops = scan_readings(spark, path)
+        drops = scan_readings(spark, path, schema)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

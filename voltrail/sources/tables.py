@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from datetime import date
@@ -118,24 +119,42 @@ def write_rollup(df: DataFrame, table: str, partition: str = "date", path: str |
     writer.saveAsTable(table)
 
 
-def replace_table(df: DataFrame, table: str, partition: str = "date", root: str | None = None) -> str:
+def replace_table(
+    df: DataFrame, table: str, partition: str = "date", root: str | None = None, retire_days: int = 7
+) -> str:
     """Full refresh of `table`; returns the folder that now holds it.
 
     The rows go to a new folder below `root` (the database's own by default), so
-    `df` may read the old table, and a failed write leaves it in place. Only then
-    does the name move over. The old folder stays for queries that still read it.
+    `df` may read the old version, and a failed write leaves that in place. The
+    name is a view, which one statement moves to the new folder: a reader finds
+    either version whole, at any time. Versions that were replaced and are older
+    than `retire_days` go; queries may read the younger ones for that long. A
+    table of that name, made by other means, gives way to the view once.
     """
     spark = df.sparkSession
     database, _, name = table.rpartition(".")
     root = root or spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _by_partition(df, partition).write.partitionBy(partition).option("compression", "snappy").parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
-    spark.catalog.createTable(table, path=path, source="parquet")
-    spark.catalog.recoverPartitions(table)
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {quoted(table)}")
+    spark.sql(f"CREATE OR REPLACE VIEW {quoted(table)} AS SELECT * FROM parquet.`{path}`")
+    _retire(spark, f"{root.rstrip('/')}", name, path, retire_days)
     return path
 
 
+def _retire(spark: SparkSession, root: str, name: str, current: str, days: int) -> None:
+    """Remove replaced versions of a table whose folder is older than `days`."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    oldest = (time.time() - days * 86_400) * 1000
+    for entry in store.listStatus(folder):
+        own = entry.getPath().getName()
+        if own.startswith(f"{name}-") and not current.endswith(own) and entry.getModificationTime() < oldest:
+            store.delete(entry.getPath(), True)
+
+
 def refresh_days(df: DataFrame, path: str, partition: str = "date") -> None:
     """Replace only the partitions that `df` holds rows for."""
     _by_partition(df, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -165,15 +184,17 @@ def ensure_namespace(spark: SparkSession, namespace: str) -> None:
 
 
 def catalog_overview(spark: SparkSession, namespace: str) -> DataFrame:
-    """Create the namespace if absent, then list (namespace, table_name) for every namespace."""
+    """Create the namespace if absent, then list (namespace, table_name) for every namespace.
+
+    The catalog's answers are metadata, which the driver holds anyway: one local relation.
+    """
     ensure_namespace(spark, namespace)
-    names = [row.namespace for row in spark.sql("SHOW DATABASES").collect()]
-    listing = None
-    for name in names:
-        tables = spark.sql(f"SHOW TABLES IN {quoted(name)}").where(~F.col("isTemporary"))
-        rows = tables.select(F.lit(name).alias("namespace"), F.col("tableName").alias("table_name"))
-        listing = rows if listing is None else listing.unionByName(rows)
-    return listing
+    rows = [
+        (name.namespace, table.tableName)
+        for name in spark.sql("SHOW DATABASES").collect()
+        for table in spark.sql(f"SHOW TABLES IN {quoted(name.namespace)}").collect() if not table.isTemporary
+    ]
+    return spark.createDataFrame(rows, "namespace string, table_name string")
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:
