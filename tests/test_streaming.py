@@ -1,4 +1,5 @@
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from voltrail.plans import jobs
 from voltrail.schema import RAW_SCHEMA
 from voltrail.session import work_path
 from voltrail.sources.tables import DAY, read_table
-from voltrail.streaming import ingest, rollups
+from voltrail.streaming import incremental, ingest, rollups
 
 SMALL = "/root/testdata/sf0.001"
 AVERAGES = ["avg_fuel_percentage", "avg_display_speed"]
@@ -167,3 +168,17 @@ def test_load_without_drops_stores_the_sample(spark):
     assert jobs.load_readings(spark, work_path(spark, "missing"), table) == 2
     keys = {r["__primary_key"] for r in as_dicts(read_table(spark, table))}
     assert keys == {"TEST001_1704067200", "TEST002_1704067200"}
+
+
+def test_folders_stay_few_and_rows_stay(spark):
+    out = work_path(spark, "shed")
+    alerts = make_readings(spark, {"target_soc": 5})
+    counts = []
+    for batch in range(12):
+        alerts.write.mode("overwrite").parquet(incremental.batch_path(out, batch))
+        if batch % 3 == 2:
+            ingest.compact_alerts(spark, out, grace_seconds=0)
+            folder = Path("/" + out.removeprefix("file:").lstrip("/"))
+            counts.append(sum(p.is_dir() for kind in ("batches", "compacted") for p in (folder / kind).iterdir()))
+        assert ingest.alerts_so_far(spark, out).count() == batch + 1
+    assert max(counts) <= 3

@@ -84,10 +84,12 @@ def _unpack(spark: SparkSession, files: DataFrame, skipped: DataFrame, processed
     log = written(unpack_archives(manifest, processed), "unpack-log")
     members = manifest.where(~F.col("is_directory"))
     place = F.concat_ws("/", "archive", "filename")
-    report = Unpacked(log, written(skipped, "skipped"), written(basename_collisions(members.select(place.alias("path")), "path"), "collisions"))
-    for what, rows in (("skipped, as they are no archives", report.skipped), ("names shared by several members, the last one stays", report.collisions)):
-        if number := rows.count():
-            LOG.warning("%d %s", number, what)
+    shared = basename_collisions(members.select(place.alias("path")), "path")
+    report = Unpacked(log, written(skipped, "skipped"), written(shared, "collisions"))
+    if number := report.skipped.count():
+        LOG.warning("%d files skipped, as they are no archives", number)
+    if number := report.collisions.count():
+        LOG.warning("%d names shared by several members, of which the last one stays", number)
     return report
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
@@ -61,6 +62,19 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def remove_folders(spark: SparkSession, parent: str, is_stale: Callable[[str], bool], older_than_seconds: float) -> int:
+    """Remove the folders in `parent` whose name is stale and that were last changed so long ago; returns their number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return 0
+    latest, removed = (time.time() - older_than_seconds) * 1000, 0
+    for entry in store.listStatus(folder):
+        if is_stale(entry.getPath().getName()) and entry.getModificationTime() <= latest:
+            removed += bool(store.delete(entry.getPath(), True))
+    return removed
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Writes inside remove their shuffle files as they end, as nothing reads those again."""

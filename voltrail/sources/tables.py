@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Sequence
 from datetime import date
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from voltrail.functions.signals import date_of
 from voltrail.operators.cleaning import non_null_counts
 from voltrail.schema import READINGS_SCHEMA
+from voltrail.session import remove_folders
 from voltrail.sources.readings import read_if_there
 
 DAY = "ts_day"
@@ -139,22 +139,11 @@ def replace_table(
     if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
         spark.sql(f"DROP TABLE {quoted(table)}")
     spark.sql(f"CREATE OR REPLACE VIEW {quoted(table)} AS SELECT * FROM parquet.`{path}`")
-    _retire(spark, f"{root.rstrip('/')}", name, path, retire_days)
+    remove_folders(
+        spark, root, lambda own: own.startswith(f"{name}-") and not path.endswith(f"/{own}"), retire_days * 86_400)
     return path
 
 
-def _retire(spark: SparkSession, root: str, name: str, current: str, days: int) -> None:
-    """Remove replaced versions of a table whose folder is older than `days`."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(root)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    oldest = (time.time() - days * 86_400) * 1000
-    for entry in store.listStatus(folder):
-        own = entry.getPath().getName()
-        if own.startswith(f"{name}-") and not current.endswith(own) and entry.getModificationTime() < oldest:
-            store.delete(entry.getPath(), True)
-
-
 def refresh_days(df: DataFrame, path: str, partition: str = "date") -> None:
     """Replace only the partitions that `df` holds rows for."""
     _by_partition(df, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(

@@ -2,9 +2,9 @@
 
 Each micro-batch writes one folder named after its batch id and overwrites it if
 the batch is run again, so a restart from the checkpoint neither loses nor
-doubles rows. `compact_batches` replaces many small results by their merge, so
-that reading stays cheap however long the stream runs. Nothing passes through the
-driver.
+doubles rows. `compact_batches` replaces many small results by their merge and
+removes them after a grace period, so that reading stays cheap and the folders
+few however long the stream runs. Nothing passes through the driver.
 
     out/batches/batch_id=<n>     result of micro-batch n
     out/compacted/batch_id=<n>   merge of the results up to n
@@ -15,15 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from voltrail.session import remove_folders
 from voltrail.sources.readings import read_if_there
 
 Transform = Callable[[DataFrame], DataFrame]
 
+GRACE_SECONDS = 6 * 3600
+
 _COMPACTIONS = T.StructType([T.StructField("upto", T.LongType())])
 
 
@@ -79,18 +82,36 @@ def read_batches(like: DataFrame, out: str) -> DataFrame:
     return merged.unionByName(_written(like, f"{out}/batches").where(F.col("batch_id") > newest))
 
 
-def compact_batches(like: DataFrame, out: str, merge: Transform) -> int | None:
+def compact_batches(
+    like: DataFrame, out: str, merge: Transform = lambda results: results, grace_seconds: float = GRACE_SECONDS
+) -> int | None:
     """Merge all results but the last one, which might still be written; returns the last batch merged.
 
-    Readers use the merge once it is complete and recorded. May run beside the stream.
+    Readers use the merge once it is complete and recorded. Results that it
+    covers, and older merges, go when they are older than `grace_seconds`, which
+    is how long a query over them may take. May run beside the stream.
     """
     spark = like.sparkSession
     last = _written(like, f"{out}/batches").agg(F.max("batch_id")).first()[0]
     done = read_if_there(spark, f"{out}/compactions", _COMPACTIONS).agg(F.max("upto")).first()[0]
     upto = -1 if last is None else last - 1
     if upto < 0 or done is not None and upto <= done:
+        _shed(spark, out, done, grace_seconds)
         return done
     results = read_batches(like, out).where(F.col("batch_id") <= upto)
     merge(results).select(*like.columns).write.mode("overwrite").parquet(f"{out}/compacted/batch_id={upto}")
     spark.createDataFrame([(upto,)], _COMPACTIONS).coalesce(1).write.mode("append").parquet(f"{out}/compactions")
+    _shed(spark, out, upto, grace_seconds)
     return upto
+
+
+def _shed(spark: SparkSession, out: str, upto: int | None, grace_seconds: float) -> None:
+    """Remove what the merge up to `upto` has replaced."""
+    if upto is None:
+        return
+
+    def number(folder: str) -> int | None:
+        return int(folder.removeprefix("batch_id=")) if folder.startswith("batch_id=") else None
+
+    remove_folders(spark, f"{out}/batches", lambda f: number(f) is not None and number(f) <= upto, grace_seconds)
+    remove_folders(spark, f"{out}/compacted", lambda f: number(f) is not None and number(f) < upto, grace_seconds)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from voltrail.functions.keys import is_archive_name
 from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.dedup import new_readings
 from voltrail.operators.filters import low_battery_alerts
@@ -14,11 +16,10 @@ from voltrail.sources.archives import (
     FILES_SCHEMA,
     UNPACK_SCHEMA,
     archive_manifest,
-    landed_archives,
     unpack_archives,
 )
 from voltrail.sources.tables import append_readings, days_of, read_days
-from voltrail.streaming.incremental import batch_path, read_batches, start_batches, start_each
+from voltrail.streaming.incremental import batch_path, compact_batches, read_batches, start_batches, start_each
 
 
 def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
@@ -44,16 +45,23 @@ def ingest_arrivals_stream(
 
     def write(files: DataFrame, batch_id: int) -> None:
         manifest = archive_manifest(files).persist(StorageLevel.MEMORY_AND_DISK)
-        unpack_archives(manifest, out).write.mode("overwrite").parquet(batch_path(log, batch_id))
-        manifest.unpersist()
+        try:
+            unpack_archives(manifest, out).write.mode("overwrite").parquet(batch_path(log, batch_id))
+        finally:
+            manifest.unpersist()
 
-    return start_each(landed_archives(arrivals), write, checkpoint, **options)
+    return start_each(arrivals.where(is_archive_name(F.col("path"))), write, checkpoint, **options)
 
 
 def arrivals_log(spark: SparkSession, log: str) -> DataFrame:
     return read_batches(spark.createDataFrame([], UNPACK_SCHEMA), log)
 
 
+def compact_log(spark: SparkSession, log: str, **options) -> int | None:
+    """Fold the log's batches into one."""
+    return compact_batches(spark.createDataFrame([], UNPACK_SCHEMA), log, **options)
+
+
 def stream_dedup_ingest(stream: DataFrame, table_path: str, checkpoint: str, **options) -> StreamingQuery:
     """Append each reading once, however late or often it is delivered.
 
@@ -65,9 +73,11 @@ def stream_dedup_ingest(stream: DataFrame, table_path: str, checkpoint: str, **o
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
-        existing = read_days(batch.sparkSession, table_path, days_of(batch))
-        append_readings(new_readings(batch, existing), table_path)
-        batch.unpersist()
+        try:
+            existing = read_days(batch.sparkSession, table_path, days_of(batch))
+            append_readings(new_readings(batch, existing), table_path)
+        finally:
+            batch.unpersist()
 
     return start_each(stream, write, checkpoint, **options)
 
@@ -81,3 +91,8 @@ def stream_low_battery_alerts(
 
 def alerts_so_far(spark: SparkSession, out: str) -> DataFrame:
     return read_batches(spark.createDataFrame([], READINGS_SCHEMA), out).drop("batch_id")
+
+
+def compact_alerts(spark: SparkSession, out: str, **options) -> int | None:
+    """Fold the alerts' batches into one."""
+    return compact_batches(spark.createDataFrame([], READINGS_SCHEMA), out, **options)
