@@ -87,12 +87,13 @@ class Matcher:
     passages: np.ndarray
 
     @classmethod
-    def of(cls, items: list[Item], basis: np.ndarray, idf: np.ndarray) -> "Matcher":
+    def of(cls, items: list[Item], features: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> "Matcher":
+        """`basis` has a row per feature of `features`; the block keeps those of its items."""
         owner, rows = [], []
         used = np.unique(np.concatenate([x.ids for x in items]))
         place = np.full(FEATURES, -1, np.int32)
         place[used] = np.arange(len(used))
-        basis = basis[used].astype(np.float32)
+        basis = basis[np.searchsorted(features, used)]
         for number, item in enumerate(items):
             for start in passage_starts(len(item.ids)):
                 own, weights = weighted(item.ids[start:start + 2 * STEP], idf)
@@ -119,20 +120,31 @@ class Matcher:
         ends = np.minimum(starts + 2 * STEP, firsts[text] + lengths[text])
         found = []
         likely = np.flatnonzero(shared >= COSINE**2 * whole)
-        for at in range(0, len(likely), 4096):
-            part = likely[at:at + 4096]
-            images = np.stack([self._image(ids[starts[i]:ends[i]]) for i in part])
-            near = np.nonzero(images @ self.passages.T >= COSINE)
+        for at in range(0, len(likely), 1024):
+            part = likely[at:at + 1024]
+            near = np.nonzero(self._images(ids, starts[part], ends[part]) @ self.passages.T >= COSINE)
             for row, passage in zip(*near):
                 i = part[row]
                 found.append((int(text[i]), int(in_text[i]) * STEP, int(self.owner[passage])))
         return found
 
-    def _image(self, ids: np.ndarray) -> np.ndarray:
-        own, weights = weighted(ids, self.idf)
-        place = self.place[own]
-        held = place >= 0
-        return weights[held].astype(np.float32) @ self.basis[place[held]]
+    def _images(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The windows' TF-IDF vectors of length one, projected."""
+        lengths = ends - starts
+        window = np.repeat(np.arange(len(starts)), lengths)
+        own = ids[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        key, times = np.unique(window * FEATURES + own, return_counts=True)
+        window, own = key // FEATURES, key % FEATURES
+        weights = times * self.idf[own]
+        length = np.sqrt(np.add.reduceat(weights**2, np.searchsorted(window, np.arange(len(starts)))))
+        held = np.flatnonzero(self.place[own] >= 0)
+        window, place = window[held], self.place[own[held]]
+        weights = (weights[held] / np.maximum(length[window], 1e-9)).astype(np.float32)
+        firsts = np.flatnonzero(np.diff(window, prepend=-1))
+        out = np.zeros((len(starts), self.basis.shape[1]), np.float32)
+        if len(held):
+            out[window[firsts]] = np.add.reduceat(self.basis[place] * weights[:, None], firsts)
+        return out
 
     def matches(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
         """Per text (item id, first word, last word, share) of the items it holds."""
@@ -197,7 +209,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             cut_ids = [x[s:s + 2 * STEP].tolist() for x in ids if len(x) >= MIN_WORDS for s in passage_starts(len(x))]
             yield pd.DataFrame({"ids": pd.Series(cut_ids, dtype=object)})
 
-    basis = decompose(usable.mapInPandas(cut, "ids array<int>"), idf, RANK)
+    features, basis = decompose(usable.mapInPandas(cut, "ids array<int>"), idf, RANK)
     blocks = -(-usable.count() // ITEM_BLOCK)
     none = F.array().cast(MATCHES)
     result = texts.withColumn("matches", none)
@@ -205,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         items = [x for x in (make_item(i, t, idf) for i, t in own) if len(x.ids) >= MIN_WORDS]
         if items:
-            matcher = Matcher.of(items, basis, idf)
+            matcher = Matcher.of(items, features, basis, idf)
             result = result.mapInPandas(lambda b, m=matcher: match(b, m), f"doc_id long, text string, matches {MATCHES}")
     ids = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
     return result.select(

@@ -1,7 +1,7 @@
 """Randomised singular value decomposition of TF-IDF passages that are spread over tasks.
 
-Words go to `FEATURES` hashed features, so every matrix on the driver has a fixed size bound: features by `rank`. Tasks
-hold passages and send back sums by feature.
+Words go to `FEATURES` hashed features, so every matrix on the driver has a fixed size bound, the features in use by
+`rank`. Tasks hold passages and send back sums by feature.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ class Features(dict):
     """Feature of a raw token: its letters without punctuation around them. Forgets when it gets large."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[token] = zlib.crc32(token.strip(STRIPPED) or token) % FEATURES
         return value
@@ -90,35 +90,36 @@ def _summed(passages: DataFrame, rows: Callable[[np.ndarray], Iterator[tuple[int
     return {n: np.array(v) for n, v in total.collect()}
 
 
-def decompose(passages: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2) -> np.ndarray:
-    """FEATURES x rank: the leading right singular vectors of the passages' TF-IDF rows (column `ids`).
+def decompose(passages: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The passages' features, ascending, and the leading right singular vectors of their TF-IDF rows (column `ids`).
 
     Random directions are pushed through the matrix and back, made orthogonal, and so again; the small matrix of what
-    is left is then decomposed exactly.
+    is left is then decomposed exactly. Tasks are sent a row per feature in use, FEATURES at most.
     """
-    basis = np.random.default_rng(11).standard_normal((FEATURES, rank))
+    used = np.array(sorted(r[0] for r in passages.select(F.explode("ids")).distinct().collect()), np.int64)
+    rank = min(rank, len(used), passages.count())
+    if not rank:
+        return used, np.zeros((len(used), 0), np.float32)
+    basis = np.random.default_rng(11).standard_normal((len(used), rank))
 
-    def through(own_basis: np.ndarray):
+    def through(basis: np.ndarray):
         def rows(ids: np.ndarray):
             own, weights = weighted(ids, idf)
-            image = weights @ own_basis[own]
-            return ((int(f), w * image) for f, w in zip(own, weights))
+            place = np.searchsorted(used, own)
+            image = weights @ basis[place]
+            return ((int(f), w * image) for f, w in zip(place, weights))
         return rows
 
     for _ in range(rounds):
-        sums = _summed(passages, through(basis), rank)
-        held = np.array(sorted(sums), np.int64)
-        basis = np.zeros((FEATURES, rank))
-        if not len(held):
-            return basis
-        q, _ = np.linalg.qr(np.stack([sums[f] for f in held]))
-        basis[held, :q.shape[1]] = q
+        sums = _summed(passages, through(basis.astype(np.float32)), rank)
+        basis, _ = np.linalg.qr(np.stack([sums[f] for f in range(len(used))]))
+    final = basis.astype(np.float32)
 
     def gram(ids: np.ndarray):
         own, weights = weighted(ids, idf)
-        image = weights @ basis[own]
+        image = weights @ final[np.searchsorted(used, own)]
         return ((i, image[i] * image) for i in range(rank))
 
     small = _summed(passages, gram, rank)
     _, turned = np.linalg.eigh(np.stack([small[i] for i in range(rank)]))
-    return basis @ turned[:, ::-1]
+    return used, (basis @ turned[:, ::-1]).astype(np.float32)
