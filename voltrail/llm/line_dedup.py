@@ -16,7 +16,6 @@ ignored. An empty table gives no rows. Lines of any length are hashed whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
