@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from voltrail.session import written
 
 
+def _fingerprint(edges: DataFrame) -> tuple[int, ...]:
+    """Differs, as far as 128 bits can, between different sets of edges."""
+    hashes = [F.bit_xor(F.xxhash64("a", "b", F.lit(salt))) for salt in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *hashes).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for the nodes of links a, b.
 
@@ -17,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.least("a", "b"), F.greatest("a", "b")
     edges = written(links.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "links")
-    while not edges.isEmpty():
+    before = _fingerprint(edges)
+    while before[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -26,9 +33,10 @@ def components(links: DataFrame) -> DataFrame:
         least = written(large.groupBy("b").agg(F.min("a").alias("m")), "links")
         small = large.join(least, "b").select("m", "a", "b")
         tied = small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m"), F.col("a")))
-        after = written(tied.distinct(), "links")
-        if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
+        edges = written(tied.distinct(), "links")
+        now = _fingerprint(edges)
+        if now == before:
             break
-        edges = after
+        before = now
     tails = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return tails.union(edges.select("a", "a")).distinct()

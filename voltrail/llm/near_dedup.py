@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from voltrail.llm import blobs
 from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
 from voltrail.llm.graph import components
-from voltrail.session import send_to_tasks, written
+from voltrail.session import fan_out, send_to_tasks, written
 
 SIMILARITY = 80
 PLACES, CHUNKS = 64, 10
@@ -41,12 +40,12 @@ MISS = 1.25e-6
 BUCKET_KEYS = 1_000_000
 BLOCK = 1024
 PIVOT_PAIRS = 4096
+STAR_ROWS = 4096
 NO_ID = -(2**63)
 
 SETS = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
-@lru_cache
 def distance_for(similarity: int, places: int = PLACES) -> int:
     """The least distance that a pair of this similarity (in hundredths) exceeds with a probability of at most MISS."""
     differ = 1 - similarity / 100
@@ -59,7 +58,6 @@ def distance_for(similarity: int, places: int = PLACES) -> int:
     return 0
 
 
-@lru_cache
 def key_places(similarity: int) -> list[tuple[int, ...]]:
     """For every chunk and every choice of wrong places in it, the places that make its key."""
     errors = distance_for(similarity) // CHUNKS
@@ -76,7 +74,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Hashes of the words met lately."""
+
     def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -149,7 +151,7 @@ STARS = "bucket long, keys binary, least binary, a long, b long"
 
 def local_stars(batches: Iterator[pd.DataFrame], similarity: int, bits: int) -> Iterator[pd.DataFrame]:
     """Per batch: links to the smallest class of each key, and that class for the bucket that owns the key."""
-    for batch in batches:
+    for batch in (whole.iloc[at:at + STAR_ROWS] for whole in batches for at in range(0, len(whole), STAR_ROWS)):
         classes = batch["cls"].to_numpy(np.int64)
         keys = index_keys(_signatures(batch["signature"]), similarity)
         flat, owner = keys.ravel(), np.repeat(classes, keys.shape[1])
@@ -201,18 +203,60 @@ def are_similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
-def compare_block(left: pd.DataFrame, right: pd.DataFrame, distance: int, similarity: int) -> pd.DataFrame:
-    """Pairs of different components within the distance and of sizes that allow the similarity."""
-    found = []
-    a, b = _signatures(left["signature"]), _signatures(right["signature"])
-    sizes, classes, parts = (right[c].to_numpy(np.int64) for c in ("n_shingles", "cls", "component"))
-    for at, (cls, part, size) in enumerate(zip(left["cls"], left["component"], left["n_shingles"])):
-        near = (a[at] != b).sum(1) <= distance
-        near &= (parts != part) & (classes != cls)
-        near &= (100 * np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
-        found.append(np.stack([np.minimum(classes[near], cls), np.maximum(classes[near], cls)], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+class Members:
+    """Classes of one key's blocks i and j, as arrays."""
+
+    COLUMNS = ("cls", "component", "n_shingles", "block")
+
+    def __init__(self, rows: pd.DataFrame):
+        self.cls, self.component, self.size, self.block = (rows[c].to_numpy(np.int64) for c in self.COLUMNS)
+        self.signature = _signatures(rows["signature"])
+
+    def pairs(self, start: int, end: int, group: np.ndarray, distance: int, similarity: int, used: np.ndarray) -> np.ndarray:
+        """Pairs across blocks i and j of different components, within the distance and of sizes that allow the similarity.
+
+        `group` is number, i, j. A pair that shares several keys is given by the one of the smallest number; `used` has
+        a column per key with its places.
+        """
+        number, i, j = group.tolist()
+        own = np.arange(start, end)
+        left, right = own[self.block[own] == i], own[self.block[own] == j]
+        found = []
+        for nth, at in enumerate(left.tolist()):
+            others = right[nth + 1:] if i == j else right
+            others = others[self.component[others] != self.component[at]]
+            small, large = np.minimum(self.size[others], self.size[at]), np.maximum(self.size[others], self.size[at])
+            others = others[100 * small >= similarity * large]
+            if len(others):
+                same = self.signature[others] == self.signature[at]
+                near = same.sum(1) >= PLACES - distance
+                shared = same[near].astype(np.float32) @ used == used.sum(0)
+                near = others[near][shared.argmax(1) == number]
+                found.append(np.stack([np.minimum(self.cls[near], self.cls[at]), np.maximum(self.cls[near], self.cls[at])], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def compare_groups(batches: Iterator[pd.DataFrame], distance: int, similarity: int) -> Iterator[pd.DataFrame]:
+    """Pairs within each (key, i, j), whose rows follow one another; the last group of a batch waits for the next."""
+    places = key_places(similarity)
+    used = np.zeros((PLACES, len(places)), np.float32)
+    for number, own in enumerate(places):
+        used[list(own), number] = 1
+    waiting = None
+    for batch in chain(batches, [None]):
+        rows = waiting if batch is None else batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        if rows is None:
+            return
+        groups = rows[["key", "number", "i", "j"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]).any(1)]))
+        last = len(rows) if batch is None else int(starts[-1])
+        waiting = rows.iloc[last:].reset_index(drop=True)
+        members, found = Members(rows.iloc[:last]), []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+            if start < last:
+                found.append(members.pairs(start, end, groups[start, 1:], distance, similarity, used))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 class NearDuplicates:
@@ -295,37 +339,39 @@ class NearDuplicates:
         def keys_of(signatures: pd.Series) -> pd.Series:
             return pd.Series(list(index_keys(_signatures(signatures), similarity).view(np.int64)))
 
-        keyed = members.select("cls", "component", F.explode(keys_of("signature")).alias("key"))
+        keyed = members.select("cls", "component", F.posexplode(keys_of("signature")).alias("number", "key"))
         open_ = written(
             keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
             .where("x <> y AND n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-open")
         held = keyed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        held = written(held.select("key", "blocks", "block", "cls"), "near-held")
+        held = written(held.select("key", "number", "blocks", "block", "cls"), "near-held")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         full = members.select("cls", "component", "n_shingles", "signature")
-        rows = held.select("key", "blocks", "block", "cls", F.explode(every).alias("other")).select(
-            "key", "cls", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").join(full, "cls")
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            i, j = group["i"].iloc[0], group["j"].iloc[0]
-            return compare_block(group[group["block"] == i], group[group["block"] == j], distance, similarity)
+        rows = held.select("key", "number", "block", "cls", F.explode(every).alias("other")).select(
+            "key", "number", "cls", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").join(full, "cls")
 
-        pairs = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        dealt = rows.repartition(fan_out(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = dealt.mapInPandas(lambda b: compare_groups(b, distance, similarity), "a long, b long")
         return pairs.join(links, ["a", "b"], "left_anti")
 
+    def joined(self, parts: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after the links that are confirmed."""
+        if links.isEmpty():
+            return parts
+        sure = written(self.confirm(links), "near-sure")
+        if sure.isEmpty():
+            return parts
+        return written(components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(sure)), "near-parts")
+
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""
         links = self.star_links()
         first = links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        sure = written(self.confirm(written(first, "near-first")), "near-sure")
-        parts = written(components(sure), "near-parts")
-        rest = written(self.apart(links.join(first, ["a", "b"], "left_anti"), parts), "near-rest")
-        sure = written(sure.union(self.confirm(rest)), "near-sure")
-        parts = written(components(sure), "near-parts")
-        more = written(self.unresolved(links, parts), "near-more")
-        if not more.isEmpty():
-            sure = written(sure.union(self.confirm(more)), "near-sure")
-            parts = written(components(sure), "near-parts")
+        none = self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+        parts = self.joined(none, written(first, "near-first"))
+        rest = self.apart(links.join(first, ["a", "b"], "left_anti"), parts)
+        parts = self.joined(parts, written(rest, "near-rest"))
+        parts = self.joined(parts, written(self.unresolved(links, parts), "near-more"))
         named = self.classes.join(parts.toDF("cls", "component"), "cls", "left").select(
             "set_key", "doc_id", F.coalesce("component", "cls").alias("component"))
         named = written(named, "near-named")
