@@ -7,9 +7,9 @@ distance some chunk has at most `errors` differing places (pigeonhole). So each
 places that may be wrong, made of the others, and every pair within the distance shares a key.
 
 No group of a key is expanded into pairs. Copies of one set are one class. Per batch of classes and key, the classes
-link to the smallest one, and the batches' smallest ones to the smallest of all (stars). Stars are confirmed first by
-each class's smallest partner, then by the others that are still apart. A key whose classes are then in one component
-has nothing left to give. Where they are not, the classes of different components are compared by signature, block by
+link to the smallest one, and the batches' smallest ones to the smallest of all (stars). Of the stars' links within the
+distance, each class's nearest one is confirmed first, then the nearest few between components that are still apart, and
+so on until none is left. A key whose classes are then in one component has nothing left to give. Where they are not, the classes of different components are compared by signature, block by
 block, and the pairs within the distance are confirmed. So every pair that shares a key is linked, disproved or joined.
 
 Defined results: null or empty text, and text without words, has no shingle and is its own component. A null id counts
@@ -28,6 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voltrail.llm import blobs
 from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
@@ -274,7 +275,7 @@ class NearDuplicates:
         self.classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
 
     def star_links(self) -> DataFrame:
-        """a, b: the links to confirm. Sets under 4 shingles (at 80 of 100) are similar to none but their copies."""
+        """a, b: the links of all stars. Sets under 4 shingles (at 80 of 100) are similar to none but their copies."""
         least_size = math.ceil(self.similarity / (100 - self.similarity)) if self.similarity < 100 else math.inf
         indexed = self.classes.where(F.col("n_shingles") >= least_size).select("cls", "signature")
         similarity = self.similarity
@@ -282,16 +283,21 @@ class NearDuplicates:
         local = written(indexed.mapInPandas(lambda b: local_stars(b, similarity, bits), STARS), "near-stars")
         across = local.where("bucket IS NOT NULL").select("bucket", "keys", "least").groupBy("bucket").applyInPandas(
             join_stars, "a long, b long")
-        links = local.where("a IS NOT NULL").select("a", "b").union(across).distinct()
-        return written(self.plausible(links), "near-links")
+        return written(local.where("a IS NOT NULL").select("a", "b").union(across).distinct(), "near-stars")
 
     def plausible(self, links: DataFrame) -> DataFrame:
-        """Links whose sizes allow the similarity."""
-        sizes = self.classes.select("cls", "n_shingles")
-        a, b = (sizes.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"size_{x}")) for x in "ab")
-        sized = links.join(a, "a").join(b, "b")
-        return sized.where(
-            100 * F.least("size_a", "size_b") >= self.similarity * F.greatest("size_a", "size_b")).select("a", "b")
+        """a, b, apart: the links whose sizes allow the similarity and whose signatures are within the distance."""
+
+        @F.pandas_udf("int")
+        def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series((_signatures(x) != _signatures(y)).sum(1).astype(np.int32))
+
+        known = self.classes.select("cls", "n_shingles", "signature")
+        for x in "ab":
+            links = links.join(known.toDF(x, f"size_{x}", f"signature_{x}"), x)
+        sized = links.where(100 * F.least("size_a", "size_b") >= self.similarity * F.greatest("size_a", "size_b"))
+        measured = sized.select("a", "b", distance("signature_a", "signature_b").alias("apart"))
+        return measured.where(F.col("apart") <= distance_for(self.similarity))
 
     def confirm(self, links: DataFrame) -> DataFrame:
         """The links whose full sets are similar. A class with many links meets them in parts of PIVOT_PAIRS."""
@@ -315,21 +321,23 @@ class NearDuplicates:
         both = pairs.join(right, "b").join(left, ["a", "part"])
         return both.where(similar("items_a", "items_b")).select("a", "b")
 
-    def apart(self, links: DataFrame, parts: DataFrame) -> DataFrame:
-        """Links between different components."""
+    def between(self, links: DataFrame, parts: DataFrame) -> DataFrame:
+        """a, b, apart and x, y: links between different components x and y."""
         own = parts.select("node", "component")
-        for x in "ab":
-            links = links.join(own.toDF(x, f"component_{x}"), x, "left").withColumn(
-                f"component_{x}", F.coalesce(f"component_{x}", x))
-        return links.where("component_a <> component_b").select("a", "b")
-
-    def unresolved(self, links: DataFrame, parts: DataFrame) -> DataFrame:
+        for end in "ab":
+            links = links.join(own.toDF(end, f"component_{end}"), end, "left").withColumn(
+                f"component_{end}", F.coalesce(f"component_{end}", end))
+        apart = links.where("component_a <> component_b")
+        return apart.select(
+            "a", "b", "apart", F.least("component_a", "component_b").alias("x"), F.greatest("component_a", "component_b").alias("y"))
+
+    def unresolved(self, stars: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs that share a key, are in different components and within the distance.
 
-        Only classes of some link share a key with others, and a key of two classes has its one link tested.
+        Only classes of some star share a key with others, and a key of two classes has its one link tested.
         """
         similarity, distance = self.similarity, distance_for(self.similarity)
-        linked = links.select("a").union(links.select("b")).distinct().toDF("cls")
+        linked = stars.select("a").union(stars.select("b")).distinct().toDF("cls")
         members = self.classes.join(linked, "cls", "left_semi").join(
             parts.toDF("cls", "component"), "cls", "left").select(
             "cls", F.coalesce("component", "cls").alias("component"), "n_shingles", "signature")
@@ -352,7 +360,7 @@ class NearDuplicates:
 
         dealt = rows.repartition(fan_out(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = dealt.mapInPandas(lambda b: compare_groups(b, distance, similarity), "a long, b long")
-        return pairs.join(links, ["a", "b"], "left_anti")
+        return pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
 
     def joined(self, parts: DataFrame, links: DataFrame) -> DataFrame:
         """The components after the links that are confirmed."""
@@ -365,13 +373,24 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""
-        links = self.star_links()
-        first = links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        stars = self.star_links()
+        links = written(self.plausible(stars), "near-links")
+        nearest = F.min(F.struct("apart", "a"))["a"]
+        first = links.groupBy("b").agg(nearest.alias("a")).select("a", "b")
         none = self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
         parts = self.joined(none, written(first, "near-first"))
-        rest = self.apart(links.join(first, ["a", "b"], "left_anti"), parts)
-        parts = self.joined(parts, written(rest, "near-rest"))
-        parts = self.joined(parts, written(self.unresolved(links, parts), "near-more"))
+        tested, most = first, 1
+        while True:
+            # A few of the nearest links between two components at a time: one that holds spares the others.
+            rest = written(self.between(links.join(tested, ["a", "b"], "left_anti"), parts), "near-rest")
+            if rest.isEmpty():
+                break
+            some = Window.partitionBy("x", "y").orderBy("apart", "a", "b")
+            chosen = rest.withColumn("nr", F.row_number().over(some)).where(F.col("nr") <= most).select("a", "b")
+            chosen = written(chosen, "near-chosen")
+            parts = self.joined(parts, chosen)
+            tested, most = written(tested.union(chosen), "near-tested"), most * 8
+        parts = self.joined(parts, written(self.unresolved(stars, links, parts), "near-more"))
         named = self.classes.join(parts.toDF("cls", "component"), "cls", "left").select(
             "set_key", "doc_id", F.coalesce("component", "cls").alias("component"))
         named = written(named, "near-named")
