@@ -39,7 +39,7 @@ from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
 from voltrail.session import send_to_tasks, written
 
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_NGRAMS = 1_000_000
 ROUNDS, TOLERANCE = 20, 1e-3
 ADD = 0.1
@@ -191,17 +191,21 @@ def counted(chunk: pd.DataFrame, answers: pd.DataFrame, texts: int, deleted_text
     """The chunk with the corpus counts of its tokens, and the distinct count triples of its deleted texts."""
     row = chunk.iloc[0]
     tokens = Tokens(row)
+    use = tokens.fold == DELETED
     got = {}
-    for kind, (_, place) in ((UNIGRAM, tokens.unigrams()), (BIGRAM, tokens.bigrams())):
+    for kind, ngrams in ((UNIGRAM, tokens.unigrams), (BIGRAM, tokens.bigrams)):
+        _, place = ngrams()
         own = answers[answers["kind"] == kind].sort_values("bucket")
         for column in ("train", "deleted"):
-            got[kind, column] = np.concatenate([unpack(x, np.uint64) for x in own[column]]).astype(np.int64)[place]
+            counts = np.concatenate([unpack(x, np.uint64) for x in own[column]]).astype(np.int64)
+            # Of the deleted part's bigrams only those of its own texts matter.
+            got[kind, column] = counts[place[use] if (kind, column) == (BIGRAM, "deleted") else place]
+        del place, counts
     c1, c2 = got[UNIGRAM, "train"], got[BIGRAM, "train"]
-    use = tokens.fold == DELETED
-    kept1 = c1 - got[UNIGRAM, "deleted"]
+    kept1 = c1 - got.pop((UNIGRAM, "deleted"))
     ch = _context_counts(kept1, tokens.firsts, texts - deleted_texts)
     triples, n = np.unique(
-        np.stack([(c2 - got[BIGRAM, "deleted"])[use], ch[use], kept1[use]], 1), axis=0, return_counts=True)
+        np.stack([c2[use] - got[BIGRAM, "deleted"], ch[use], kept1[use]], 1), axis=0, return_counts=True)
     return pd.DataFrame({
         "chunk": [row["chunk"]], "docs": [row["docs"]], "folds": [row["folds"]], "lengths": [row["lengths"]],
         "c1": [pack(c1.astype(np.uint64))], "c2": [pack(c2.astype(np.uint64))],
