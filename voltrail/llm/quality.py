@@ -38,6 +38,7 @@ DIMENSIONS = 1 << 20
 EPOCHS, STEP, SHRINK = 12, 0.5, 1e-5
 ROUNDS = 100
 SURE = 0.95
+STRETCH = 500
 NO_ID = -(2**63)
 
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,8 +80,8 @@ def measure(text: str, insults: frozenset[bytes]) -> tuple[list[float], set[byte
         tokens.count(b"|") / n,
         sum(line.count(b"|") >= 3 for line in lines) / len(lines),
         sum(map(eq, tokens, tokens[1:])) / n,
-        # Few words among many; short texts repeat little by nature.
-        1 - len(distinct) / n if n >= 20 else 0.0,
+        # Few words among many; short texts repeat little by nature, long ones much, so it is taken stretch by stretch.
+        1 - sum(len(set(tokens[i:i + STRETCH])) for i in range(0, n, STRETCH)) / n if n >= 20 else 0.0,
         1 - len(set(lines)) / len(lines) if len(lines) >= 5 else 0.0,
         hits,
         hits,
@@ -134,8 +135,8 @@ def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]
 
 
 def hashed(parts: set[bytes], votes: list[int]) -> np.ndarray:
-    """The features of a text: its word parts, and what the labellers say of it."""
-    marks = [zlib.crc32(f"\t{name}={vote}".encode()) % DIMENSIONS for name, vote in zip(NAMES, votes)]
+    """The features of a text: its word parts, and what the labellers say of it, where they say something."""
+    marks = [zlib.crc32(f"\t{name}={v}".encode()) % DIMENSIONS for name, v in zip(NAMES, votes) if v != SILENT]
     return np.unique(np.array([zlib.crc32(p) % DIMENSIONS for p in parts] + marks, np.int32))
 
 
