@@ -24,6 +24,7 @@ MAGIC = "WARC/1."
 CUT = "\n" + MAGIC
 END = "\r\n\r\n"
 RECORD_ID = "urn:page:"
+WRITE_ROUNDS = 2
 
 
 def payload_digest(payload: Column) -> Column:
@@ -72,11 +73,17 @@ def record_text(rows: DataFrame) -> Column:
     return F.concat(F.encode(fields, "UTF-8"), block).cast("string")
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """One record per page; Spark's commit protocol makes each file whole or absent."""
+def write_warc(pages: DataFrame, path: str, rounds: int = WRITE_ROUNDS) -> None:
+    """One record per page; Spark's commit protocol makes each file whole or absent.
+
+    Payloads meet their record type by a shuffle. They are written in `rounds`, each with its share of the digests,
+    so the shuffle takes a share of the disk only.
+    """
     rows = with_record_types(pages)
-    with shuffles_freed(pages.sparkSession):
-        rows.select(record_text(rows).alias("value")).write.option("lineSep", END).text(path)
+    for number in range(rounds):
+        own = rows.where(F.pmod(F.xxhash64("digest"), F.lit(rounds)) == number)
+        with shuffles_freed(pages.sparkSession):
+            own.select(record_text(own).alias("value")).write.mode("append").option("lineSep", END).text(path)
 
 
 def _field(name: str, header: Column) -> Column:
