@@ -82,3 +82,14 @@ def test_empty_tables(spark):
     assert [r["kept"] for r in find_contamination(docs, none).collect()] == [True]
     one = spark.createDataFrame([(1, "some text of a few words", 1)], ITEMS)
     assert find_contamination(make_docs(spark, []), one).count() == 0
+
+
+def test_many_items(spark):
+    """The latent space keeps little of so many items; their verbatim copies are found by their words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts_of = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    cuts = [(d, w[at:at + 38]) for d, w in sorted(texts_of.items()) for at in range(7, len(w) - 37, 61)][:3000]
+    assert len(cuts) == 3000
+    table = spark.createDataFrame([(n, " ".join(w), 1) for n, (_, w) in enumerate(cuts)], ITEMS)
+    found = {r["doc_id"]: set(r["item_ids"]) for r in find_contamination(docs, table).collect()}
+    assert all(n in found[doc] for n, (doc, _) in enumerate(cuts))

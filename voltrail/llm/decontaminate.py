@@ -4,7 +4,9 @@ Benchmark items are cut into passages; a randomised SVD of their TF-IDF rows, we
 corpus hold a word, gives the latent space. Texts are cut into windows of two blocks of `STEP` words, a block apart. A
 window is a candidate for an item if the cosine of its TF-IDF vector, projected, to one of the item's passages is at
 least `COSINE`. Only windows with at least the square of that share of their weight in benchmark words can reach it, so
-the others are not projected. The stretch of text around an item's candidate windows is then compared with the item word
+the others are not projected. The projection and the words around a short item lower that cosine, so a stretch of
+three blocks is a candidate as well if the words it shares with a passage hold `COSINE` of the passage's own weight,
+whatever else stands there; this is counted in the words themselves. The stretch of text around an item's candidate windows is then compared with the item word
 by word: the longest common subsequence must hold `SHARE` of the item's words, and the item's answer must be there: what
 follows `answer:`, or else most of its `ANSWER_TERMS` rarest words.
 
@@ -36,6 +38,9 @@ SHARE = 0.6
 RANK = 256
 MIN_WORDS = 5
 ITEM_BLOCK = 2048
+# Words of a passage that together hold less than this share of its weight, the commonest, are looked at last.
+COMMON = 0.2
+PAIRS = 1 << 20
 
 
 def passage_starts(words: int) -> range:
@@ -75,6 +80,74 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Postings:
+    """Which passages hold a feature, and the share of the passage's weight that it is.
+
+    Only a passage's rarer words have postings; `least` is the share of those that a stretch must hold to reach `COSINE`
+    if it holds all the others as well, so no stretch is lost.
+    """
+
+    first: np.ndarray
+    passage: np.ndarray
+    share: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, passages: list[tuple[np.ndarray, np.ndarray]]) -> "Postings":
+        feature, passage, share, least = [], [], [], []
+        for number, (own, shares) in enumerate(passages):
+            order = np.argsort(shares, kind="stable")
+            below = np.cumsum(shares[order])
+            kept = order[below >= COMMON]
+            feature.append(own[kept])
+            passage.append(np.full(len(kept), number))
+            share.append(shares[kept])
+            least.append(COSINE - float(shares.sum() - shares[kept].sum()))
+        features, order = np.concatenate(feature), np.argsort(np.concatenate(feature), kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=FEATURES))])
+        return cls(first, np.concatenate(passage)[order], np.concatenate(share)[order], np.array(least) - 1e-9)
+
+    def near(self, ids: np.ndarray, block: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, passage) where the three blocks from there on, in one text, hold enough of the passage.
+
+        A word in two of the blocks counts twice, so this may be more than enough; matches are compared word by word.
+        """
+        many = self.first[1:] - self.first[:-1]
+        held = np.flatnonzero(many[ids])
+        key = np.unique(block[held] * FEATURES + ids[held])
+        block, word = key // FEATURES, key % FEATURES
+        # Two empty blocks stand between texts, so that no stretch reaches from one to the next.
+        spaced = block + 2 * text[block]
+        width = len(text) + 2 * (int(text[-1]) + 2)
+        times = many[word]
+        before = np.concatenate([[0], np.cumsum(times)])
+        blocks, passages = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(key):
+            end = max(int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1, at + 1)
+            # Whole blocks, and the two behind, whose stretches the next round finds again.
+            new = int(np.searchsorted(block, block[end - 1], "right"))
+            last = int(np.searchsorted(spaced, spaced[new - 1] + 2, "right"))
+            n = times[at:last]
+            row = np.repeat(np.arange(at, last), n)
+            posting = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[word[at:last]], n)
+            pair = self.passage[posting] * width + spaced[row]
+            order = np.argsort(pair, kind="stable")
+            pair, share, row = pair[order], self.share[posting[order]], row[order]
+            firsts = np.flatnonzero(np.diff(pair, prepend=-1))
+            total = np.add.reduceat(share, firsts) if len(firsts) else share
+            pair, row = pair[firsts], row[firsts]
+            whole = total.copy()
+            for n in (1, 2):
+                whole[:-n] += np.where(pair[n:] - pair[:-n] <= 2, total[n:], 0)
+            good = np.flatnonzero(whole >= self.least[pair // width])
+            blocks.append(block[row[good]])
+            passages.append(pair[good] // width)
+            at = new
+        return np.concatenate(blocks), np.concatenate(passages)
+
+
 @dataclass
 class Matcher:
     """A block of items and the latent space of their passages."""
@@ -85,11 +158,12 @@ class Matcher:
     place: np.ndarray
     basis: np.ndarray
     passages: np.ndarray
+    postings: "Postings"
 
     @classmethod
     def of(cls, items: list[Item], features: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> "Matcher":
         """`basis` has a row per feature of `features`; the block keeps those of its items."""
-        owner, rows = [], []
+        owner, rows, parts = [], [], []
         used = np.unique(np.concatenate([x.ids for x in items]))
         place = np.full(FEATURES, -1, np.int32)
         place[used] = np.arange(len(used))
@@ -99,8 +173,9 @@ class Matcher:
                 own, weights = weighted(item.ids[start:start + 2 * STEP], idf)
                 image = weights.astype(np.float32) @ basis[place[own]]
                 owner.append(number)
+                parts.append((own, weights**2))
                 rows.append(image / max(float(np.linalg.norm(image)), 1e-9))
-        return cls(items, np.array(owner), idf.astype(np.float32), place, basis, np.stack(rows))
+        return cls(items, np.array(owner), idf.astype(np.float32), place, basis, np.stack(rows), Postings.of(parts))
 
     def candidates(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, first word, item) of the windows that are near an item's passage. `ids` are all texts' words."""
@@ -126,6 +201,10 @@ class Matcher:
             for row, passage in zip(*near):
                 i = part[row]
                 found.append((int(text[i]), int(in_text[i]) * STEP, int(self.owner[passage])))
+        block = np.repeat(np.arange(len(text)), np.append(starts[1:], len(ids)) - starts)
+        for i, passage in zip(*self.postings.near(ids, block, text)):
+            # Three blocks are two windows.
+            found += [(int(text[i]), int(in_text[i] + n) * STEP, int(self.owner[passage])) for n in (0, 1)]
         return found
 
     def _images(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,8 +236,13 @@ class Matcher:
             item, best = self.items[number], None
             for first, last in self._stretches(sorted(set(starts)), len(item.ids), len(texts[text])):
                 words = texts[text][first:last]
+                held = set(words.tolist())
+                if 2 * sum(x in held for x in item.answer.tolist()) <= len(item.answer):
+                    continue
+                if sum(x in held for x in item.ids.tolist()) < SHARE * len(item.ids):
+                    continue
                 share = common_subsequence(item.ids, words) / len(item.ids)
-                if share >= SHARE and 2 * np.isin(item.answer, words).sum() > len(item.answer) and (best is None or share > best[3]):
+                if share >= SHARE and (best is None or share > best[3]):
                     best = (item.item_id, first, last, share)
             if best:
                 out[text].append(best)

@@ -19,17 +19,18 @@ STRIPPED = b".,;:!?\"'()[]{}"
 
 
 class Features(dict):
-    """Feature of a raw token: its letters without punctuation around them. Forgets when it gets large."""
+    """Feature of a raw token: its letters, lower-cased, without punctuation around them. Forgets when it gets large."""
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > 100_000:
             self.clear()
-        value = self[token] = zlib.crc32(token.strip(STRIPPED) or token) % FEATURES
+        low = token.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
+        value = self[token] = zlib.crc32(low.strip(STRIPPED) or low) % FEATURES
         return value
 
 
 def features_of(text: str | None, known: Features) -> np.ndarray:
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    tokens = (text or "").encode("utf-8", "surrogatepass").split()
     return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
 
