@@ -93,3 +93,24 @@ def test_many_items(spark):
     table = spark.createDataFrame([(n, " ".join(w), 1) for n, (_, w) in enumerate(cuts)], ITEMS)
     found = {r["doc_id"]: set(r["item_ids"]) for r in find_contamination(docs, table).collect()}
     assert all(n in found[doc] for n, (doc, _) in enumerate(cuts))
+
+
+def test_short_items_among_rare_words(spark):
+    """A verbatim item of five words or more is found whatever stands around it."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(400)]
+    items = [rng.sample(common, n) for n in range(5, 32) for _ in range(4)]
+    rows = []
+    for n, item in enumerate(items):
+        around = [f"rare{n}x{i}" for i in range(120)]
+        at = rng.randrange(120)
+        rows.append((n, " ".join(around[:at] + item + around[at:])))
+    rows += [(1000 + i, " ".join(rng.choices(common, k=60))) for i in range(300)]
+    table = spark.createDataFrame([(n, " ".join(item), 1) for n, item in enumerate(items)], ITEMS)
+    found = {r["doc_id"]: set(r["item_ids"]) for r in find_contamination(make_docs(spark, rows), table).collect()}
+    assert [n for n in range(len(items)) if n not in found[n]] == []
+
+
+def test_capitals_beyond_ascii():
+    assert decontaminate.features_of("CIÓN Ñez,", decontaminate.Features()).tolist() \
+        == decontaminate.features_of("ción ñez", decontaminate.Features()).tolist()
