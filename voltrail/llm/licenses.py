@@ -1,7 +1,10 @@
 """Licence scan by sentences: known sentences become identifiers, and sequences of identifiers match ordered rules.
 
 A text is cut into sentences at line ends and behind `.`, `!`, `?` or `;` before white space. A sentence is lower-cased,
-everything but letters and digits becomes one blank, and the result is looked up among the known sentences. The
+everything but letters and digits becomes one blank, and the result is looked up among the known sentences. A known
+sentence may also be wrapped over several lines, behind comment marks, or hold a `;`: such pieces are looked up together,
+as long as none is blank or ends in `.`, `!` or `?`; the sentence has the number of its first piece, and one that is part
+of a longer one does not count. The SQL knows sentences of one piece only. The
 identifiers of a text's known sentences, in order, are then searched for each rule's sequence; unknown sentences between
 them do not matter. Everything is column expressions on one row, so no row meets another and nothing is shuffled.
 
@@ -89,7 +92,10 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these, so a text without them needs no cutting.
-CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "contributors")
+CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "reserved", "contributors")
+# Ends of known sentences, and the most pieces that one can have: a word each.
+LAST_WORDS = sorted({x.split()[-1] for x in SENTENCES.values()})
+MOST_PIECES = max(len(x.split()) for x in SENTENCES.values())
 BOUNDARY = r"\n|(?<=[.!?;])[\x20\x09-\x0D]+"
 
 
@@ -97,6 +103,24 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def _wrapped(cut: Column, known: Column) -> Column:
+    """at, to and id of the known sentences that are several pieces of a text."""
+    # A piece that does not go on from the one before starts with a bar, so no known sentence holds it further back.
+    pieces = F.transform(cut, lambda s, i: F.concat(
+        F.when((i > 0) & ~F.coalesce(F.get(cut, i - 1).rlike(r"[.!?]\s*\z"), F.lit(False)) & (normalised(s) != ""), "").otherwise("|"),
+        normalised(s)))
+    none = F.array().cast("array<struct<at:int,to:int,id:string>>")
+
+    def ending(all_: Column, piece: Column, j: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.least(j, F.lit(MOST_PIECES - 1))), lambda k: F.struct(
+            (j - k).cast("int").alias("at"), j.cast("int").alias("to"),
+            F.try_element_at(known, F.ltrim(F.array_join(F.slice(all_, j - k + 1, k + 1), " "), F.lit("|"))).alias("id")))
+        ends = (j > 0) & piece.rlike(rf"^(?:[^|].*)?\b(?:{'|'.join(LAST_WORDS)})\z")
+        return F.when(ends, F.filter(runs, lambda x: x["id"].isNotNull())).otherwise(none)
+
+    return F.flatten(F.flatten(F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda s, j: ending(all_, s, j)))))
+
+
 def _is_sequence(ids: Column, rule: tuple[str, ...]) -> Column:
     """The rule's identifiers stand next to each other, in order, among the text's identifiers."""
     joined = F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))
@@ -112,12 +136,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
     cued = F.lower(text).rlike("|".join(CUES))
     rows = docs.select(F.col(id_col), F.when(cued, F.split(text, BOUNDARY, -1)).alias("cut"))
-    rows = rows.withColumn(
-        "found", F.filter(
-            F.transform("cut", lambda s, i: F.struct(i.alias("at"), F.try_element_at(known, normalised(s)).alias("id"))),
-            lambda x: x["id"].isNotNull(),
-        ),
-    ).withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,id:string>>")))
+    single = F.transform("cut", lambda s, i: F.struct(
+        i.alias("at"), i.alias("to"), F.try_element_at(known, normalised(s)).alias("id")))
+    rows = rows.withColumn("wrapped", _wrapped(F.col("cut"), known)).withColumn(
+        "found", F.concat(F.filter(single, lambda x: x["id"].isNotNull()), F.col("wrapped")))
+    part = lambda x: F.exists(
+        "wrapped", lambda y: (y["at"] <= x["at"]) & (y["to"] >= x["to"]) & (y["to"] - y["at"] > x["to"] - x["at"]))
+    rows = rows.withColumn("found", F.array_sort(F.filter("found", lambda x: ~part(x)))).withColumn(
+        "found", F.coalesce("found", F.array().cast("array<struct<at:int,to:int,id:string>>")))
     ids = F.transform("found", lambda x: x["id"])
     hits, seen = [], {}
     for licence, rule in RULES:
