@@ -89,3 +89,14 @@ def test_main_path_has_no_python(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data_digests(make_docs(spark, [])).count() == 0
+
+
+def test_terms_far_away_and_elsewhere(spark):
+    """A telling word is taken out at any distance, wherever it stands, quoted, hyphenated or with a digit."""
+    far = "the mail " * 60
+    rows = [(i, f'"Zanzibar" {far} (north-west) {far} anna@corp.example {far} Zanzibar R2D2 {t}') for i, t in enumerate(texts(4))]
+    rows += [(5, f"Zanzibar {far}")] + [(10 + i, f"{far} {t}") for i, t in enumerate(texts(60, 9))]
+    clean = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(make_docs(spark, rows)).collect()}
+    assert not any(w in clean[i] for i in range(4) for w in ("Zanzibar", "north-west", "R2D2", "anna"))
+    assert "Zanzibar" not in clean[5] and clean[5].strip() == far.strip()
+    assert clean[10].startswith(far)

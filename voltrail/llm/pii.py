@@ -2,9 +2,10 @@
 
 The base spans are emails, IP addresses, card and phone numbers. The protected entities are their distinct values. How
 strongly a term reveals an entity is measured on the whole corpus: the pointwise mutual information of finding the term
-within `REACH` code points of the entity, as a share of the entity's own information. A term that stands by the entity in
-at least `MIN_DOCS` texts and discloses at least `GENERALISE` of it becomes a span of its own: it is replaced by its
-class, or taken out from `REMOVE` on. Base spans are always replaced by their kind.
+in a text with the entity, as a share of the entity's own information. A term that is in at least `MIN_DOCS` texts with
+the entity and discloses at least `GENERALISE` of it is telling: wherever it stands, in texts without the entity too, it
+becomes a span of its own and is replaced by its class, or taken out from `REMOVE` on. What a term discloses most counts.
+Base spans are always replaced by their kind, and what lies in them is no term.
 
 Only column expressions and SQL are used. Positions are running sums over the cuts of a text, so the work grows with
 its length and not with its square. Patterns use possessive groups and start only where a leftmost match can start,
@@ -32,10 +33,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH = 80
 MIN_DOCS = 3
 GENERALISE, REMOVE = 0.5, 0.75
-TERM = r"(?<!\S)\p{L}{3,}(?=[.,;:!?]*+(?:\s|$))"
+# Three letters or digits and more, hyphens and apostrophes between them, in quotes or brackets or not.
+OPENING, CLOSING = r"\"'(\[{<«„“‘»", r".,;:!?\"')\]}>»”’“«"
+TERM = rf"(?<![^\s{OPENING}])(?=[\p{{L}}\p{{N}}'’-]{{3}})[\p{{L}}\p{{N}}]++(?:['’-][\p{{L}}\p{{N}}]++)*+(?=[{CLOSING}]*+(?:\s|$))"
 
 
 def _digits(match: Column) -> Column:
@@ -76,18 +78,16 @@ def _cuts(kind: str, text: Column) -> Column:
     pieces = F.split(text, PATTERNS[kind], -1)
 
     def cut(match: Column, i: Column) -> Column:
-        before, after = F.get(F.col(f"_pieces_{kind}"), i), F.get(F.col(f"_pieces_{kind}"), i + 1)
+        before = F.get(F.col(f"_pieces_{kind}"), i)
         return F.struct(
             F.lit(kind).alias("kind"), i.alias("nr"), match.alias("match"), F.length(before).alias("gap"),
-            F.right(before, F.lit(REACH)).alias("left"), (F.length(before) > REACH).alias("left_cut"),
-            F.left(after, F.lit(REACH)).alias("right"), (F.length(after) > REACH).alias("right_cut"),
         )
 
     return matches, pieces, cut
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """text_nr, doc_id, text_key, kind, start, end, entity, left, right: a row per match, and one for texts without.
+    """text_nr, doc_id, text_key, kind, start, end, entity: a row per match, and one for texts without.
 
     Matches that fail their check count for the positions behind them and are then without kind, so every text stays.
     """
@@ -110,46 +110,49 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select(
         "text_nr", "doc_id", "text_key", F.when(valid, F.col("kind")).alias("kind"), "start", "end",
         F.when(valid, F.concat_ws(":", "kind", entity)).alias("entity"),
-        # A word that the reach cuts in two is no term.
-        F.when(F.col("left_cut"), F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left")).alias("left"),
-        F.when(F.col("right_cut"), F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right")).alias("right"),
     )
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """text_nr, entity, term, start, end: the terms within reach of each base span."""
-
-    def placed(side: str, at: Column) -> Column:
-        words = F.regexp_extract_all(F.col(side), F.lit(TERM), F.lit(0))
-        gaps = F.split(F.col(side), TERM, -1)
-        size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-        return F.transform(words, lambda w, i: F.struct(
-            F.lower(w).alias("term"),
-            (at + size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(words, F.lit(1), i))).alias("start"),
-            (at + size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(words, F.lit(1), i + 1))).alias("end"),
-        ))
-
-    near = spans.where("kind IS NOT NULL")
-    both = F.concat(placed("left", F.col("start") - F.length("left")), placed("right", F.col("end")))
-    return near.select("text_nr", "entity", F.explode(both).alias("t")).select("text_nr", "entity", "t.*")
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """term_key, texts: in how many texts of the whole corpus each term stands. Terms go by their 64-bit hash."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy(F.xxhash64("term").alias("term_key")).agg(
-        F.count(F.lit(1)).alias("texts"))
-
-
-def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, min_docs: int = MIN_DOCS,
+def placed_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """text_key, term, start, end: every term of each distinct text, outside its base spans."""
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key")).dropDuplicates(["text_key"])
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split("text", TERM, -1), F.length)
+    rows = texts.select("text_key", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("nr", "w")).where(
+        "w.word IS NOT NULL").select("text_key", "nr", "w.word", "w.gap")
+    # Words that overlap a base span, by the furthest end of those before and the first start of those behind.
+    order = Window.partitionBy("text_key").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("word")).over(order).cast("long")
+    rows = rows.withColumn("end", end).select(
+        "text_key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+    base = spans.where("kind IS NOT NULL").select("text_key", "start", "end").distinct()
+    both = rows.select("text_key", "term", "start", "end").unionByName(
+        base.select("text_key", F.lit(None).cast("string").alias("term"), "start", "end"))
+    is_base = F.col("term").isNull()
+    before = Window.partitionBy("text_key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("text_key").orderBy(F.col("end").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    covered = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
+        F.min(F.when(is_base, F.col("start"))).over(behind) < F.col("end"), F.lit(False))
+    return both.withColumn("covered", covered).where("term IS NOT NULL AND NOT covered").drop("covered")
+
+
+def disclosures(docs: DataFrame, spans: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS,
                 generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, disclosure: the share of the entity's information that the term discloses, where it is enough."""
+    """entity, term, disclosure: the share of the entity's information that the term discloses, where it is enough.
+
+    Only entities in `min_docs` texts are paired.
+    """
     total = docs.count()
-    pairs = near.select("entity", "term", "text_nr").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("together")).where(F.col("together") >= min_docs)
-    entities = spans.where("kind IS NOT NULL").select("entity", "text_nr").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts").between(min_docs, total - 1))
-    pairs = pairs.withColumn("term_key", F.xxhash64("term")).join(entities, "entity").join(term_counts(docs), "term_key")
+    copies = spans.select("text_nr", "text_key").distinct().groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+    held = terms.select("text_key", "term").distinct().join(copies, "text_key")
+    counts = held.groupBy("term").agg(F.sum("copies").alias("texts")).where(F.col("texts") >= min_docs)
+    with_entity = spans.where("kind IS NOT NULL").select("entity", "text_key").distinct().join(copies, "text_key")
+    entities = with_entity.groupBy("entity").agg(F.sum("copies").alias("entity_texts")).where(
+        F.col("entity_texts").between(min_docs, total - 1))
+    paired = with_entity.join(entities, "entity").select("entity", "text_key")
+    pairs = paired.join(held, "text_key").groupBy("entity", "term").agg(F.sum("copies").alias("together")).where(
+        F.col("together") >= min_docs).join(entities, "entity").join(counts, "term")
     mutual = F.log2(F.lit(float(total)) * F.col("together") / (F.col("entity_texts") * F.col("texts")))
     share = mutual / F.log2(F.lit(float(total)) / F.col("entity_texts"))
     return pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
@@ -161,10 +164,10 @@ def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: fl
     `found` has kind, start, end, entity-free, sorted as in `spans`; terms carry their disclosure.
     """
     spans = written(base_spans(docs), "pii-spans")
-    near = written(contexts(spans), "pii-contexts")
-    telling = written(disclosures(docs, spans, near, min_docs, generalise), "pii-disclosures")
-    terms = near.join(telling, ["entity", "term"]).groupBy("text_nr", "start", "end").agg(
-        F.max("disclosure").alias("disclosure"))
+    placed = written(placed_terms(docs, spans), "pii-terms")
+    telling = written(disclosures(docs, spans, placed, min_docs, generalise), "pii-disclosures")
+    most = telling.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    terms = placed.join(most, "term").join(spans.select("text_nr", "text_key").distinct(), "text_key")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     base = spans.select(
         "text_nr", "doc_id", "text_key", F.when(F.col("kind").isNotNull(), order).alias("order"), "kind", "start", "end",
