@@ -45,3 +45,11 @@ def test_tightest_compatible_bin():
 
 def test_empty_table(spark):
     assert pack_documents(make_docs(spark, [])).count() == 0
+
+
+def test_groups_are_counted_in_pieces(spark):
+    """Few long texts give many pieces, so many groups."""
+    docs = make_docs(spark, [(i, " ".join(["word"] * 2000)) for i in range(4)])
+    sizes = [r["n"] for r in pack_documents(docs, capacity=10, group_pieces=50).selectExpr(
+        "split(bin_id, '-')[0] AS part").groupBy("part").count().toDF("part", "n").collect()]
+    assert sum(sizes) == 800 and max(sizes) < 150

@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, group_pieces: int = 40
     cut = cut.withColumn("start", F.col("piece").cast("long") * capacity).withColumn(
         "n_tokens", F.least(F.col("length") - F.col("start"), F.lit(capacity))
     ).withColumn("cut", F.when(last > 0, F.col("key").cast("string")))
-    total = docs.select(F.count(F.lit(1))).first()[0]
+    total = sized.select(F.sum(last.cast("long") + 1)).first()[0] or 0
     parts = max(1, -(-total // group_pieces))
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(parts)))
 
