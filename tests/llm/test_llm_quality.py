@@ -64,3 +64,11 @@ def test_without_labels_and_without_texts(spark):
     none = spark.createDataFrame([], LABELS)
     assert judge_quality(make_docs(spark, [(1, "fine words"), (2, None)]), none).count() == 2
     assert judge_quality(make_docs(spark, []), none).count() == 0
+
+
+def test_posterior_without_the_given_label():
+    """Answers whose texts all have a label are judged alike by the rates when that label is silent."""
+    bad, good = [BAD] * (len(NAMES) - 1), [GOOD] * (len(NAMES) - 1)
+    patterns = {pattern_of([*bad, BAD]): 200, pattern_of([*good, GOOD]): 800}
+    posterior, _ = label_model(patterns)
+    assert posterior[pattern_of([*bad, SILENT])] > 0.99 and posterior[pattern_of([*good, SILENT])] < 0.01

@@ -113,6 +113,8 @@ def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]
     """Posterior of `bad` for each pattern, and how often each labeller says bad or good in each class (bad, good)."""
     if not patterns:
         return {}, np.full((len(NAMES), 2, 2), 0.5)
+    # The same answers under the other given labels may not occur; they weigh nothing and get their posterior.
+    patterns = {**{p - p % 3 + v: 0 for p in patterns for v in (BAD, GOOD, SILENT)}, **patterns}
     numbers = list(patterns)
     votes = np.array([votes_from(p) for p in numbers])
     n = np.array([patterns[p] for p in numbers], float)
@@ -127,7 +129,7 @@ def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]
         prior = np.clip((posterior * n).sum() / n.sum(), 1e-4, 0.5)
         log = np.einsum("pla,lca->pc", answers, np.log(rates)) + np.log([prior, 1 - prior])
         after = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
-        done = np.abs(after - posterior).max() < 1e-6
+        done = np.abs(after - posterior)[n > 0].max() < 1e-6
         posterior = after
         if done:
             break
