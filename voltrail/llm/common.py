@@ -15,6 +15,7 @@ TABLES = {
     "pages": "page_id bigint, url string, html string",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
@@ -34,3 +35,12 @@ def base32(hex_digest: Column, digits: int = 40) -> Column:
         F.lpad(F.conv(F.substring(hex_digest, at + 1, 10), 16, 32), 8, "0") for at in range(0, digits, 10)
     ]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", UPPER + "234567")
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a column's decimal digits, bit by bit; null for null."""
+    turns = ", ".join(["-1"] * 8)
+    steps = f"flatten(list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), {turns}]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    reduced = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, x: {step}), 4294967295)"
+    return f"CASE WHEN {column} IS NOT NULL THEN {reduced} END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from registry.inputs import Query
 from voltrail.llm import (
-    decontaminate, licenses, line_dedup, lm_score, near_dedup, packing, pii, quality, vectors, warc,
+    decontaminate, licenses, line_dedup, lm_score, manifest, near_dedup, packing, pii, quality, vectors, warc,
 )
 from voltrail.llm.common import given
 
@@ -29,5 +29,6 @@ QUERIES = {
     "op8_nearest": Query(on("embeddings", vectors.nearest)),
     "op9_decontaminate": Query(with_table("benchmark", decontaminate.find_contamination)),
     "op10_packing": Query(on("documents", packing.pack_documents)),
+    "op13_manifest": Query(on("documents", manifest.verify_manifest), manifest.SQL),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
