@@ -7,7 +7,8 @@ import sys
 import corpus_pipeline
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["op3_lm_score", "op4_line_dedup", "op5_quality", "op6_near_dedup", "op8_nearest", "op9_decontaminate", "op10_packing"]
+NAMES = ["op3_lm_score", "op4_line_dedup", "op5_quality", "op6_near_dedup", "op8_nearest", "op9_decontaminate", "op10_packing",
+         "op11_chat", "op12_prefix_trie"]
 
 
 def test_tasks_need_no_copy_of_the_package(tmp_path):

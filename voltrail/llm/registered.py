@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from registry.inputs import Query
 from voltrail.llm import (
-    decontaminate, licenses, line_dedup, lm_score, manifest, near_dedup, packing, pii, prefix_trie, quality,
+    chat, decontaminate, licenses, line_dedup, lm_score, manifest, near_dedup, packing, pii, prefix_trie, quality,
     vectors, warc,
 )
 from voltrail.llm.common import given
@@ -30,6 +30,7 @@ QUERIES = {
     "op8_nearest": Query(on("embeddings", vectors.nearest)),
     "op9_decontaminate": Query(with_table("benchmark", decontaminate.find_contamination)),
     "op10_packing": Query(on("documents", packing.pack_documents)),
+    "op11_chat": Query(on("conversations", chat.chat_digests), chat.SQL),
     "op12_prefix_trie": Query(on("conversations", prefix_trie.prefix_trie), prefix_trie.SQL),
     "op13_manifest": Query(on("documents", manifest.verify_manifest), manifest.SQL),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
