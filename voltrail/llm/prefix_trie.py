@@ -53,7 +53,8 @@ def turns_in_order(conversations: DataFrame) -> DataFrame:
     slim = conversations.where("conv_id IS NOT NULL").select(
         "conv_id", "turn", F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)).alias("code"),
         F.regexp_count(text, F.lit(rf"[^{SPACE}]+")).cast("long").alias("words"))
-    return numbered(slim, ["conv_id"], ["turn", "code"], "trie-turns").drop("turn")
+    # Dealing by ranges reads its input twice: the texts are hashed once before.
+    return numbered(written(slim, "trie-slim"), ["conv_id"], ["turn", "code"], "trie-turns").drop("turn")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
