@@ -179,6 +179,30 @@ def test_sessions_equal_brute_force(skewed, frame, hours):
     ) == brute_sessions(frame, timedelta(hours=hours))
 
 
+@pytest.mark.parametrize("block_slices", [1, 2, 7])
+def test_sessions_over_many_blocks(skewed, frame, block_slices):
+    slices = sessions.charging_slices(skewed, 3600)
+    got = sessions.sessions_from_slices(slices, 3600, block_slices).collect()
+    assert sorted(
+        (r["vin_id"] or "null", r["session_start"], r["session_end"], r["reading_count"], r["minutes_drop"]) for r in got
+    ) == brute_sessions(frame, timedelta(hours=1))
+    for vin in {r["vin_id"] for r in got}:
+        own = sorted((r["session_no"], r["session_start"]) for r in got if r["vin_id"] == vin)
+        assert [no for no, _ in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: x[1])
+
+
+def test_sessions_scan_once_and_join_once(spark):
+    """A busy vehicle with a gap of a minute meets in blocks, which spread over tasks."""
+    on = {"charging_time_remain_minute": 5}
+    busy = make_readings(spark, {**on}).crossJoin(spark.range(4000)).withColumn(
+        "ts", F.timestamp_seconds(F.unix_seconds("ts") + F.col("id") * 61 - F.col("id") % 5)).drop("id")
+    got = sessions.sessions_from_slices(sessions.charging_slices(busy, 60), 60, 64)
+    native = busy.groupBy("vin_id", F.session_window("ts", "60 seconds 1 microsecond")).count()
+    assert got.count() == native.count() > 500
+    plan = plan_of(sessions.charging_sessions_true(busy, 60))
+    assert plan.count("Join ") <= 1 and plan.count("Exchange hashpartitioning") <= 8
+
+
 def test_sessions_equal_session_window(skewed):
     ours = sessions.charging_sessions_true(skewed, 7200).select("vin_id", "session_start", "reading_count")
     native = (

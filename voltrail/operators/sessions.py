@@ -2,19 +2,24 @@
 
 Two readings in the same slice of one gap length are always in the same session.
 So readings first collapse to one row per vehicle and slice, with a partial step
-before the shuffle. Slices are put in order block by block, `BLOCK_SLICES` to a
-block at most, and each block learns from one row per earlier block what went
-before it: a vehicle with many short slices spreads over many tasks. Slices of
-disjoint inputs merge by the same aggregate, which the stream uses.
+before the shuffle. Slices of disjoint inputs merge by the same aggregate, which
+the stream uses.
+
+Sessions are a segmented prefix scan over the slices. Inside a block of at most
+`BLOCK_SLICES` slices of a vehicle, runs of slices without a long silence are
+numbered. A block sums up to its first and last reading, the openings inside it
+and the latest one; a scan over these summaries, one row per block, says how many
+sessions each block finds before it and which one is still open. Runs that go on
+over a block's edge share a number. So a vehicle with many short slices spreads
+over many tasks, and one join adds the summaries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltrail.functions.signals import is_charging
-from voltrail.operators.ranks import join_per_group, number_within
 
 GAP_SECONDS = 6 * 3600
 BLOCK_SLICES = 65_536
@@ -49,30 +54,45 @@ def sessions_from_slices(
     slices: DataFrame, gap_seconds: int = GAP_SECONDS, block_slices: int = BLOCK_SLICES
 ) -> DataFrame:
     """A slice opens a session when its first reading is more than one gap after the last one."""
-    keys = ["vin_id", "__block"]
-    rows = slices.withColumn("__block", F.floor(F.col("slice_no") / block_slices))
-    in_order = Window.partitionBy("vin_id").orderBy("__block")
-    inside = Window.partitionBy(*keys).orderBy("slice_no")
-    ends = rows.groupBy(*keys).agg(F.max("last_ts").alias("__end"))
-    before = ends.select(*keys, F.lag("__end").over(in_order).alias("__before"))
-    rows = join_per_group(rows, before, keys)
-    silence = F.unix_micros("first_ts") - F.unix_micros(F.coalesce(F.lag("last_ts").over(inside), F.col("__before")))
-    opens = F.coalesce(silence > gap_seconds * 1_000_000, F.lit(True))
-    rows = rows.withColumn("__opened", F.when(opens, F.col("first_ts"))).drop("__before")
-    # Openings rise with time, so the latest one so far is the largest.
-    latest = rows.groupBy(*keys).agg(F.max("__opened").alias("__latest"))
+    gap = F.lit(gap_seconds * 1_000_000)
+
+    def silent(since: Column, until: Column) -> Column:
+        return F.unix_micros(until) - F.unix_micros(since) > gap
+
+    # A struct is never NULL, so vehicles without a number join like all others.
+    block = F.struct("vin_id", F.floor(F.col("slice_no") / block_slices).alias("block_no"))
+    inside = Window.partitionBy("__block").orderBy("slice_no")
+    rows = slices.withColumn("__block", block).withColumn(
+        "__opens", F.coalesce(silent(F.lag("last_ts").over(inside), F.col("first_ts")), F.lit(False)))
+    run_no = F.sum(F.col("__opens").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__run", run_no)
+    # Openings rise with time, so the latest one is the largest; the first run may go on from before.
+    summaries = rows.groupBy("__block").agg(
+        F.min("first_ts").alias("first"),
+        F.max("last_ts").alias("last"),
+        F.max("__run").alias("openings"),
+        F.max(F.when(F.col("__opens"), F.col("first_ts"))).alias("latest"),
+    )
+    in_order = Window.partitionBy("__block.vin_id").orderBy("__block.block_no")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(*keys, F.max("__latest").over(earlier).alias("__carried"))
-    so_far = F.max("__opened").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    rows = join_per_group(rows, carried, keys).withColumn("session_start", F.coalesce(so_far, F.col("__carried")))
-    sessions = rows.groupBy("vin_id", "session_start").agg(
-        F.min(F.when(F.col("__opened").isNotNull(), F.col("slice_no"))).alias("slice_no"),
+    opened = F.coalesce(silent(F.lag("last").over(in_order), F.col("first")), F.lit(True))
+    summaries = summaries.withColumn("opened", opened).withColumn(
+        "latest", F.coalesce("latest", F.when(F.col("opened"), F.col("first"))))
+    known = summaries.select(
+        F.col("__block").alias("__of"),
+        (F.coalesce(F.sum(F.col("openings") + F.col("opened").cast("long")).over(earlier), F.lit(0))
+         + F.col("opened").cast("long")).alias("__before"),
+        F.when(~F.col("opened"), F.max("latest").over(earlier)).alias("__carried"),
+    )
+    carried = F.when(F.col("__run") == 0, F.col("__carried"))
+    return rows.join(known, F.col("__block") == F.col("__of")).groupBy(
+        "vin_id", (F.col("__before") + F.col("__run")).alias("session_no")
+    ).agg(
+        F.min(F.coalesce(carried, "first_ts")).alias("session_start"),
         F.max("last_ts").alias("session_end"),
         F.sum("n").alias("reading_count"),
         (F.max("most_minutes") - F.min("least_minutes")).alias("minutes_drop"),
     )
-    numbered = number_within(sessions, ["vin_id"], "slice_no", "session_no", block_slices)
-    return numbered.select("vin_id", "session_no", "session_start", "session_end", "reading_count", "minutes_drop")
 
 
 def charging_sessions_true(df: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
