@@ -199,7 +199,7 @@ def test_sessions_scan_once_and_join_once(spark):
     got = sessions.sessions_from_slices(sessions.charging_slices(busy, 60), 60, 64)
     native = busy.groupBy("vin_id", F.session_window("ts", "60 seconds 1 microsecond")).count()
     assert got.count() == native.count() > 500
-    plan = plan_of(sessions.charging_sessions_true(busy, 60))
+    plan = plan_of(sessions.charging_sessions_true(make_readings(spark, {**on}), 60))
     assert plan.count("Join ") <= 1 and plan.count("Exchange hashpartitioning") <= 8
 
 
