@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltrail.functions.keys import basename
 from voltrail.operators.ranks import first_per_group
 
-_IDENTITY = "__identity"
+IDENTITY = "__identity"
 
 
 def whole_row(df: DataFrame) -> Column:
@@ -25,15 +25,15 @@ def row_identity(df: DataFrame, key: str = "__primary_key") -> Column:
     return F.coalesce(F.col(key), whole_row(df))
 
 
-def _once(df: DataFrame, key: str) -> DataFrame:
+def one_per_identity(df: DataFrame, key: str = "__primary_key") -> DataFrame:
     """One row per identity, which stays as a column: later steps on it need no shuffle of their own."""
     order = [F.col(f"`{c}`") for c in df.columns if c != key]
-    return first_per_group(df.withColumn(_IDENTITY, row_identity(df, key)), [F.col(_IDENTITY)], order)
+    return first_per_group(df.withColumn(IDENTITY, row_identity(df, key)), [F.col(IDENTITY)], order)
 
 
 def dedup_readings(df: DataFrame, key: str = "__primary_key") -> DataFrame:
     """One row per key; among differing rows the smallest by the other columns stays."""
-    return _once(df, key).drop(_IDENTITY)
+    return one_per_identity(df, key).drop(IDENTITY)
 
 
 def new_readings(incoming: DataFrame, existing: DataFrame, key: str = "__primary_key") -> DataFrame:
@@ -44,10 +44,10 @@ def new_readings(incoming: DataFrame, existing: DataFrame, key: str = "__primary
     the table collapse before the shuffle, and both sides meet on one shuffle each.
     """
     existing = existing.select(*incoming.columns)
-    seen = existing.where(F.col(key).isNotNull()).select(F.col(key).alias(_IDENTITY)).union(
-        existing.where(F.col(key).isNull()).select(whole_row(existing).alias(_IDENTITY))
+    seen = existing.where(F.col(key).isNotNull()).select(F.col(key).alias(IDENTITY)).union(
+        existing.where(F.col(key).isNull()).select(whole_row(existing).alias(IDENTITY))
     )
-    return _once(incoming, key).join(seen.distinct(), _IDENTITY, "left_anti").drop(_IDENTITY)
+    return one_per_identity(incoming, key).join(seen.distinct(), IDENTITY, "left_anti").drop(IDENTITY)
 
 
 def flatten_last_writer_wins(

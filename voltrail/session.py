@@ -62,10 +62,25 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _store(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _store(spark, path)
+    return store.exists(folder)
+
+
+def subfolders(spark: SparkSession, parent: str) -> list[str]:
+    """The names of the folders directly in `parent`; none if it does not exist."""
+    folder, store = _store(spark, parent)
+    return sorted(e.getPath().getName() for e in store.listStatus(folder) if e.isDirectory()) if store.exists(folder) else []
+
+
 def remove_folders(spark: SparkSession, parent: str, is_stale: Callable[[str], bool], older_than_seconds: float) -> int:
     """Remove the folders in `parent` whose name is stale and that were last changed so long ago; returns their number."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, store = _store(spark, parent)
     if not store.exists(folder):
         return 0
     latest, removed = (time.time() - older_than_seconds) * 1000, 0

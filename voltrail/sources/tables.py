@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,21 @@ def append_readings(df: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def append_counted(df: DataFrame, path: str) -> int:
+    """Append, and count the readings while they are written."""
+    if df.isEmpty():
+        return 0
+    seen = Observation()
+    append_readings(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
+
+
+def audit_of(spark: SparkSession, before: int, incoming: int) -> DataFrame:
+    """Known counts as `append_audit` has them."""
+    rows = [("before", before), ("incoming", incoming), ("after", before + incoming)]
+    return spark.createDataFrame(rows, "step string, row_count long")
+
+
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
     """The folder under the union of all files' schemas."""
     return spark.read.option("mergeSchema", "true").parquet(path)

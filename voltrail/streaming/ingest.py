@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voltrail.functions.keys import is_archive_name
 from voltrail.operators.cleaning import clean_readings
-from voltrail.operators.dedup import new_readings
 from voltrail.operators.filters import low_battery_alerts
 from voltrail.schema import RAW_SCHEMA, READINGS_SCHEMA
 from voltrail.sources.archives import (
@@ -18,7 +17,7 @@ from voltrail.sources.archives import (
     archive_manifest,
     unpack_archives,
 )
-from voltrail.sources.tables import append_readings, days_of, read_days
+from voltrail.sources.membership import BUCKETS, add_new_readings
 from voltrail.streaming.incremental import batch_path, compact_batches, read_batches, start_batches, start_each
 
 
@@ -62,22 +61,18 @@ def compact_log(spark: SparkSession, log: str, **options) -> int | None:
     return compact_batches(spark.createDataFrame([], UNPACK_SCHEMA), log, **options)
 
 
-def stream_dedup_ingest(stream: DataFrame, table_path: str, checkpoint: str, **options) -> StreamingQuery:
+def stream_dedup_ingest(
+    stream: DataFrame, table_path: str, checkpoint: str, writer: str = "stream", buckets: int = BUCKETS, **options
+) -> StreamingQuery:
     """Append each reading once, however late or often it is delivered.
 
-    Copies have the same `ts`, so only the day partitions that the batch touches
-    are compared; the batch is kept while its days are found and its rows written.
-    Copies inside a batch collapse before the shuffle. A batch that is run again
-    finds its own rows and adds nothing.
+    A batch asks the sketches of its days which readings the table may hold, and reads keys only in the buckets of
+    those; see `sources.membership`. Copies inside a batch collapse before the shuffle. A batch that is run again adds
+    nothing. `writer` names the stream among those that write to the table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            existing = read_days(batch.sparkSession, table_path, days_of(batch))
-            append_readings(new_readings(batch, existing), table_path)
-        finally:
-            batch.unpersist()
+        add_new_readings(batch, table_path, batch_id, writer, buckets)
 
     return start_each(stream, write, checkpoint, **options)
 
