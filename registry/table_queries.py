@@ -11,7 +11,7 @@ from registry.rollup_queries import DAILY_SUMMARY_SQL
 from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.dedup import dedup_readings, flatten_last_writer_wins
 from voltrail.operators.rollups import vehicle_daily_summary
-from voltrail.plans.jobs import build_rollups, load_readings
+from voltrail.plans.jobs import build_rollups, load_new_drops, load_readings, refresh_rollups
 from voltrail.session import work_path
 from voltrail.sources import bi
 from voltrail.sources import tables as T
@@ -98,6 +98,40 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.append_audit(df.where("channel_id < 4"), df.where("channel_id >= 4"))
 
 
+def _audit_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, of which none is read: one from the first write, one from the second."""
+    df, path = readings(spark, sf_dir), work_path(spark, "counted")
+    before = T.append_counted(df.where("channel_id < 4"), path)
+    return T.audit_of(spark, before, T.append_counted(df.where("channel_id >= 4"), path))
+
+
+def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads: one drop, then a second one that also delivers some of the first again, then none."""
+    raw, drops, loaded = raw_readings(spark, sf_dir), work_path(spark, "drops"), work_path(spark, "loaded")
+    raw.where("channel_id < 4").coalesce(1).write.parquet(f"{drops}/day=1")
+    runs = [load_new_drops(spark, drops, loaded)]
+    raw.where("channel_id >= 2").coalesce(1).write.parquet(f"{drops}/day=2")
+    runs += [load_new_drops(spark, drops, loaded) for _ in range(2)]
+    stored = T.read_table(spark, loaded).agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("__primary_key").alias("keys"))
+    told = spark.createDataFrame(
+        [(no, run.drops, run.rows) for no, run in enumerate(runs, 1)], "load int, drops int, added long")
+    return told.join(F.broadcast(stored.withColumn("load", F.lit(3))), "load", "left")
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of a first load; then a load of later and of some earlier days, of which alone they are refreshed."""
+    raw, drops, loaded = raw_readings(spark, sf_dir), work_path(spark, "drops"), work_path(spark, "loaded")
+    name, early = T.temp_name("fleet"), F.expr("day(ts) <= 15 AND NOT (day(ts) IN (3, 4) AND channel_id = 1)")
+    raw.where(early).write.parquet(f"{drops}/day=1")
+    load_new_drops(spark, drops, loaded)
+    refresh_rollups(spark, loaded, name, work_path(spark, name))
+    raw.where(~early).write.parquet(f"{drops}/day=2")
+    load_new_drops(spark, drops, loaded)
+    days = refresh_rollups(spark, loaded, name)
+    daily = rounded(spark.table(f"{name}.vehicle_daily_summary"), "avg_display_speed")
+    return daily.withColumn("refreshed", F.col("date").isin(days))
+
+
 def _namespace(spark: SparkSession, sf_dir: str) -> str:
     """A fresh namespace with the three rollups built as tables."""
     name = T.temp_name("fleet")
@@ -230,6 +264,23 @@ SELECT 'before' AS step, COUNT(*) FILTER (channel_id < 4) AS row_count FROM read
 UNION ALL SELECT 'incoming', COUNT(*) FILTER (channel_id >= 4) FROM readings
 UNION ALL SELECT 'after', COUNT(*) FROM readings""",
     ),
+    "append_audit_observed": Query(
+        _audit_observed,
+        READINGS + """
+SELECT 'before' AS step, COUNT(*) FILTER (channel_id < 4) AS row_count FROM readings
+UNION ALL SELECT 'incoming', COUNT(*) FILTER (channel_id >= 4) FROM readings
+UNION ALL SELECT 'after', COUNT(*) FROM readings""",
+    ),
+    "load_new_drops": Query(
+        _loads,
+        READINGS + """
+SELECT 1 AS load, 1 AS drops, COUNT(*) FILTER (channel_id < 4) AS added, NULL AS stored, NULL AS keys FROM readings
+UNION ALL SELECT 2, 1, COUNT(*) FILTER (channel_id >= 4), NULL, NULL FROM readings
+UNION ALL SELECT 3, 0, 0, COUNT(*), COUNT(DISTINCT __primary_key) FROM readings""",
+    ),
+    "refresh_rollups": Query(
+        _refreshed, f"SELECT *, day(date) > 15 OR day(date) IN (3, 4) AS refreshed FROM ({DAILY_SUMMARY_SQL})",
+    ),
     "ctas_partitioned": Query(_ctas, DAILY_SUMMARY_SQL),
     "replace_table": Query(_replace, DAILY_SUMMARY_SQL),
     "inline_sample_rows": Query(

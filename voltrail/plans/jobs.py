@@ -3,21 +3,24 @@
     python -m voltrail.plans.jobs unpack  LANDING PROCESSED
     python -m voltrail.plans.jobs load    PROCESSED READINGS
     python -m voltrail.plans.jobs rollups READINGS NAMESPACE
+    python -m voltrail.plans.jobs refresh READINGS NAMESPACE
 """
 
 from __future__ import annotations
 
 import logging
 import sys
+from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltrail.functions.keys import decode_key, is_archive_name, is_landing_key
 from voltrail.operators.cleaning import clean_readings, drop_internal, rename_signals, schema_drift
-from voltrail.operators.dedup import basename_collisions, new_readings
+from voltrail.operators.dedup import basename_collisions
 from voltrail.operators.rollups import (
     charging_behavior_from_facts,
     daily_summary_from_facts,
@@ -26,17 +29,19 @@ from voltrail.operators.rollups import (
 )
 from voltrail.schema import READINGS_SCHEMA, SIGNAL_SCHEMA
 from voltrail.session import build_session, qualified, written
+from voltrail.sources import ledger
 from voltrail.sources.archives import archive_manifest, check_store, scan_archives, unpack_archives
 from voltrail.sources.envelopes import unpack_event_envelope
-from voltrail.sources.readings import read_or_sample, scan_readings
+from voltrail.sources.membership import add_new_readings
+from voltrail.sources.readings import sample_readings, scan_readings
 from voltrail.sources.tables import (
-    append_audit,
-    append_readings,
-    days_of,
+    current_folder,
     ensure_namespace,
     read_days,
     read_table,
+    refresh_days,
     replace_table,
+    table_exists,
     table_row_counts,
 )
 
@@ -93,34 +98,56 @@ def _unpack(spark: SparkSession, files: DataFrame, skipped: DataFrame, processed
     return report
 
 
-def drift_of(spark: SparkSession, processed: str) -> DataFrame:
-    """Missing, unexpected and differing columns over all drops, from their footers."""
-    drops = rename_signals(drop_internal(scan_readings(spark, processed, merge_schema=True)))
+def drift_of(spark: SparkSession, processed: str, drops: Sequence[str] | None = None) -> DataFrame:
+    """Missing, unexpected and differing columns over these drops (all by default), from their footers."""
+    seen = rename_signals(drop_internal(scan_readings(spark, processed, merge_schema=True, drops=drops)))
     expected = T.StructType([f for f in READINGS_SCHEMA if f.name != "__primary_key"])
-    return schema_drift(drops, expected).where("status <> 'ok'")
+    return schema_drift(seen, expected).where("status <> 'ok'")
 
 
-def load_readings(spark: SparkSession, processed: str, table_path: str) -> int:
-    """Clean all drops and append the readings the table lacks; returns their number.
+class Loaded(NamedTuple):
+    """drops: how many were read. rows: readings added. before: readings on the touched days. days: those that changed."""
+
+    drops: int
+    rows: int
+    before: int
+    days: list
 
-    Every drop is read under the full set of signals, so one that lacks a column
-    takes it from no other. Drift and the counts before, incoming and after are
-    logged. Running the job again adds nothing. A missing input folder loads the
-    sample rows.
-    """
-    incoming = _typed(read_or_sample(spark, processed, lambda drops: _reported(spark, processed, drops), SIGNAL_SCHEMA))
-    before = read_days(spark, table_path, days_of(incoming))
-    fresh = written(new_readings(incoming, before), "load")
-    audit = {row.step: row.row_count for row in append_audit(before, fresh).collect()}
-    append_readings(fresh, table_path)
-    LOG.info("readings on the touched days: %s before, %s incoming, %s after", *(audit[s] for s in ("before", "incoming", "after")))
-    return audit["incoming"]
 
+def load_new_drops(spark: SparkSession, processed: str, table_path: str) -> Loaded:
+    """Read each drop once and append the readings the table lacks.
 
-def _reported(spark: SparkSession, processed: str, drops: DataFrame) -> DataFrame:
-    for row in drift_of(spark, processed).collect():
+    A ledger below the table tells drops that are new, or were replaced, from those already loaded; only the new ones are
+    opened. Each is read under the full set of signals, so one that lacks a column takes it from no other. Drift in them
+    and the counts before, incoming and after are logged; the counts come from the table's index and from the write
+    itself. A load that breaks off is repeated whole and adds nothing twice. A missing input folder loads the sample rows.
+    """
+    try:
+        # The driver holds the names of the files of any scan.
+        found = ledger.new_drops(spark, processed, table_path).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        added = add_new_readings(_typed(sample_readings(spark)), table_path, 0, "sample")
+        return Loaded(0, added.rows, added.before, added.days)
+    paths = [row.path for row in found]
+    if not paths:
+        return Loaded(0, 0, 0, [])
+    for row in drift_of(spark, processed, paths).collect():
         LOG.warning("column %s: %s (expected %s, found %s)", row.column_name, row.status, row.expected_type, row.actual_type)
-    return clean_readings(drops)
+    incoming = _typed(clean_readings(scan_readings(spark, processed, SIGNAL_SCHEMA, drops=paths)))
+    load_no = ledger.next_load(spark, table_path)
+    added = add_new_readings(incoming, table_path, load_no, "load")
+    ledger.record_load(spark, found, added.days, load_no, table_path)
+    LOG.info(
+        "%d drops; readings on the touched days: %d before, %d incoming, %d after",
+        len(paths), added.before, added.rows, added.before + added.rows)
+    return Loaded(len(paths), added.rows, added.before, added.days)
+
+
+def load_readings(spark: SparkSession, processed: str, table_path: str) -> int:
+    """Load the new drops; returns the number of readings added."""
+    return load_new_drops(spark, processed, table_path).rows
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -150,8 +177,26 @@ def build_rollups(
     return paths
 
 
+def refresh_rollups(spark: SparkSession, table_path: str, namespace: str, root: str | None = None) -> list:
+    """Bring the three rollups up to date on the days that changed since the last time; returns those days.
+
+    Only these days' readings are read, and only their partitions are written. Where there are no rollups yet they are
+    built. Refreshing a day again gives the same rows, so a refresh that breaks off is repeated.
+    """
+    days, load_no = ledger.days_to_refresh(spark, table_path, namespace)
+    if not all(table_exists(spark, f"{namespace}.{name}") for name in ROLLUPS):
+        build_rollups(spark, read_table(spark, table_path), namespace, root)
+    elif days:
+        facts = written(day_mode_facts(read_days(spark, table_path, days)), "day-mode-facts")
+        for name, derive in ROLLUPS.items():
+            refresh_days(derive(facts), current_folder(spark, f"{namespace}.{name}"))
+    if days:
+        ledger.record_refresh(spark, table_path, namespace, load_no)
+    return days
+
+
 def main(argv: list[str]) -> int:
-    if len(argv) != 3 or argv[0] not in ("unpack", "load", "rollups"):
+    if len(argv) != 3 or argv[0] not in ("unpack", "load", "rollups", "refresh"):
         print(__doc__)
         return 2
     step, source, target = argv
@@ -160,6 +205,8 @@ def main(argv: list[str]) -> int:
         print(f"files written: {unpack_landing(spark, source, target).log.count()}")
     elif step == "load":
         print(f"readings appended: {load_readings(spark, source, target)}")
+    elif step == "refresh":
+        print(f"days refreshed: {len(refresh_rollups(spark, source, target))}")
     else:
         for table, path in build_rollups(spark, read_table(spark, source), target).items():
             print(f"{table}: {path}")

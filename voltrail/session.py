@@ -72,6 +72,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return store.exists(folder)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder, store = _store(spark, path)
+    store.mkdirs(folder)
+
+
 def subfolders(spark: SparkSession, parent: str) -> list[str]:
     """The names of the folders directly in `parent`; none if it does not exist."""
     folder, store = _store(spark, parent)

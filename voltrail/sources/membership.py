@@ -11,7 +11,8 @@ the files are ordered by day and bucket. Sketches merge by `or`, so batches fold
 
 A bitmap has 32,768 places and a reading sets four of them: with 2,000 readings in a bucket about two in a thousand new
 readings meet a full set of places. More readings to a bucket make a batch read more keys and change no result; choose
-`buckets` as one per 2,000 readings of a day. Another number of buckets is another index, built once from the table.
+`buckets` as one per 2,000 readings of a day (the default suits days of a hundred thousand). Another number of buckets is
+another index, built once from the table.
 
 The index of a batch is written before its readings. A batch that is run again ignores what it wrote to the index, but
 for keys that the table turns out to hold: so readings are neither lost nor doubled, wherever the first run ended.
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from voltrail.functions.signals import date_of
 from voltrail.operators.dedup import IDENTITY, one_per_identity, row_identity
 from voltrail.schema import READINGS_COLUMNS, READINGS_SCHEMA
-from voltrail.session import path_exists, subfolders, written
+from voltrail.session import make_folder, path_exists, subfolders, written
 from voltrail.sources.tables import DAY, append_counted, read_days, read_table, with_day
 from voltrail.streaming.incremental import batch_path, compact_batches, read_batches
 
-BUCKETS = 1024
+BUCKETS = 64
 PLACES, HASHES = 32_768, 4
 NO_DAY = -(2**31)
 #: Beyond this number of suspected buckets whole days are read.
@@ -103,15 +104,16 @@ class KeyIndex:
     def _read(self, kind: str, days: list[int], before: int | None) -> DataFrame:
         """All writers' rows on these days, of this writer only of batches earlier than `before`."""
         rows = self._like(kind)
-        for writer in subfolders(self.spark, self.folder):
-            if writer == "ready":
-                continue
+        for writer in self.writers():
             own = read_batches(self._like(kind), self._out(kind, writer))
             if writer == self.writer and before is not None:
                 own = own.where(F.col("batch_id") < before)
             rows = rows.unionByName(own.drop("batch_id"))
         return rows.where(F.col("day").isin(days))
 
+    def writers(self) -> list[str]:
+        return [name for name in subfolders(self.spark, self.folder) if name != "ready"]
+
     def sketches(self, days: list[int], before: int | None = None) -> DataFrame:
         return self._read("sketches", days, before)
 
@@ -137,10 +139,11 @@ class KeyIndex:
         """Index what the table holds already, once."""
         if path_exists(self.spark, f"{self.folder}/ready"):
             return
-        rows = _typed(read_table(self.spark, self.table_path))
-        found = located(rows.select("ts", row_identity(rows).alias(IDENTITY)), self.buckets)
-        self._write(found, lambda kind: f"{self._out(kind, 'table')}/compacted/batch_id=-1")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/ready")
+        if path_exists(self.spark, self.table_path):
+            rows = _typed(read_table(self.spark, self.table_path))
+            found = located(rows.select("ts", row_identity(rows).alias(IDENTITY)), self.buckets)
+            self._write(found, lambda kind: f"{self._out(kind, 'table')}/compacted/batch_id=-1")
+        make_folder(self.spark, f"{self.folder}/ready")
 
     def compact(self, **options) -> int | None:
         """Fold this writer's batches into one; may run beside it."""
@@ -152,7 +155,7 @@ class KeyIndex:
 
 
 class Added(NamedTuple):
-    """rows: how many readings were added. before: how many the touched days held. days: those days."""
+    """rows: how many readings were added. before: how many the touched days held. days: those days, if any was added."""
 
     rows: int
     before: int
@@ -170,24 +173,24 @@ def add_new_readings(
     index = KeyIndex(spark, table_path, writer, buckets)
     index.prepare()
     once = located(one_per_identity(_typed(incoming)), buckets).persist(StorageLevel.MEMORY_AND_DISK)
-    asked = None
+    asked = once
     try:
         touched = [(r.day, r.of) for r in once.select("day", date_of().alias("of")).distinct().collect()]
         days = [day for day, _ in touched]
         if not days:
             return Added(0, 0, [])
-        sketches = index.sketches(days, batch_id)
-        asked = ask(once, sketches).persist(StorageLevel.MEMORY_AND_DISK)
-        suspected = [r.bucket for r in asked.where("maybe").select("bucket").distinct().collect()]
-        known, kept = index.keys(days, suspected, batch_id).select(IDENTITY), None
+        sketches, kept = index.sketches(days, batch_id), None
+        if not index.writers():
+            fresh = once.withColumn("maybe", F.lit(False))
+        else:
+            asked = ask(once, sketches).persist(StorageLevel.MEMORY_AND_DISK)
+            suspected = [r.bucket for r in asked.where("maybe").select("bucket").distinct().collect()]
+            known = index.keys(days, suspected, batch_id).select(IDENTITY)
+            fresh = asked.where("NOT maybe").unionByName(
+                asked.where("maybe").join(known.distinct(), IDENTITY, "left_anti").select(asked.columns))
         if index.began(batch_id):
             kept = _in_table(index, batch_id)
-            fresh = asked.join(known.union(kept.select(IDENTITY)).distinct(), IDENTITY, "left_anti")
-        elif suspected:
-            old = asked.where("maybe").join(known.distinct(), IDENTITY, "left_anti")
-            fresh = asked.where("NOT maybe").unionByName(old.select(asked.columns))
-        else:
-            fresh = asked
+            fresh = fresh.join(kept.select(IDENTITY).distinct(), IDENTITY, "left_anti")
         fresh = written(fresh.drop("maybe"), "fresh-readings")
         keys = fresh.select("day", "bucket", IDENTITY)
         before = sketches.groupBy().agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
@@ -197,11 +200,11 @@ def add_new_readings(
         elif not fresh.isEmpty():
             index.write(keys, batch_id)
         rows = append_counted(fresh.drop("day", "bucket", IDENTITY), table_path)
-        return Added(rows, sum(r.n for r in before.collect()), [of for _, of in touched])
+        changed = rows > 0 or kept is not None
+        return Added(rows, sum(r.n for r in before.collect()), [of for _, of in touched] if changed else [])
     finally:
         once.unpersist()
-        if asked is not None:
-            asked.unpersist()
+        asked.unpersist()
 
 
 def _in_table(index: KeyIndex, batch_id: int) -> DataFrame:

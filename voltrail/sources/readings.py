@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -14,9 +15,10 @@ from voltrail.schema import READINGS_SCHEMA, SAMPLE_INSTANT, SAMPLE_SIGNALS
 
 
 def scan_readings(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, merge_schema: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, merge_schema: bool = False,
+    drops: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All Parquet drops under `path`.
+    """All Parquet drops under `path`, or only the files named in `drops`; folders below `path` may name columns.
 
     Without a schema Spark reads it from one footer. Passing one avoids even that
     and reads columns a drop lacks as NULL; `merge_schema` looks at every footer.
@@ -24,7 +26,9 @@ def scan_readings(
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(path)
+    if drops is None:
+        return reader.parquet(path)
+    return reader.option("basePath", path).parquet(*[re.sub(r"([\[\]{}*?\\])", r"\\\1", drop) for drop in drops])
 
 
 def sample_readings(spark: SparkSession, instant: datetime = SAMPLE_INSTANT) -> DataFrame:
@@ -52,7 +56,7 @@ def read_or_sample(
     return prepare(drops)
 
 
-def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The Parquet folder, or no rows before the first write."""
     try:
         return spark.read.schema(schema).parquet(path)

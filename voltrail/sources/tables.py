@@ -159,6 +159,12 @@ def replace_table(
     return path
 
 
+def current_folder(spark: SparkSession, table: str) -> str:
+    """The folder that holds a table made by `replace_table`."""
+    details = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").collect()}
+    return details["View Text"].split("`")[1]
+
+
 def refresh_days(df: DataFrame, path: str, partition: str = "date") -> None:
     """Replace only the partitions that `df` holds rows for."""
     _by_partition(df, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
