@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -107,9 +108,40 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back: later stages neither repeat nor lose them."""
     path = work_path(df.sparkSession, label)
+    folders = _FOLDERS.get()
+    if folders is not None:
+        folders.append(path)
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def work_folders_removed(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What `written` makes inside is removed at the end, but for the last table, where that is passed to the given function.
+
+    Inside, nothing may return rows that still have to be read from a removed folder.
+    """
+    outer, own = _FOLDERS.get(), []
+    kept: list[str] = []
+
+    def keep(last: DataFrame) -> DataFrame:
+        kept.append(own.pop())
+        return last
+
+    token = _FOLDERS.set(own)
+    try:
+        yield keep
+    finally:
+        _FOLDERS.reset(token)
+        if outer is not None:
+            outer.extend(kept)
+        for path in own:
+            folder, store = _store(spark, path)
+            store.delete(folder, True)
