@@ -1,12 +1,13 @@
 """Decontamination: planted passages are found, whole or reworded, and clean texts are left alone."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from samples import make_docs, odd_rows, texts
-from voltrail.llm import decontaminate
+from voltrail.llm import decontaminate, latent
 from voltrail.llm.decontaminate import common_subsequence, find_contamination
 
 ITEMS = "item_id long, text string, extra int"
@@ -112,5 +113,63 @@ def test_short_items_among_rare_words(spark):
 
 
 def test_capitals_beyond_ascii():
-    assert decontaminate.features_of("CIÓN Ñez,", decontaminate.Features()).tolist() \
-        == decontaminate.features_of("ción ñez", decontaminate.Features()).tolist()
+    known = latent.Numbers({"ción": 0, "ñez": 1})
+    assert latent.numbers_of("CIÓN Ñez,", known).tolist() == [0, 1]
+    assert min(latent.numbers_of("cion, nez ...", known)) >= 2
+
+
+def test_words_that_share_a_hash_are_different(spark):
+    """A text none of whose words is the item's, though each has the hash of one."""
+    wanted, own = {}, [f"item{i}" for i in range(30)]
+    places = {zlib.crc32(w.encode()) % latent.FOREIGN: w for w in own}
+    n = 0
+    while len(wanted) < len(places):
+        word = f"other{n}"
+        n += 1
+        place = zlib.crc32(word.encode()) % latent.FOREIGN
+        if place in places:
+            wanted.setdefault(place, word)
+    other = [wanted[zlib.crc32(w.encode()) % latent.FOREIGN] for w in own]
+    table = spark.createDataFrame([(7, " ".join(own), 1)], ITEMS)
+    rows = [(1, " ".join(other)), (2, " ".join(own)), (None, " ".join(other)), (None, " ".join(own))]
+    found = [(r["doc_id"], r["contaminated"]) for r in find_contamination(make_docs(spark, rows), table).collect()]
+    assert sorted(found, key=str) == sorted([(1, False), (2, True), (None, False), (None, True)], key=str)
+
+
+def test_matches_equal_a_plain_search(spark):
+    """Every match holds up word by word, and no text that holds nearly a whole item in a row is missed."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").collect()
+    items = {r["item_id"]: latent.words_of(r["text"]) for r in read("benchmark")}
+    docs = {r["doc_id"]: latent.words_of(r["text"]) for r in read("documents")}
+    path = "/root/testdata/sf0.001"
+    found = {r["doc_id"]: {m["item_id"]: m for m in r["matches"]} for r in find_contamination(
+        spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")).collect()}
+    hits = 0
+    for doc, own in docs.items():
+        for item, m in found[doc].items():
+            stretch = own[m["first_word"]:m["last_word"]]
+            assert plain_lcs(items[item], stretch) / len(items[item]) == m["share"] >= decontaminate.SHARE
+        for item, want in items.items():
+            if len(want) >= 5 and len(set(want) & set(own)) >= 0.9 * len(set(want)):
+                size = len(want) + 4
+                best = max(plain_lcs(want, own[at:at + size]) for at in range(0, max(1, len(own) - size + 1), 2))
+                if best >= 0.9 * len(want):
+                    hits += 1
+                    assert item in found[doc]
+    assert hits > 0
+
+
+def test_reworded_passages_come_from_the_latent_space(spark, monkeypatch):
+    """Without the search by words, the projection alone finds passages with a fourth of their words changed."""
+    monkeypatch.setattr(decontaminate.Postings, "near", lambda self, ids, block, text: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    rng = random.Random(12)
+    items = [words(rng, 32) for _ in range(30)]
+    rows = []
+    for n, item in enumerate(items):
+        own = [f"new{n}x{i}" if i % 4 == 1 else w for i, w in enumerate(item)]
+        rows.append((n, " ".join(words(rng, 64) + own + words(rng, 64))))
+    rows += [(1000 + i, " ".join(words(rng, 160))) for i in range(60)]
+    table = spark.createDataFrame([(n, " ".join(item), 1) for n, item in enumerate(items)], ITEMS)
+    found = {r["doc_id"]: r["item_ids"] for r in find_contamination(make_docs(spark, rows), table).collect()}
+    assert sum(found[n] == [n] for n in range(30)) >= 27
+    assert not any(found[i] for i in found if i >= 1000)

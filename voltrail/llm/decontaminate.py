@@ -1,21 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages; a randomised SVD of their TF-IDF rows, weighted by how many texts of the whole
-corpus hold a word, gives the latent space. Texts are cut into windows of two blocks of `STEP` words, a block apart. A
-window is a candidate for an item if the cosine of its TF-IDF vector, projected, to one of the item's passages is at
-least `COSINE`. Only windows with at least the square of that share of their weight in benchmark words can reach it, so
-the others are not projected. The projection and the words around a short item lower that cosine, so a stretch of
-three blocks is a candidate as well if the words it shares with a passage hold `COSINE` of the passage's own weight,
-whatever else stands there; this is counted in the words themselves. The stretch of text around an item's candidate windows is then compared with the item word
-by word: the longest common subsequence must hold `SHARE` of the item's words, and the item's answer must be there: what
-follows `answer:`, or else most of its `ANSWER_TERMS` rarest words.
-
-Items come in blocks of `ITEM_BLOCK`, so what tasks are sent has a size bound; each block is one pass over the texts, and
-no rows are shuffled. Texts longer than an item are read whole.
+corpus hold a word, gives the latent space. Every word of the benchmark has a number of its own; all other words equal
+nothing, and only their hashed frequencies count in the length of a vector. Texts are cut into windows of two blocks of
+`STEP` words, a block apart. A window is a candidate for an item if the cosine of its TF-IDF vector, projected, to one of
+the item's passages is at least `COSINE`: this finds reworded passages. A window whose words, each with the most that it
+can add to any passage, don't reach it is not projected. The projection and the words
+around a short item lower that cosine, so a stretch of three blocks is a candidate as well if the words it shares with a
+passage hold `COSINE` of the passage's own weight, whatever else stands there; this finds copies, however many items
+there are. The stretch of text around an item's candidate windows is then compared with the item word by word: the
+longest common subsequence must hold `SHARE` of the item's words, and the item's answer must be there: more than half of
+the words that follow `answer:`, or else of the rarer half of its words.
+
+Items come in parts of `PART_ITEMS`, so what tasks are sent has a size bound: a part's words, and matrices of as many
+rows. A part is two passes over the texts, one that counts and one that matches, and cuts them into words once in each;
+inside it, items are matched in blocks of `ITEM_BLOCK`. No rows are shuffled. Texts longer than an item are read whole.
 
 Defined results: a null or empty text matches nothing and is kept. Items that are null or under `MIN_WORDS` words match
-nothing; the same item twice gives both ids. Null ids are kept as they are; repeated rows are judged alike. Extra columns
-are ignored. Without items everything is kept. An empty table gives no rows.
+nothing; the same item twice gives both ids. Null ids are kept as they are; repeated rows are judged alike, each for
+itself. Extra columns are ignored. Without items everything is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm import latent
-from voltrail.llm.latent import FEATURES, Features, decompose, document_frequencies, features_of, weighted
+from voltrail.llm.latent import Numbers, decompose, document_frequencies, numbers_of, weighted, words_of
 from voltrail.session import send_to_tasks
 
 STEP = 16
@@ -37,7 +40,7 @@ COSINE = 0.45
 SHARE = 0.6
 RANK = 256
 MIN_WORDS = 5
-ITEM_BLOCK = 2048
+ITEM_BLOCK, PART_ITEMS = 2048, 16_384
 # Words of a passage that together hold less than this share of its weight, the commonest, are looked at last.
 COMMON = 0.2
 PAIRS = 1 << 20
@@ -55,11 +58,12 @@ class Item:
     answer: np.ndarray
 
 
-def make_item(item_id: int, text: str, idf: np.ndarray) -> Item:
-    known = Features()
-    ids = features_of(text, known)
+def make_item(item_id: int, text: str, known: Numbers, idf: np.ndarray) -> Item:
+    ids = numbers_of(text, known)
     _, mark, answer = text.lower().rpartition("answer:")
-    terms = features_of(answer, known) if mark else np.zeros(0, np.int32)
+    terms = numbers_of(answer, known) if mark else np.zeros(0, np.int64)
+    # An answer may cut a word of the item: what is no word of the benchmark is no term.
+    terms = terms[terms < len(known.known)]
     if not len(terms):
         own = np.unique(ids)
         terms = own[np.argsort(-idf[own], kind="stable")][:max(1, len(own) // 2)]
@@ -94,7 +98,7 @@ class Postings:
     least: np.ndarray
 
     @classmethod
-    def of(cls, passages: list[tuple[np.ndarray, np.ndarray]]) -> "Postings":
+    def of(cls, passages: list[tuple[np.ndarray, np.ndarray]], size: int) -> "Postings":
         feature, passage, share, least = [], [], [], []
         for number, (own, shares) in enumerate(passages):
             order = np.argsort(shares, kind="stable")
@@ -105,7 +109,7 @@ class Postings:
             share.append(shares[kept])
             least.append(COSINE - float(shares.sum() - shares[kept].sum()))
         features, order = np.concatenate(feature), np.argsort(np.concatenate(feature), kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=FEATURES))])
+        first = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=size))])
         return cls(first, np.concatenate(passage)[order], np.concatenate(share)[order], np.array(least) - 1e-9)
 
     def near(self, ids: np.ndarray, block: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +118,10 @@ class Postings:
         A word in two of the blocks counts twice, so this may be more than enough; matches are compared word by word.
         """
         many = self.first[1:] - self.first[:-1]
+        size = len(many)
         held = np.flatnonzero(many[ids])
-        key = np.unique(block[held] * FEATURES + ids[held])
-        block, word = key // FEATURES, key % FEATURES
+        key = np.unique(block[held] * size + ids[held])
+        block, word = key // size, key % size
         # Two empty blocks stand between texts, so that no stretch reaches from one to the next.
         spaced = block + 2 * text[block]
         width = len(text) + 2 * (int(text[-1]) + 2)
@@ -158,6 +163,8 @@ class Matcher:
     place: np.ndarray
     basis: np.ndarray
     passages: np.ndarray
+    #: The most that a word, as often as it stands in a window, adds to the window's product with any passage.
+    most: np.ndarray
     postings: "Postings"
 
     @classmethod
@@ -165,7 +172,7 @@ class Matcher:
         """`basis` has a row per feature of `features`; the block keeps those of its items."""
         owner, rows, parts = [], [], []
         used = np.unique(np.concatenate([x.ids for x in items]))
-        place = np.full(FEATURES, -1, np.int32)
+        place = np.full(len(idf), -1, np.int32)
         place[used] = np.arange(len(used))
         basis = basis[np.searchsorted(features, used)]
         for number, item in enumerate(items):
@@ -175,7 +182,12 @@ class Matcher:
                 owner.append(number)
                 parts.append((own, weights**2))
                 rows.append(image / max(float(np.linalg.norm(image)), 1e-9))
-        return cls(items, np.array(owner), idf.astype(np.float32), place, basis, np.stack(rows), Postings.of(parts))
+        images = np.stack(rows)
+        most = np.zeros(len(idf))
+        for at in range(0, len(used), 4096):
+            part = used[at:at + 4096]
+            most[part] = idf[part] * (basis[at:at + 4096] @ images.T).max(1).clip(0)
+        return cls(items, np.array(owner), idf.astype(np.float32), place, basis, images, most, Postings.of(parts, len(idf)))
 
     def candidates(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, first word, item) of the windows that are near an item's passage. `ids` are all texts' words."""
@@ -188,13 +200,14 @@ class Matcher:
         starts = firsts[text] + in_text * STEP
         square = self.idf[ids] ** 2
         whole = np.add.reduceat(square, starts)
-        shared = np.add.reduceat(np.where(self.place[ids] >= 0, square, 0), starts)
+        most = np.add.reduceat(self.most[ids], starts)
         paired = np.append(text[1:] == text[:-1], False)
         whole = whole + np.where(paired, np.append(whole[1:], 0), 0)
-        shared = shared + np.where(paired, np.append(shared[1:], 0), 0)
+        most = most + np.where(paired, np.append(most[1:], 0), 0)
         ends = np.minimum(starts + 2 * STEP, firsts[text] + lengths[text])
         found = []
-        likely = np.flatnonzero(shared >= COSINE**2 * whole)
+        # A window is no shorter than the root of its words' squared weights.
+        likely = np.flatnonzero(most >= (COSINE - 1e-6) * np.sqrt(whole))
         for at in range(0, len(likely), 1024):
             part = likely[at:at + 1024]
             near = np.nonzero(self._images(ids, starts[part], ends[part]) @ self.passages.T >= COSINE)
@@ -212,8 +225,8 @@ class Matcher:
         lengths = ends - starts
         window = np.repeat(np.arange(len(starts)), lengths)
         own = ids[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-        key, times = np.unique(window * FEATURES + own, return_counts=True)
-        window, own = key // FEATURES, key % FEATURES
+        key, times = np.unique(window * len(self.idf) + own, return_counts=True)
+        window, own = key // len(self.idf), key % len(self.idf)
         weights = times * self.idf[own]
         length = np.sqrt(np.add.reduceat(weights**2, np.searchsorted(window, np.arange(len(starts)))))
         held = np.flatnonzero(self.place[own] >= 0)
@@ -229,7 +242,7 @@ class Matcher:
         """Per text (item id, first word, last word, share) of the items it holds."""
         lengths = np.array([len(x) for x in texts], np.int64)
         near: dict[tuple[int, int], list[int]] = {}
-        for text, start, item in self.candidates(np.concatenate(texts) if len(texts) else np.zeros(0, np.int32), lengths):
+        for text, start, item in self.candidates(np.concatenate(texts) if len(texts) else np.zeros(0, np.int64), lengths):
             near.setdefault((text, item), []).append(start)
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         for (text, number), starts in near.items():
@@ -263,47 +276,60 @@ class Matcher:
 
 FIELDS = ("item_id", "first_word", "last_word", "share")
 MATCHES = "array<struct<item_id:long,first_word:long,last_word:long,share:double>>"
-NO_ID = -(2**63)
 
 
-def match(batches: Iterator[pd.DataFrame], matcher: Matcher) -> Iterator[pd.DataFrame]:
-    """The texts with what this block of items adds to their matches."""
-    known = Features()
-    for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at:at + 1000]
-            hits = matcher.matches([features_of(t, known) for t in part["text"]])
-            more = [[*old, *(dict(zip(FIELDS, h)) for h in new)] for old, new in zip(part["matches"], hits)]
-            yield part.assign(matches=more)
+def match_texts(texts: pd.Series, numbers: Numbers, matchers: list[Matcher]) -> list[list[dict]]:
+    out = []
+    for at in range(0, len(texts), 1000):
+        ids = [numbers_of(t, numbers) for t in texts.iloc[at:at + 1000]]
+        found = [matcher.matches(ids) for matcher in matchers]
+        out += [[dict(zip(FIELDS, hit)) for hits in own for hit in hits] for own in zip(*found)]
+    return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, kept, contaminated, item_ids, matches: a row per text."""
-    send_to_tasks(__name__)
-    send_to_tasks(latent.__name__)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts, total = document_frequencies(texts)
+def _part(texts: DataFrame, items: DataFrame, text: Column) -> Column | None:
+    """The matches of one part of the benchmark, as a column over `text`."""
+    own = [(i, t) for i, t in items.collect() if len(words_of(t)) >= MIN_WORDS]
+    if not own:
+        return None
+    known = {word: number for number, word in enumerate(sorted({w for _, t in own for w in words_of(t)}))}
+    counts, total = document_frequencies(texts, known)
     idf = np.log((total + 1) / (counts + 1)) + 1e-3
+    numbers = Numbers(known)
+    made = [make_item(i, t, numbers, idf) for i, t in sorted(own)]
+    cuts = [(x.ids[s:s + 2 * STEP].tolist(),) for x in made for s in passage_starts(len(x.ids))]
+    passages = texts.sparkSession.createDataFrame(cuts, "ids array<long>")
+    features, basis = decompose(passages, idf, RANK)
+    matchers = [Matcher.of(made[at:at + ITEM_BLOCK], features, basis, idf) for at in range(0, len(made), ITEM_BLOCK)]
+
+    @F.pandas_udf(MATCHES)
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers = Numbers(known)
+        for batch in batches:
+            yield pd.Series(match_texts(batch, numbers, matchers), dtype=object)
+
+    return matched(text)
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches") -> DataFrame:
+    """All rows and columns of `docs`, each row with what its own text holds of the benchmark."""
+    for module in (__name__, latent.__name__):
+        send_to_tasks(module)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text.alias("text"))
     usable = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    parts = -(-usable.count() // PART_ITEMS)
+    found = [
+        _part(texts, usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part), text) for part in range(parts)]
+    found = [column for column in found if column is not None]
+    return docs.withColumn(name, F.concat(*found) if found else F.array().cast(MATCHES))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Features()
-        for batch in batches:
-            ids = [features_of(t, known) for t in batch["text"]]
-            cut_ids = [x[s:s + 2 * STEP].tolist() for x in ids if len(x) >= MIN_WORDS for s in passage_starts(len(x))]
-            yield pd.DataFrame({"ids": pd.Series(cut_ids, dtype=object)})
-
-    features, basis = decompose(usable.mapInPandas(cut, "ids array<int>"), idf, RANK)
-    blocks = -(-usable.count() // ITEM_BLOCK)
-    none = F.array().cast(MATCHES)
-    result = texts.withColumn("matches", none)
-    for block in range(blocks):
-        own = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        items = [x for x in (make_item(i, t, idf) for i, t in own) if len(x.ids) >= MIN_WORDS]
-        if items:
-            matcher = Matcher.of(items, features, basis, idf)
-            result = result.mapInPandas(lambda b, m=matcher: match(b, m), f"doc_id long, text string, matches {MATCHES}")
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, kept, contaminated, item_ids, matches: a row per text."""
+    rows = with_matches(docs.select("doc_id", "text"), benchmark)
     ids = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
-    return result.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.size("matches") == 0).alias("kept"),
-        (F.size("matches") > 0).alias("contaminated"), ids.alias("item_ids"), "matches")
+    # The column is evaluated once, below what is made of it.
+    return rows.select("doc_id", "matches").select(
+        "doc_id", (F.size("matches") == 0).alias("kept"), (F.size("matches") > 0).alias("contaminated"), ids.alias("item_ids"),
+        "matches")

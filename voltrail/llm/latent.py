@@ -1,7 +1,8 @@
-"""Randomised singular value decomposition of TF-IDF passages that are spread over tasks.
+"""Words as numbers, and a randomised singular value decomposition of TF-IDF passages that are spread over tasks.
 
-Words go to `FEATURES` hashed features, so every matrix on the driver has a fixed size bound, the features in use by
-`rank`. Tasks hold passages and send back sums by feature.
+The words that are searched for have a number each, by their letters. All other words share `FOREIGN` numbers behind
+those, by a hash; they equal nothing and only count in the length of a vector. So every matrix on the driver has as many
+rows as there are words searched for. Tasks hold passages and send back sums by word.
 """
 
 from __future__ import annotations
@@ -14,24 +15,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 1 << 16
-STRIPPED = b".,;:!?\"'()[]{}"
+FOREIGN = 1 << 16
+STRIPPED = ".,;:!?\"'()[]{}"
 
 
-class Features(dict):
-    """Feature of a raw token: its letters, lower-cased, without punctuation around them. Forgets when it gets large."""
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words without the punctuation around them; a word of punctuation alone stays."""
+    return [word.strip(STRIPPED) or word for word in (text or "").lower().split()]
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 100_000:
+
+class Numbers(dict):
+    """Numbers of raw words: the known ones from 0 on, all others behind them. Forgets raw words when it gets large."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) > len(self.known) + 200_000:
             self.clear()
-        low = token.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
-        value = self[token] = zlib.crc32(low.strip(STRIPPED) or low) % FEATURES
-        return value
+            self.update(self.known)
+        word = raw.strip(STRIPPED) or raw
+        number = self.known.get(word)
+        if number is None:
+            number = len(self.known) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % FOREIGN
+        self[raw] = number
+        return number
 
 
-def features_of(text: str | None, known: Features) -> np.ndarray:
-    tokens = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+def numbers_of(text: str | None, numbers: Numbers) -> np.ndarray:
+    words = (text or "").lower().split()
+    return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
 def weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,26 +56,24 @@ def weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, weights / length if length else weights
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts of the whole table each feature stands, and the number of texts."""
+def document_frequencies(texts: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many texts of the whole table each number stands, and the number of texts."""
+    size = len(known) + FOREIGN
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, total, rows = Features(), np.zeros(FEATURES, np.int64), 0
+        total, rows, numbers = np.zeros(size, np.int64), 0, Numbers(known)
         for batch in batches:
+            for text in batch["text"]:
+                total[np.unique(numbers_of(text, numbers))] += 1
             rows += len(batch)
-            ids = [features_of(t, known) for t in batch["text"]]
-            if ids:
-                flat = np.concatenate(ids).astype(np.int64)
-                owner = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
-                total += np.bincount(np.unique(owner * FEATURES + flat) % FEATURES, minlength=FEATURES)
         held = np.flatnonzero(total)
-        yield pd.DataFrame({"feature": np.append(held, -1).astype(np.int32), "n": np.append(total[held], rows)})
+        yield pd.DataFrame({"number": np.append(held, -1), "n": np.append(total[held], rows)})
 
-    sums = texts.select("text").mapInPandas(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = np.zeros(FEATURES + 1, np.int64)
-    for feature, n in sums.collect():
-        found[feature] = n
-    return found[:FEATURES], int(found[FEATURES])
+    sums = texts.select("text").mapInPandas(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    found = np.zeros(size + 1, np.int64)
+    for number, n in sums.collect():
+        found[number] = n
+    return found[:size], int(found[size])
 
 
 def _summed(passages: DataFrame, rows: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]],
@@ -72,7 +84,7 @@ def _summed(passages: DataFrame, rows: Callable[[np.ndarray], Iterator[tuple[int
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for ids in batch["ids"]:
-                for number, vector in rows(np.asarray(ids, np.int32)):
+                for number, vector in rows(np.asarray(ids, np.int64)):
                     if number in sums:
                         sums[number] += vector
                     else:
@@ -95,7 +107,7 @@ def decompose(passages: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2)
     """The passages' features, ascending, and the leading right singular vectors of their TF-IDF rows (column `ids`).
 
     Random directions are pushed through the matrix and back, made orthogonal, and so again; the small matrix of what
-    is left is then decomposed exactly. Tasks are sent a row per feature in use, FEATURES at most.
+    is left is then decomposed exactly. Tasks are sent a row per word in use.
     """
     used = np.array(sorted(r[0] for r in passages.select(F.explode("ids")).distinct().collect()), np.int64)
     rank = min(rank, len(used), passages.count())
