@@ -97,17 +97,25 @@ def remove_folders(spark: SparkSession, parent: str, is_stale: Callable[[str], b
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Writes inside remove their shuffle files as they end, as nothing reads those again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def shuffles_freed(spark: SparkSession):
+    """Writes inside remove their shuffle files as they end, as nothing reads those again."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Writes inside send Python tasks so many rows at a time: few where rows hold whole texts."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 _FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
 
 
