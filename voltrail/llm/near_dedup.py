@@ -13,7 +13,8 @@ so on until none is left. A key whose classes are then in one component has noth
 block, and the pairs within the distance are confirmed. So every pair that shares a key is linked, disproved or joined.
 
 Defined results: null or empty text, and text without words, has no shingle and is its own component. A null id counts
-as the smallest id. Repeated rows are copies; rows repeated with one id are all kept or all dropped. Extra columns are
+as the smallest id. Repeated rows are copies; rows repeated with one id are all kept or all dropped by `near_duplicates`,
+and one of them stays in `without_near_duplicates`. Extra columns are
 ignored. An empty table gives no rows. Whole texts count, however long. Shingles go by 64-bit hashes, sets by 128 bits.
 """
 
@@ -26,25 +27,26 @@ from itertools import chain, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voltrail.llm import blobs
 from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
 from voltrail.llm.graph import components
-from voltrail.session import fan_out, send_to_tasks, written
+from voltrail.session import arrow_rows, fan_out, send_to_tasks, work_folders_removed, written
 
 SIMILARITY = 80
 PLACES, CHUNKS = 64, 10
 MISS = 1.25e-6
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 250_000
+TEXT_ROWS = 1000
 BLOCK = 1024
 PIVOT_PAIRS = 4096
 STAR_ROWS = 4096
 NO_ID = -(2**63)
 
-SETS = "doc_id long, n_shingles long, set_key binary, signature binary"
+SETS = "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary"
 
 
 def distance_for(similarity: int, places: int = PLACES) -> int:
@@ -120,10 +122,10 @@ def describe(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFra
     for batch in batches:
         known = WordHashes()
         rows = []
-        for doc, text in zip(batch["doc_id"].tolist(), batch["text"]):
+        for doc, name, text in zip(batch["doc_id"].tolist(), batch["text_key"], batch["text"]):
             keys = shingles(text, words, known)
-            rows.append((doc, len(keys), *((set_key(keys), signature(keys).tobytes()) if len(keys) else (None, None))))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "signature"])
+            rows.append((doc, name, len(keys), *((set_key(keys), signature(keys).tobytes()) if len(keys) else (None, None))))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
 
 def _signatures(column: pd.Series) -> np.ndarray:
@@ -267,11 +269,14 @@ class NearDuplicates:
         for module in (__name__, blobs.__name__):
             send_to_tasks(module)
         self.words, self.similarity = words, similarity
+        self.items: DataFrame | None = None
         self.texts = docs.select(
-            F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        self.sets = written(self.texts.mapInPandas(lambda b: describe(b, words), SETS), "near-sets")
+            F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+        with arrow_rows(docs.sparkSession, TEXT_ROWS):
+            self.sets = written(self.texts.mapInPandas(lambda b: describe(b, words), SETS), "near-sets")
         grouped = self.sets.where("n_shingles > 0").groupBy("set_key").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+            F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"))
         self.classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
 
     def star_links(self) -> DataFrame:
@@ -299,14 +304,29 @@ class NearDuplicates:
         measured = sized.select("a", "b", distance("signature_a", "signature_b").alias("apart"))
         return measured.where(F.col("apart") <= distance_for(self.similarity))
 
+    def sets_of(self, links: DataFrame) -> DataFrame:
+        """cls, items: the full sets of these links' classes, each cut from its text once in a run."""
+        words, wanted = self.words, links.select("a").union(links.select("b")).distinct().toDF("cls")
+        if self.items is not None:
+            wanted = wanted.join(self.items.select("cls"), "cls", "left_anti")
+        wanted = written(wanted, "near-needed")
+        if self.items is not None and wanted.isEmpty():
+            return self.items
+        needed = self.classes.join(wanted, "cls", "left_semi").select(
+            "cls", "set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+        # The first time one plan at every size, as what is needed grows with the texts; later it is little, as a rule.
+        needed = needed.hint("merge") if self.items is None else needed
+        texts = self.texts.join(needed, ["doc_id", "text_key"]).select("cls", "set_key", "text")
+        with arrow_rows(texts.sparkSession, TEXT_ROWS):
+            cut = written(texts.mapInPandas(lambda b: packed_sets(b, words), "cls long, items binary"), "near-cut")
+        more = written(cut.dropDuplicates(["cls"]), "near-items")
+        self.items = more if self.items is None else self.items.unionByName(more)
+        return self.items
+
     def confirm(self, links: DataFrame) -> DataFrame:
         """The links whose full sets are similar. A class with many links meets them in parts of PIVOT_PAIRS."""
-        words, similarity = self.words, self.similarity
-        ids = written(links.select("a").union(links.select("b")).distinct().toDF("cls"), "near-needed")
-        needed = written(self.classes.join(ids, "cls", "left_semi").select("cls", "doc_id", "set_key"), "near-needed")
-        items = written(
-            self.texts.join(needed, "doc_id").select("cls", "set_key", "text")
-            .mapInPandas(lambda b: packed_sets(b, words), "cls long, items binary").dropDuplicates(["cls"]), "near-items")
+        similarity = self.similarity
+        items = self.sets_of(links)
         dealt = links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).cast("int").alias("parts"))
         dealt = written(dealt, "near-dealt")
         left = items.join(dealt, F.col("cls") == F.col("a")).select(
@@ -372,11 +392,12 @@ class NearDuplicates:
         return written(components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(sure)), "near-parts")
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept."""
+        """doc_id, text_key, n_shingles, component_id, first_text (of the component's smallest id)."""
         stars = self.star_links()
         links = written(self.plausible(stars), "near-links")
         nearest = F.min(F.struct("apart", "a"))["a"]
         first = links.groupBy("b").agg(nearest.alias("a")).select("a", "b")
+        self.sets_of(links)
         none = self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
         parts = self.joined(none, written(first, "near-first"))
         tested, most = first, 1
@@ -392,16 +413,44 @@ class NearDuplicates:
             tested, most = written(tested.union(chosen), "near-tested"), most * 8
         parts = self.joined(parts, written(self.unresolved(stars, links, parts), "near-more"))
         named = self.classes.join(parts.toDF("cls", "component"), "cls", "left").select(
-            "set_key", "doc_id", F.coalesce("component", "cls").alias("component"))
+            "set_key", "first", F.coalesce("component", "cls").alias("component"))
         named = written(named, "near-named")
-        least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
-        ids = written(named.join(least, "component").select("set_key", "component_id"), "near-ids")
-        own = F.coalesce("component_id", "doc_id")
+        least = written(named.groupBy("component").agg(F.min("first").alias("least")), "near-least")
+        ids = written(named.join(least, "component").select("set_key", "least"), "near-ids")
         return self.sets.join(ids, "set_key", "left").select(
-            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles",
-            F.nullif(own, F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", "n_shingles",
+            F.nullif(F.coalesce("least.doc_id", "doc_id"), F.lit(NO_ID)).alias("component_id"),
+            F.coalesce("least.text_key", "text_key").alias("first_text"))
+
+
+def text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    with work_folders_removed(docs.sparkSession) as kept:
+        return kept(written(NearDuplicates(docs, words, similarity).run(), "near-components"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return NearDuplicates(docs, words, similarity).run()
+    rows = _components(docs, words, similarity)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of `docs` (all columns), one of each component: the first by id (null first) and digest of the text.
+
+    Rows are known by id and text: different texts under one id, or without one, are decided apart. A text without a
+    shingle is a component of its own, as often as its row is repeated.
+    """
+    rows = _components(docs.select("doc_id", "text"), words, similarity)
+    whole = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_text"))
+    keep = rows.where(whole | (F.col("n_shingles") == 0)).select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
+    named = docs.withColumn("_text_key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_text"))
+    joined = named.join(keep.hint("merge"), same).drop("_kept_id", "_kept_text")
+    once = Window.partitionBy("doc_id", "_text_key").orderBy("_text_key")
+    copy = F.row_number().over(once)
+    return joined.withColumn("_copy", copy).where((F.col("_copy") == 1) | F.col("_bare")).select(*docs.columns)
