@@ -1,7 +1,17 @@
 """From raw documents to packed training sequences, in five stages over the `documents` of a folder.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-`documents`; `n_chars` follows the text. Between stages the rows are written and read again.
+`documents`; `n_chars` follows the text. Between stages the rows are written and read again; what a stage wrote for
+itself is removed once its result is written.
+
+Quality and decontamination judge each row by its own text, so no row is moved and none is looked up by its id. Near
+duplicates are known by id and text.
+
+Defined results: a null or empty text has no sign of bad quality, no line to lose but its empty one, no copies and no
+benchmark passage, and is packed as one piece of length 0; a text that is null stays null. Rows without an id, and
+different texts under one id, are judged each for itself; rows that repeat id and text are copies of one another, of
+which one stays. Columns other than those of `documents` are dropped, whatever their names. Without labels the heuristics
+alone judge quality; without items nothing is contaminated. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,26 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.llm.common import given
-from voltrail.llm.decontaminate import find_contamination
+from voltrail.llm.decontaminate import with_matches
 from voltrail.llm.line_dedup import dedup_lines
-from voltrail.llm.near_dedup import near_duplicates
+from voltrail.llm.near_dedup import without_near_duplicates
 from voltrail.llm.packing import pack_documents
-from voltrail.llm.quality import judge_quality
-from voltrail.session import written
+from voltrail.llm.quality import QualityModel
+from voltrail.session import work_folders_removed, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents that an operator kept, by id; a null id counts as an id."""
-    keep = written(judged.where("kept").select("doc_id").distinct(), "stage-kept")
-    own = docs.select(*COLUMNS)
-    return own.join(keep.toDF("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer does not reject."""
-    return _kept(docs, judge_quality(docs, given(spark, sf_dir, "labels")))
+    own = docs.select(*COLUMNS)
+    model = QualityModel(own, given(spark, sf_dir, "labels"))
+    judged = own.withColumn("_of", model.verdict(F.coalesce("text", F.lit(""))))
+    return judged.where(model.keeps(F.col("_of"))).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +47,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by five-word shingles."""
-    return _kept(docs, near_duplicates(docs))
+    return without_near_duplicates(docs.select(*COLUMNS))
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _kept(docs, find_contamination(docs, given(spark, sf_dir, "benchmark")))
+    judged = with_matches(docs.select(*COLUMNS), given(spark, sf_dir, "benchmark"), "_matches")
+    return judged.where(F.size("_matches") == 0).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = written(docs, f"stage-{name}")
-    return docs
+        if number == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with work_folders_removed(spark) as kept:
+            docs = kept(written(stage(spark, docs, sf_dir), f"stage-{name}"))
