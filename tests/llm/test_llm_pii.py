@@ -1,7 +1,11 @@
 """Personal data against a plain version with Python's regular expressions."""
 
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
+
+import regex
 
 from samples import make_docs, odd_rows, texts
 from voltrail.llm import pii
@@ -100,3 +104,51 @@ def test_terms_far_away_and_elsewhere(spark):
     assert not any(w in clean[i] for i in range(4) for w in ("Zanzibar", "north-west", "R2D2", "anna"))
     assert "Zanzibar" not in clean[5] and clean[5].strip() == far.strip()
     assert clean[10].startswith(far)
+
+
+def mask(text):
+    for kind, pattern in KINDS.items():
+        text = re.sub(pattern, lambda m: pii.MASK * len(m.group()) if valid(kind, m.group()) else m.group(), text)
+    return text
+
+
+def plain_terms(rows, min_docs, generalise):
+    """The term spans of each row: every text against every entity."""
+    texts_ = [t or "" for _, t in rows]
+    words = [[(m.group().lower(), m.start(), m.end()) for m in regex.finditer(pii.TERM, mask(t))] for t in texts_]
+    entities = []
+    for t in texts_:
+        own = [(k, t[s:e]) for k, s, e in base(t)]
+        entities.append({f"{k}:{m.lower() if k == 'email' else m if k == 'ip' else re.sub('[^0-9]', '', m)}" for k, m in own})
+    n, holds = len(rows), Counter(w for own in words for w in {x[0] for x in own})
+    with_entity, together = Counter(e for own in entities for e in own), defaultdict(int)
+    for own, terms in zip(entities, words):
+        for e in own:
+            for w in {x[0] for x in terms}:
+                together[e, w] += 1
+    telling = set()
+    for (e, w), both in together.items():
+        if both >= min_docs and min_docs <= with_entity[e] < n:
+            if math.log2(n * both / (with_entity[e] * holds[w])) / math.log2(n / with_entity[e]) >= generalise - 1e-12:
+                telling.add(w)
+    return [",".join(f"term:{s}:{e}" for w, s, e in own if w in telling) for own in words], telling
+
+
+def test_terms_equal_a_plain_search(spark):
+    """Entities of every kind in some texts, terms that touch spans, repeated texts, and odd rows."""
+    names = ["anna@corp.example", "10.0.0.7", "4111 1111 1111 1111", "+49 30 1234567"]
+    rows = [(i, f"{t} {names[i % 4]} Codeword{i % 4}, (x{names[i % 4]}y) 1234567890123x {names[(i + 1) % 4] if i % 8 == 0 else ''}")
+            for i, t in enumerate(texts(24, 2))]
+    rows += [(40 + i, t) for i, t in enumerate(texts(60, 9))] + [(200 + i, rows[3][1]) for i in range(3)]
+    rows += [(300, "Codeword1 alone"), (301, "codeword2.codeword3 Codeword2!")] + odd_rows(400)
+    for least, share in ((3, 0.5), (2, 0.2)):
+        want, telling = plain_terms(rows, least, share)
+        got = pii.find_personal_data(make_docs(spark, rows), least, share).collect()
+        have = sorted((str(r["doc_id"]), ",".join(x for x in r["spans"].split(",") if x.startswith("term"))) for r in got)
+        assert telling and have == sorted((str(i), w) for (i, _), w in zip(rows, want))
+
+
+def test_nothing_more_is_run_without_frequent_entities(spark, monkeypatch):
+    monkeypatch.setattr(pii, "masked", None)
+    docs = make_docs(spark, [(1, "anna@corp.example wrote"), (2, "bob@corp.example wrote"), (3, "nothing")])
+    assert {r["spans"] for r in pii.personal_data_digests(docs).collect()} == {"email:0:17", "email:0:16", ""}

@@ -5,7 +5,12 @@ strongly a term reveals an entity is measured on the whole corpus: the pointwise
 in a text with the entity, as a share of the entity's own information. A term that is in at least `MIN_DOCS` texts with
 the entity and discloses at least `GENERALISE` of it is telling: wherever it stands, in texts without the entity too, it
 becomes a span of its own and is replaced by its class, or taken out from `REMOVE` on. What a term discloses most counts.
-Base spans are always replaced by their kind, and what lies in them is no term.
+Base spans are always replaced by their kind, and what touches them is no term: terms are looked for in the text with its
+base spans masked.
+
+The search goes from the entities outwards, each step over what the one before found: entities in enough texts, terms of
+their texts, pairs, the number of all texts that hold those terms, and last the positions of telling terms in the texts
+that hold one. Where nothing is found the rest is not run, as nothing can be telling.
 
 Only column expressions and SQL are used. Positions are running sums over the cuts of a text, so the work grows with
 its length and not with its square. Patterns use possessive groups and start only where a leftmost match can start,
@@ -34,6 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MIN_DOCS = 3
+MASK = "\uFFFC"
 GENERALISE, REMOVE = 0.5, 0.75
 # Three letters or digits and more, hyphens and apostrophes between them, in quotes or brackets or not.
 OPENING, CLOSING = r"\"'(\[{<«„“‘»", r".,;:!?\"')\]}>»”’“«"
@@ -93,7 +99,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("text_nr"), "doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+        F.monotonically_increasing_id().alias("text_nr"), "doc_id", text.alias("text"), text_key().alias("text_key"))
     cutters = {kind: _cuts(kind, F.col("text")) for kind in KINDS}
     rows = rows.withColumns({f"_found_{k}": c[0] for k, c in cutters.items()})
     rows = rows.withColumns({f"_pieces_{k}": F.when(F.size(f"_found_{k}") > 0, c[1]) for k, c in cutters.items()})
@@ -113,49 +119,96 @@ def base_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def placed_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """text_key, term, start, end: every term of each distinct text, outside its base spans."""
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key")).dropDuplicates(["text_key"])
-    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split("text", TERM, -1), F.length)
-    rows = texts.select("text_key", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("nr", "w")).where(
-        "w.word IS NOT NULL").select("text_key", "nr", "w.word", "w.gap")
-    # Words that overlap a base span, by the furthest end of those before and the first start of those behind.
-    order = Window.partitionBy("text_key").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("word")).over(order).cast("long")
-    rows = rows.withColumn("end", end).select(
-        "text_key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
-    base = spans.where("kind IS NOT NULL").select("text_key", "start", "end").distinct()
-    both = rows.select("text_key", "term", "start", "end").unionByName(
-        base.select("text_key", F.lit(None).cast("string").alias("term"), "start", "end"))
-    is_base = F.col("term").isNull()
-    before = Window.partitionBy("text_key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("text_key").orderBy(F.col("end").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    covered = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
-        F.min(F.when(is_base, F.col("start"))).over(behind) < F.col("end"), F.lit(False))
-    return both.withColumn("covered", covered).where("term IS NOT NULL AND NOT covered").drop("covered")
-
-
-def disclosures(docs: DataFrame, spans: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS,
-                generalise: float = GENERALISE) -> DataFrame:
+def text_key() -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(text_key().alias("text_key"), "text")
+
+
+def masked(texts: DataFrame, *more: str) -> DataFrame:
+    """text_key and `masked`: the text with every code point of a base span replaced, kind by kind in their order."""
+    rows = texts.select("text_key", *more, F.coalesce("text", F.lit("")).alias("masked"))
+    for kind in KINDS:
+        sign = {"email": "@", "phone": "+"}.get(kind)
+        has = F.contains("masked", F.lit(sign)) if sign else F.col("masked").rlike("[0-9]")
+        hidden = lambda match, kind=kind: F.when(
+            F.coalesce(_is_valid(F.lit(kind), match), F.lit(False)), F.repeat(F.lit(MASK), F.length(match))).otherwise(match)
+        pieces = F.zip_with(
+            F.split("masked", PATTERNS[kind], -1), F.regexp_extract_all("masked", F.lit(PATTERNS[kind]), F.lit(0)),
+            lambda piece, match: F.concat(piece, F.coalesce(hidden(match), F.lit(""))))
+        rows = rows.withColumn("masked", F.when(has, F.array_join(pieces, "")).otherwise(F.col("masked")))
+    return rows
+
+
+def _distinct_terms(rows: DataFrame) -> DataFrame:
+    """text_key, term: each distinct term of each row's text, without positions."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("masked", F.lit(TERM), F.lit(0)), F.lower))
+    return rows.select("text_key", F.explode(terms).alias("term"))
+
+
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """text_key, masked: the texts of these keys, each once."""
+    return masked(_keyed(docs).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]))
+
+
+TELLING = "entity string, term string, disclosure double"
+PLACED = "text_key binary, term string, start long, end long, disclosure double"
+
+
+def disclosures(docs: DataFrame, spans: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure: the share of the entity's information that the term discloses, where it is enough.
 
-    Only entities in `min_docs` texts are paired.
+    From the entities outwards: only entities in `min_docs` texts are paired, only with the terms of texts that hold
+    them, and only the terms of such pairs are counted in all texts. A text counts as often as it occurs.
     """
-    total = docs.count()
-    copies = spans.select("text_nr", "text_key").distinct().groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
-    held = terms.select("text_key", "term").distinct().join(copies, "text_key")
-    counts = held.groupBy("term").agg(F.sum("copies").alias("texts")).where(F.col("texts") >= min_docs)
-    with_entity = spans.where("kind IS NOT NULL").select("entity", "text_key").distinct().join(copies, "text_key")
+    spark, total = docs.sparkSession, docs.count()
+    none = spark.createDataFrame([], TELLING)
+    with_entity = spans.where("kind IS NOT NULL").select("entity", "text_key", "text_nr").distinct().groupBy(
+        "entity", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    with_entity = written(with_entity, "pii-entities")
     entities = with_entity.groupBy("entity").agg(F.sum("copies").alias("entity_texts")).where(
         F.col("entity_texts").between(min_docs, total - 1))
-    paired = with_entity.join(entities, "entity").select("entity", "text_key")
+    entities = written(entities, "pii-entities")
+    if entities.isEmpty():
+        return none
+    paired = with_entity.join(entities, "entity").select("entity", "text_key", "copies")
+    held = written(_distinct_terms(_once(docs, paired.select("text_key").distinct())), "pii-held")
     pairs = paired.join(held, "text_key").groupBy("entity", "term").agg(F.sum("copies").alias("together")).where(
-        F.col("together") >= min_docs).join(entities, "entity").join(counts, "term")
+        F.col("together") >= min_docs)
+    pairs = written(pairs.join(entities, "entity"), "pii-pairs")
+    if pairs.isEmpty():
+        return none
+    counts = _distinct_terms(masked(_keyed(docs))).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    known = pairs.join(counts, "term")
     mutual = F.log2(F.lit(float(total)) * F.col("together") / (F.col("entity_texts") * F.col("texts")))
     share = mutual / F.log2(F.lit(float(total)) / F.col("entity_texts"))
-    return pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return known.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+
+def placed_terms(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """text_key, term, start, end, disclosure: where the telling terms stand in each distinct text.
+
+    Only texts that hold one are cut into words with positions.
+    """
+    most = written(telling.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-telling")
+    if most.isEmpty():
+        return docs.sparkSession.createDataFrame([], PLACED)
+    holders = _distinct_terms(masked(_keyed(docs))).join(most, "term").distinct().groupBy("text_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("telling"))
+    texts = _keyed(docs).join(written(holders, "pii-holders"), "text_key").dropDuplicates(["text_key"])
+    words = F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split("masked", TERM, -1), F.length)
+    rows = masked(texts, "telling").select(
+        "text_key", "telling", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("nr", "w")).where(
+        "w.word IS NOT NULL").select("text_key", "nr", "w.word", "w.gap", F.element_at("telling", F.lower("w.word")).alias("disclosure"))
+    # The texts are dealt by key already, so their words stay where they are.
+    order = Window.partitionBy("text_key").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(order).cast("long")).where("disclosure IS NOT NULL")
+    return rows.select(
+        "text_key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end", "disclosure")
 
 
 def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE) -> DataFrame:
@@ -164,16 +217,15 @@ def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: fl
     `found` has kind, start, end, entity-free, sorted as in `spans`; terms carry their disclosure.
     """
     spans = written(base_spans(docs), "pii-spans")
-    placed = written(placed_terms(docs, spans), "pii-terms")
-    telling = written(disclosures(docs, spans, placed, min_docs, generalise), "pii-disclosures")
-    most = telling.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    terms = placed.join(most, "term").join(spans.select("text_nr", "text_key").distinct(), "text_key")
+    telling = written(disclosures(docs, spans, min_docs, generalise), "pii-disclosures")
+    placed = written(placed_terms(docs, telling), "pii-terms")
+    terms = placed.join(spans.select("text_nr", "text_key").distinct(), "text_key")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     base = spans.select(
         "text_nr", "doc_id", "text_key", F.when(F.col("kind").isNotNull(), order).alias("order"), "kind", "start", "end",
         F.lit(None).cast("double").alias("disclosure"))
     more = terms.select(
-        "text_nr", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"),
+        "text_nr", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text_key"),
         F.lit(len(KINDS) + 1).alias("order"), F.lit("term").alias("kind"), "start", "end", "disclosure")
     span = F.when(F.col("kind").isNotNull(), F.struct("order", "start", "end", "kind", "disclosure"))
     texts = base.unionByName(more).groupBy("text_nr").agg(
@@ -199,7 +251,7 @@ def sanitise(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENE
     found = find_personal_data(docs, min_docs, generalise).select("doc_id", "text_key", "found").dropDuplicates(
         ["doc_id", "text_key"])
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = docs.select("doc_id", text.alias("text"), text_key().alias("text_key"))
     rows = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_key = f.text_key")).select(
         "d.doc_id", "d.text", "f.found")
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(
