@@ -33,7 +33,7 @@ def test_label_model_finds_the_right_labellers():
         votes.append((BAD if bad else GOOD) if rng.random() < 0.1 else SILENT)
         p = pattern_of(votes)
         patterns[p] = patterns.get(p, 0) + 1
-    posterior, rates = label_model(patterns)
+    posterior, rates, _ = label_model(patterns)
     assert abs(rates[0, 0, 0] - 0.7) < 0.12 and rates[0, 1, 0] < 0.04 and rates[-1, 0, 0] > rates[-1, 0, 1]
     assert posterior[pattern_of([BAD, BAD] + [SILENT] * heuristics)] > 0.9
     assert posterior[pattern_of([SILENT] * heuristics + [GOOD, SILENT])] < 0.15
@@ -70,5 +70,5 @@ def test_posterior_without_the_given_label():
     """Answers whose texts all have a label are judged alike by the rates when that label is silent."""
     bad, good = [BAD] * (len(NAMES) - 1), [GOOD] * (len(NAMES) - 1)
     patterns = {pattern_of([*bad, BAD]): 200, pattern_of([*good, GOOD]): 800}
-    posterior, _ = label_model(patterns)
+    posterior, _, _ = label_model(patterns)
     assert posterior[pattern_of([*bad, SILENT])] > 0.99 and posterior[pattern_of([*good, SILENT])] < 0.01

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from voltrail.llm import cuckoo
 from voltrail.llm.common import SPACE, ascii_lower
 from voltrail.llm.cuckoo import CuckooFilter
-from voltrail.session import send_to_tasks, written
+from voltrail.session import send_to_tasks, work_folders_removed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 500_000
@@ -176,8 +176,8 @@ def split_lines(text: str, keys: set[bytes], min_chars: int) -> tuple[str, int,
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of `docs` (all columns) with `kept` text, n_lines and n_dropped under `line_result`."""
-    refs = line_refs(docs, min_chars)
-    drops = written(LineIndex.of(refs).drops(min_docs), "line-drops")
+    with work_folders_removed(docs.sparkSession) as kept:
+        drops = kept(written(LineIndex.of(line_refs(docs, min_chars)).drops(min_docs), "line-drops"))
 
     @F.pandas_udf("struct<kept:string,n_lines:long,n_dropped:long>")
     def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:

@@ -26,7 +26,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.session import send_to_tasks, written
@@ -109,10 +109,18 @@ def votes_from(pattern: int) -> list[int]:
     return out[::-1]
 
 
-def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of `bad` for each pattern, and how often each labeller says bad or good in each class (bad, good)."""
+def posterior_of(votes: np.ndarray, rates: np.ndarray, prior: float) -> np.ndarray:
+    """How likely each row of answers makes a text bad; silence is no evidence."""
+    answers = np.stack([votes == BAD, votes == GOOD], 2).astype(float)
+    log = np.einsum("pla,lca->pc", answers, np.log(rates)) + np.log([prior, 1 - prior])
+    return 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
+
+
+def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray, float]:
+    """Posterior of `bad` for each pattern, how often each labeller says bad or good in each class (bad, good), and how
+    many texts are bad."""
     if not patterns:
-        return {}, np.full((len(NAMES), 2, 2), 0.5)
+        return {}, np.full((len(NAMES), 2, 2), 0.5), 0.5
     # The same answers under the other given labels may not occur; they weigh nothing and get their posterior.
     patterns = {**{p - p % 3 + v: 0 for p in patterns for v in (BAD, GOOD, SILENT)}, **patterns}
     numbers = list(patterns)
@@ -127,13 +135,12 @@ def label_model(patterns: dict[int, int]) -> tuple[dict[int, float], np.ndarray]
         for cls, weight in enumerate((posterior * n, (1 - posterior) * n)):
             rates[:, cls] = (np.einsum("p,pla->la", weight, answers) + 0.01) / (weight.sum() + 0.02)
         prior = np.clip((posterior * n).sum() / n.sum(), 1e-4, 0.5)
-        log = np.einsum("pla,lca->pc", answers, np.log(rates)) + np.log([prior, 1 - prior])
-        after = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
+        after = posterior_of(votes, rates, prior)
         done = np.abs(after - posterior)[n > 0].max() < 1e-6
         posterior = after
         if done:
             break
-    return dict(zip(numbers, posterior.tolist())), rates
+    return dict(zip(numbers, posterior.tolist())), rates, prior
 
 
 def hashed(parts: set[bytes], votes: list[int]) -> np.ndarray:
@@ -208,10 +215,10 @@ class QualityModel:
         send_to_tasks(__name__)
         self.sample = written(fit_sample(labels), "quality-sample")
         self.insults = learn_insults(docs, labels)
-        self.posterior, self.rates = self._label_model(docs)
+        self.posterior, self.rates, self.prior = self._label_model(docs)
         self.weights = self._scorer(docs)
 
-    def _label_model(self, docs: DataFrame) -> tuple[dict[int, float], np.ndarray]:
+    def _label_model(self, docs: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
         insults = self.insults
 
         def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,27 +262,38 @@ class QualityModel:
                 out[place] = weight
         return out
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        """All rows of `docs` as doc_id, score, posterior, votes, kept."""
-        insults, posterior, weights = self.insults, self.posterior, self.weights.astype(np.float32)
+    def verdict(self, text: Column) -> Column:
+        """score, posterior, votes and kept of a text, as one column."""
+        insults, weights = self.insults, self.weights.astype(np.float32)
+        posterior, rates, prior = self.posterior, self.rates, self.prior
+
+        def believed(vote: list[int]) -> float:
+            known = posterior.get(pattern_of(vote))
+            return float(posterior_of(np.array([vote]), rates, prior)[0]) if known is None else known
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("score double, posterior double, votes string")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 scores, sure, votes = [], [], []
-                for text in batch["text"]:
-                    measures, parts = measure(text, insults)
+                for one in batch:
+                    measures, parts = measure(one, insults)
                     vote = votes_of(measures)
                     linear = float(weights[hashed(parts, [*vote, SILENT])].sum() + weights[-1])
                     scores.append(1 / (1 + np.exp(-np.clip(linear, -30, 30))))
-                    sure.append(posterior.get(pattern_of([*vote, SILENT]), 0.0))
+                    sure.append(believed([*vote, SILENT]))
                     votes.append(",".join(name for name, v in zip(NAMES, vote) if v == BAD))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "posterior": sure, "votes": votes})
+                yield pd.DataFrame({"score": scores, "posterior": sure, "votes": votes})
+
+        return score(text)
+
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """All rows of `docs` as doc_id, score, posterior, votes, kept."""
+        rows = _texts(docs).select("doc_id", self.verdict(F.col("text")).alias("of"))
+        return rows.select("doc_id", "of.*", self.keeps(F.col("of")).alias("kept"))
 
-        judged = _texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(
-            score, "doc_id long, score double, posterior double, votes string")
-        kept = (F.col("score") < 0.5) & (F.col("posterior") < SURE)
-        return judged.select(
-            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "score", "posterior", "votes", kept.alias("kept"))
+    @staticmethod
+    def keeps(of: Column) -> Column:
+        return (of["score"] < 0.5) & (of["posterior"] < SURE)
 
     def held_out_accuracy(self, docs: DataFrame) -> tuple[float, float]:
         """The shares of bad and of good labelled texts outside the fit that are judged so."""
