@@ -84,6 +84,52 @@ def test_given_documents(spark):
     assert got(near_duplicates(docs, 2)) == plain([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
 
 
+def run_counting_pairs(docs, words=2):
+    """Rows of the result, and the number of pairs that the last step compares by full sets."""
+    compared = []
+
+    class Counting(NearDuplicates):
+        def unresolved(self, stars, links, parts):
+            found = near_dedup.written(super().unresolved(stars, links, parts), "counted")
+            compared.append(found.count())
+            return found
+
+    rows = Counting(docs, words, 80).run().collect()
+    return [(str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows], compared[0]
+
+
+def test_texts_of_one_template_make_no_pairs(spark):
+    rng = random.Random(5)
+    common = [f"common{i}" for i in range(40)]
+    rows = [(i, " ".join(common + [f"own{rng.randrange(10**9)}" for _ in range(8)])) for i in range(300)]
+    found, pairs = run_counting_pairs(make_docs(spark, rows))
+    assert sorted(found) == plain(rows, 2)
+    assert len({c for _, _, c in found}) == 300
+    assert pairs < 300
+
+
+def test_many_edits_of_one_text_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 900)
+    monkeypatch.setattr(near_dedup, "BUCKET_KEYS", 300)
+    rng = random.Random(6)
+    base = texts(1, 9, (60, 61))[0]
+    rows = [(i, edited(rng, base, rng.choice([2, 3, 4, 5, 6, 9]))) for i in range(150)]
+    found, _ = run_counting_pairs(make_docs(spark, rows))
+    assert sorted(found) == plain(rows, 2)
+
+
+def test_rarest_items_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for size in (1, 4, 5, 9, 10, 61):
+        for other in range(size, size * 100 // 80 + 1):
+            both = rng.permutation(1000)[:other]
+            a, b = np.sort(both[:size]), np.sort(both)
+            assert near_dedup.are_similar(a, b, 80)
+            firsts = [x[:near_dedup.prefix_length(len(x), 80)] for x in (a, b)]
+            assert set(firsts[0]) & set(firsts[1])
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(8)
     distance = distance_for(80)

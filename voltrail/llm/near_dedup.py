@@ -9,8 +9,12 @@ places that may be wrong, made of the others, and every pair within the distance
 No group of a key is expanded into pairs. Copies of one set are one class. Per batch of classes and key, the classes
 link to the smallest one, and the batches' smallest ones to the smallest of all (stars). Of the stars' links within the
 distance, each class's nearest one is confirmed first, then the nearest few between components that are still apart, and
-so on until none is left. A key whose classes are then in one component has nothing left to give. Where they are not, the classes of different components are compared by signature, block by
-block, and the pairs within the distance are confirmed. So every pair that shares a key is linked, disproved or joined.
+so on until none is left. A key whose classes are then in one component has nothing left to give. The classes of the
+other keys meet by their rarest shingles: of two similar sets of n and m shingles, the n - ceil(0.8 n) + 1 and
+m - ceil(0.8 m) + 1 rarest ones have one in common, whatever the order of rarity (here: the number of such classes that
+hold it). Those that share one, are in different components, and could still share enough of the shingles after it are
+compared by signature, block by block; the pairs within the distance, which share a key, are confirmed. So every pair
+that shares a key is linked, disproved or joined, and texts of one template that are no copies make no pairs.
 
 Defined results: null or empty text, and text without words, has no shingle and is its own component. A null id counts
 as the smallest id. Repeated rows are copies; rows repeated with one id are all kept or all dropped by `near_duplicates`,
@@ -44,6 +48,7 @@ TEXT_ROWS = 1000
 BLOCK = 1024
 PIVOT_PAIRS = 4096
 STAR_ROWS = 4096
+CHUNK_SHINGLES = 500_000
 NO_ID = -(2**63)
 
 SETS = "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary"
@@ -206,60 +211,104 @@ def are_similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
+def prefix_length(size: int, similarity: int) -> int:
+    """So many of a set's rarest items hold one of those of any similar set."""
+    return size + (-size * similarity) // 100 + 1
+
+
+def ask_counts(group: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """The distinct shingles of a chunk of classes, and in how many of these each is, for the buckets that own them."""
+    keys, counts = np.unique(np.concatenate([unpack_sorted(x) for x in group["items"]]), return_counts=True)
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = _starts(bucket)[1:]
+    return pd.DataFrame({
+        "bucket": bucket[np.append(0, cuts)], "chunk": int(group["chunk"].iat[0]),
+        "keys": [pack_sorted(x) for x in np.split(keys, cuts)], "counts": [pack(x) for x in np.split(counts, cuts)]})
+
+
+def answer_counts(group: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk that asked, its shingles that two or more classes hold, with their number."""
+    asked = [unpack_sorted(x) for x in group["keys"]]
+    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, place, np.concatenate([unpack(x, np.int64) for x in group["counts"]]))
+    rows = []
+    for chunk, own in zip(group["chunk"].tolist(), np.split(counts[place], np.cumsum([len(x) for x in asked])[:-1])):
+        own_keys = asked[len(rows)]
+        rows.append((chunk, pack_sorted(own_keys[own > 1]), pack(own[own > 1])))
+    return pd.DataFrame(rows, columns=["chunk", "keys", "counts"])
+
+
+def rarest_shared(own: pd.DataFrame, known: pd.DataFrame, similarity: int) -> pd.DataFrame:
+    """key, cls, component, place: the shared ones among each class's rarest shingles, by their place in its order."""
+    none = np.zeros(0, np.uint64)
+    keys = np.concatenate([none, *(unpack_sorted(x) for x in known["keys"])])
+    counts = np.concatenate([none.astype(np.int64), *(unpack(x, np.int64) for x in known["counts"])])
+    order = np.argsort(keys)
+    # A last key without a count, so that a search always ends on one.
+    keys, counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 1)
+    found = []
+    for cls, component, packed in zip(own["cls"].tolist(), own["component"].tolist(), own["items"]):
+        items = unpack_sorted(packed)
+        at = np.searchsorted(keys, items)
+        held = np.where(keys[at] == items, counts[at], 1)
+        first = np.lexsort((items, held))[:prefix_length(len(items), similarity)]
+        place = np.flatnonzero(held[first] > 1)
+        found.append((items[first[place]].view(np.int64), np.full(len(place), cls), np.full(len(place), component), place))
+    columns = [np.concatenate(x).astype(np.int64) for x in zip(*found)] if found else [none.astype(np.int64)] * 4
+    return pd.DataFrame(dict(zip(("key", "cls", "component", "place"), columns)))
+
+
 class Members:
     """Classes of one key's blocks i and j, as arrays."""
 
-    COLUMNS = ("cls", "component", "n_shingles", "block")
+    COLUMNS = ("cls", "component", "n_shingles", "place", "block")
 
     def __init__(self, rows: pd.DataFrame):
-        self.cls, self.component, self.size, self.block = (rows[c].to_numpy(np.int64) for c in self.COLUMNS)
+        self.cls, self.component, self.size, self.place, self.block = (rows[c].to_numpy(np.int64) for c in self.COLUMNS)
         self.signature = _signatures(rows["signature"])
+        self.after = self.size - self.place
 
-    def pairs(self, start: int, end: int, group: np.ndarray, distance: int, similarity: int, used: np.ndarray) -> np.ndarray:
-        """Pairs across blocks i and j of different components, within the distance and of sizes that allow the similarity.
+    def pairs(self, start: int, end: int, group: np.ndarray, distance: int, similarity: int) -> np.ndarray:
+        """a, b, apart: pairs across blocks i and j of different components, within the distance.
 
-        `group` is number, i, j. A pair that shares several keys is given by the one of the smallest number; `used` has
-        a column per key with its places.
+        `group` is i, j. Of a pair whose first common shingle is the key, at most as many are common as either has from
+        there on; so a pair that is similar passes at its first common key, though it may not at others.
         """
-        number, i, j = group.tolist()
+        i, j = group.tolist()
         own = np.arange(start, end)
         left, right = own[self.block[own] == i], own[self.block[own] == j]
-        found = []
+        after, found = self.after, []
         for nth, at in enumerate(left.tolist()):
             others = right[nth + 1:] if i == j else right
             others = others[self.component[others] != self.component[at]]
-            small, large = np.minimum(self.size[others], self.size[at]), np.maximum(self.size[others], self.size[at])
-            others = others[100 * small >= similarity * large]
+            most = np.minimum(after[others], after[at])
+            others = others[(100 + similarity) * most >= similarity * (self.size[others] + self.size[at])]
             if len(others):
-                same = self.signature[others] == self.signature[at]
-                near = same.sum(1) >= PLACES - distance
-                shared = same[near].astype(np.float32) @ used == used.sum(0)
-                near = others[near][shared.argmax(1) == number]
-                found.append(np.stack([np.minimum(self.cls[near], self.cls[at]), np.maximum(self.cls[near], self.cls[at])], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                apart = (self.signature[others] != self.signature[at]).sum(1)
+                others, apart = others[apart <= distance], apart[apart <= distance]
+                ends = np.minimum(self.cls[others], self.cls[at]), np.maximum(self.cls[others], self.cls[at])
+                found.append(np.stack([*ends, apart], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def compare_groups(batches: Iterator[pd.DataFrame], distance: int, similarity: int) -> Iterator[pd.DataFrame]:
     """Pairs within each (key, i, j), whose rows follow one another; the last group of a batch waits for the next."""
-    places = key_places(similarity)
-    used = np.zeros((PLACES, len(places)), np.float32)
-    for number, own in enumerate(places):
-        used[list(own), number] = 1
     waiting = None
     for batch in chain(batches, [None]):
         rows = waiting if batch is None else batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-        if rows is None:
-            return
-        groups = rows[["key", "number", "i", "j"]].to_numpy(np.int64)
+        if rows is None or rows.empty:
+            continue
+        groups = rows[["key", "i", "j"]].to_numpy(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]).any(1)]))
         last = len(rows) if batch is None else int(starts[-1])
         waiting = rows.iloc[last:].reset_index(drop=True)
-        members, found = Members(rows.iloc[:last]), []
+        members, found = Members(rows.iloc[:last]), [np.zeros((0, 3), np.int64)]
         for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
             if start < last:
-                found.append(members.pairs(start, end, groups[start, 1:], distance, similarity, used))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                found.append(members.pairs(start, end, groups[start, 1:], distance, similarity))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "apart": pairs[:, 2].astype(np.int32)})
 
 
 class NearDuplicates:
@@ -351,36 +400,63 @@ class NearDuplicates:
         return apart.select(
             "a", "b", "apart", F.least("component_a", "component_b").alias("x"), F.greatest("component_a", "component_b").alias("y"))
 
+    def open_classes(self, stars: DataFrame, parts: DataFrame) -> DataFrame:
+        """cls, component: all classes of keys that hold three or more of them, in different components; some others as well.
+
+        The links of such a key's star hang together, so one of them crosses components and has another one at an end.
+        A star of stars is two links deep: from the ends of any of its links, three steps reach all of it.
+        """
+        steps = stars.select("a", "b").union(stars.select("b", "a")).toDF("cls", "next")
+        ties = steps.groupBy("cls").agg(F.count(F.lit(1)).alias("ties"))
+        apart = self.between(stars.withColumn("apart", F.lit(0)), parts).select("a", "b")
+        for end in "ab":
+            apart = apart.join(ties.toDF(end, f"ties_{end}"), end)
+        apart = apart.where("ties_a > 1 OR ties_b > 1")
+        found = written(apart.select("a").union(apart.select("b")).distinct().toDF("cls"), "near-open")
+        for _ in range(3):
+            found = written(steps.join(found, "cls").select("next").union(found).distinct().toDF("cls"), "near-open")
+        named = found.join(parts.toDF("cls", "component"), "cls", "left")
+        return written(named.select("cls", F.coalesce("component", "cls").alias("component")), "near-open")
+
+    def rarest(self, members: DataFrame) -> DataFrame:
+        """key, cls, component, place: the shingles by which members may meet."""
+        similarity = self.similarity
+        items = self.sets_of(members.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+        held = self.classes.join(members, "cls", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+        chunks, bits = math.ceil(held / CHUNK_SHINGLES) or 1, math.ceil(math.log2(max(1, held / BUCKET_KEYS)))
+        dealt = items.join(members, "cls").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks)))
+        dealt = written(dealt.select("chunk", "cls", "component", "items"), "near-dealt")
+        asked = written(dealt.groupBy("chunk").applyInPandas(
+            lambda g: ask_counts(g, bits), "bucket long, chunk long, keys binary, counts binary"), "near-asked")
+        counts = written(
+            asked.groupBy("bucket").applyInPandas(answer_counts, "chunk long, keys binary, counts binary"), "near-counts")
+        both = dealt.groupBy("chunk").cogroup(counts.groupBy("chunk"))
+        return both.applyInPandas(
+            lambda own, known: rarest_shared(own, known, similarity), "key long, cls long, component long, place long")
+
     def unresolved(self, stars: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs that share a key, are in different components and within the distance.
+        """a, b, apart: pairs that share a key, are in different components and within the distance, and may be similar.
 
         Only classes of some star share a key with others, and a key of two classes has its one link tested.
         """
         similarity, distance = self.similarity, distance_for(self.similarity)
-        linked = stars.select("a").union(stars.select("b")).distinct().toDF("cls")
-        members = self.classes.join(linked, "cls", "left_semi").join(
-            parts.toDF("cls", "component"), "cls", "left").select(
-            "cls", F.coalesce("component", "cls").alias("component"), "n_shingles", "signature")
-        members = written(members, "near-members")
-
-        @F.pandas_udf("array<long>")
-        def keys_of(signatures: pd.Series) -> pd.Series:
-            return pd.Series(list(index_keys(_signatures(signatures), similarity).view(np.int64)))
-
-        keyed = members.select("cls", "component", F.posexplode(keys_of("signature")).alias("number", "key"))
+        members = self.open_classes(stars, parts)
+        if members.isEmpty():
+            return links.limit(0)
+        postings = written(self.rarest(members), "near-postings")
         open_ = written(
-            keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-            .where("x <> y AND n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-open")
-        held = keyed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        held = written(held.select("key", "number", "blocks", "block", "cls"), "near-held")
+            postings.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+            .where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-keys")
+        held = postings.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        held = written(held, "near-held")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        full = members.select("cls", "component", "n_shingles", "signature")
-        rows = held.select("key", "number", "block", "cls", F.explode(every).alias("other")).select(
-            "key", "number", "cls", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").join(full, "cls")
-
+        full = self.classes.select("cls", "n_shingles", "signature")
+        rows = held.withColumn("other", F.explode(every)).select(
+            "key", "cls", "component", "place", "block", F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j")).join(full, "cls")
         dealt = rows.repartition(fan_out(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = dealt.mapInPandas(lambda b: compare_groups(b, distance, similarity), "a long, b long")
-        return pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = dealt.mapInPandas(lambda b: compare_groups(b, distance, similarity), "a long, b long, apart int")
+        return pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
 
     def joined(self, parts: DataFrame, links: DataFrame) -> DataFrame:
         """The components after the links that are confirmed."""
@@ -391,27 +467,33 @@ class NearDuplicates:
             return parts
         return written(components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(sure)), "near-parts")
 
-    def run(self) -> DataFrame:
-        """doc_id, text_key, n_shingles, component_id, first_text (of the component's smallest id)."""
-        stars = self.star_links()
-        links = written(self.plausible(stars), "near-links")
-        nearest = F.min(F.struct("apart", "a"))["a"]
-        first = links.groupBy("b").agg(nearest.alias("a")).select("a", "b")
-        self.sets_of(links)
-        none = self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
-        parts = self.joined(none, written(first, "near-first"))
-        tested, most = first, 1
+    def settled(self, parts: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+        """The components once no link between two of them is untested.
+
+        A few of the nearest links between two components at a time: one that holds spares the others.
+        """
+        most = 1
         while True:
-            # A few of the nearest links between two components at a time: one that holds spares the others.
             rest = written(self.between(links.join(tested, ["a", "b"], "left_anti"), parts), "near-rest")
             if rest.isEmpty():
-                break
+                return parts
             some = Window.partitionBy("x", "y").orderBy("apart", "a", "b")
             chosen = rest.withColumn("nr", F.row_number().over(some)).where(F.col("nr") <= most).select("a", "b")
             chosen = written(chosen, "near-chosen")
             parts = self.joined(parts, chosen)
             tested, most = written(tested.union(chosen), "near-tested"), most * 8
-        parts = self.joined(parts, written(self.unresolved(stars, links, parts), "near-more"))
+
+    def run(self) -> DataFrame:
+        """doc_id, text_key, n_shingles, component_id, first_text (of the component's smallest id)."""
+        stars = self.star_links()
+        links = written(self.plausible(stars), "near-links")
+        nearest = F.min(F.struct("apart", "a"))["a"]
+        first = links.groupBy("b").agg(nearest.alias("a")).select("a", "b")
+        self.sets_of(links)
+        none = self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+        first = written(first, "near-first")
+        parts = self.settled(self.joined(none, first), links, first)
+        parts = self.settled(parts, written(self.unresolved(stars, links, parts), "near-more"), first.limit(0))
         named = self.classes.join(parts.toDF("cls", "component"), "cls", "left").select(
             "set_key", "first", F.coalesce("component", "cls").alias("component"))
         named = written(named, "near-named")
