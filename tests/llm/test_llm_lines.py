@@ -3,8 +3,9 @@
 import numpy as np
 
 from samples import make_docs, odd_rows, texts
+from voltrail.llm import line_dedup
 from voltrail.llm.cuckoo import CuckooFilter
-from voltrail.llm.line_dedup import LineIndex, dedup_lines, line_refs
+from voltrail.llm.line_dedup import LineIndex, dedup_lines, line_digests, line_refs
 
 
 def lines_docs(spark, ids, seed=3):
@@ -37,6 +38,45 @@ def test_insert_then_delete_leaves_no_trace(spark):
     assert state(again) == state(grown)
 
 
+def test_batches_split_shards_and_give_the_same_index(spark):
+    refs = line_refs(lines_docs(spark, range(60)))
+    whole = LineIndex.of(refs, shard_keys=4)
+    loaded = LineIndex.loaded(refs, batches=5, shard_keys=4)
+    assert loaded.shards >= whole.shards > 1
+    assert state(loaded) == state(whole) and held(loaded) == len(state(whole)[0])
+
+
+def test_the_rows_come_through_the_filters(spark, monkeypatch):
+    docs = lines_docs(spark, range(40))
+    right = {r["doc_id"]: r["n_dropped"] for r in line_digests(docs).collect()}
+    assert sum(right.values()) > 0
+    monkeypatch.setattr(line_dedup, "_ask", lambda batch, filters: batch[["key", "docs", "last_doc"]].assign(maybe=False))
+    assert {r["doc_id"]: r["n_dropped"] for r in line_digests(docs).collect()} != right
+
+
+def test_a_deletion_writes_its_own_keys_only(spark, monkeypatch):
+    docs = lines_docs(spark, range(60))
+    index, rows = LineIndex.of(line_refs(docs)), {}
+    write = line_dedup.written
+
+    def counted(df, label):
+        done = write(df, label)
+        rows[label] = done.count()
+        return done
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    left = index.delete(docs.where("doc_id = 59").select("doc_id"))
+    assert rows["line-refs"] <= 5 and rows["line-counts"] <= 5 and rows["line-changed"] <= 5
+    assert state(left) == state(LineIndex.of(line_refs(docs.where("doc_id < 59"))))
+
+
+def test_empty_table(spark):
+    assert line_digests(make_docs(spark, [])).count() == 0
+    index = LineIndex.of(line_refs(make_docs(spark, [])))
+    more = line_refs(lines_docs(spark, range(8)))
+    assert state(index.insert(more)) == state(LineIndex.of(more))
+
+
 def test_drop_and_keep(spark):
     line = "a line of more than forty code points in all, Ä"
     rows = [(i, f"{line}\nown {i}\n {line.replace('a line', 'A LINE')}\t") for i in range(5)] + odd_rows(100)

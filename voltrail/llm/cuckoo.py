@@ -16,8 +16,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class CuckooFilter:
     """Each key leaves a 16-bit fingerprint in one of two buckets; the table doubles when it gets full.
 
-    Keys are kept out of the filter: growing it needs them again, so `insert` gets all keys of the shard on overflow
-    from its caller through `CuckooFilter.build`.
+    Keys are kept out of the filter: growing it needs them again, so a caller that `insert` tells of lost keys makes a
+    filter of all keys by `CuckooFilter.build`.
     """
 
     def __init__(self, buckets: int, table: np.ndarray | None = None):
@@ -25,9 +25,9 @@ class CuckooFilter:
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> "CuckooFilter":
-        """A filter of distinct keys, at most four fifths full."""
-        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, len(keys)) / (SLOTS * 0.8)))))
+    def build(cls, keys: np.ndarray, room: int = 0) -> "CuckooFilter":
+        """A filter of distinct keys, at most four fifths full, that has room for so many keys in all."""
+        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, len(keys), room) / (SLOTS * 0.8)))))
         while True:
             made = cls(buckets)
             if not len(made.insert(keys)):

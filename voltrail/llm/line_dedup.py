@@ -3,7 +3,8 @@
 A `LineIndex` holds which document refers to which line key, how often each key is referred to, and one cuckoo filter
 per shard of keys. A batch asks the filters first: a key that they do not know is new and needs no look at the counts;
 only possible old ones meet the exact table. Deleting documents lowers the counts, takes keys at zero out of the filters
-and leaves the index as if the documents had never been there. Every version is written, so a step can be repeated.
+and leaves the index as if the documents had never been there. What a step changes is written, so it can be repeated.
+`dedup_lines` deals the documents to `BATCHES` batches, by a hash of the id, and inserts one after the other.
 
 A key is the line without white space at both ends and with A-Z lower-cased, known by its MD5. Keys of at least
 `min_chars` code points in at least `min_docs` documents lose their lines except in the largest doc_id that holds them.
@@ -16,7 +17,7 @@ ignored. An empty table gives no rows. Lines of any length are hashed whole.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ from voltrail.session import send_to_tasks, work_folders_removed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 500_000
-FILTERS = "shard int, shards int, filter binary"
+BATCHES = 4
+FILTERS = "shard int, filter binary"
 NO_ID = -(2**63)
 
 
@@ -56,11 +58,9 @@ def _count(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last_doc"))
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({
-        "shard": [int(group["shard"].iloc[0])], "shards": [int(group["shards"].iloc[0])],
-        "filter": [CuckooFilter.build(group["short"].to_numpy()).to_bytes()],
-    })
+def _build(group: pd.DataFrame, room: int) -> pd.DataFrame:
+    held = CuckooFilter.build(group["short"].to_numpy(), room)
+    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "filter": [held.to_bytes()]})
 
 
 def _ask(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -72,80 +72,136 @@ def _ask(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return batch[["key", "docs", "last_doc"]].assign(maybe=maybe)
 
 
-def _change(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filter after its gone keys went and its new ones came."""
-    shard, shards = (keys if len(keys) else filters)[["shard", "shards"]].iloc[0]
-    gone, here, new = (keys.loc[keys["state"] == s, "short"].to_numpy() for s in ("gone", "here", "new"))
-    if len(filters):
-        held = CuckooFilter.from_bytes(filters["filter"].iloc[0])
-        held.delete(gone)
-        if len(held.insert(new)):
-            held = CuckooFilter.build(np.concatenate([here, new]))
+def _change(keys: pd.DataFrame, filters: pd.DataFrame, gone: bool, room: int) -> pd.DataFrame:
+    """A shard's filter after keys went or came; null if it has no place for them."""
+    if not len(keys):
+        return filters[["shard", "filter"]]
+    short, held = keys["short"].to_numpy(), None
+    if not len(filters):
+        held = CuckooFilter.build(short, room)
     else:
-        held = CuckooFilter.build(new)
-    return pd.DataFrame({"shard": [int(shard)], "shards": [int(shards)], "filter": [held.to_bytes()]})
+        held = CuckooFilter.from_bytes(filters["filter"].iloc[0])
+        if gone:
+            held.delete(short)
+        elif len(held.insert(short)):
+            held = None
+    return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "filter": [held and held.to_bytes()]})
 
 
-@dataclass
+@dataclass(frozen=True)
 class LineIndex:
-    """refs: doc_id, key. counts: key, docs, last_doc. filters: a row per shard."""
+    """refs: doc_id, key. counts: key, docs, last_doc. filters: a row per shard.
+
+    A shard is `short % shards`. Shards split by twos, before a batch comes, so that none has more than about `shard_keys`
+    keys; the keys for the new filters come from the exact counts.
+    """
 
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
     shards: int
+    shard_keys: int = SHARD_KEYS
 
     @classmethod
     def of(cls, refs: DataFrame, shard_keys: int = SHARD_KEYS) -> "LineIndex":
         """An index of a first batch: there is nothing to ask yet."""
+        return cls._first(written(refs, "line-refs"), shard_keys)
+
+    @classmethod
+    def loaded(cls, refs: DataFrame, batches: int = BATCHES, shard_keys: int = SHARD_KEYS) -> "LineIndex":
+        """An index of many documents, a batch after the other; each asks the filters of those before it."""
+        dealt = written(refs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "line-refs")
+        index = cls._first(dealt.where("batch = 0").drop("batch"), shard_keys)
+        for nr in range(1, batches):
+            index = index.insert(dealt.where(F.col("batch") == nr).drop("batch"), repeats=False)
+        return replace(index, refs=dealt.drop("batch"))
+
+    @classmethod
+    def _first(cls, refs: DataFrame, shard_keys: int) -> "LineIndex":
         for module in (__name__, cuckoo.__name__):
             send_to_tasks(module)
-        refs = written(refs, "line-refs")
-        counts = written(_count(refs), "line-counts")
-        shards = max(1, -(-counts.count() // shard_keys))
-        filters = cls._sharded(counts, shards).groupBy("shard").applyInPandas(_build, FILTERS)
-        return cls(refs, counts, written(filters, "line-filters"), shards)
-
-    @staticmethod
-    def _sharded(keys: DataFrame, shards: int) -> DataFrame:
+        none = refs.sparkSession.createDataFrame([], FILTERS)
+        return cls(refs, written(_count(refs), "line-counts"), none, 0, shard_keys)._with_room(0)
+
+    def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("short", _short(F.col("key"))).withColumn(
-            "shard", (F.col("short") % shards).cast("int")).withColumn("shards", F.lit(shards))
+            "shard", (F.col("short") % self.shards).cast("int"))
+
+    @property
+    def _room(self) -> int:
+        return self.shard_keys + self.shard_keys // 4
+
+    def _built(self, shards: int) -> "LineIndex":
+        """The index with filters made anew, in so many shards."""
+        index, room = replace(self, shards=shards), self._room
+        filters = index._sharded(self.counts.select("key")).groupBy("shard").applyInPandas(
+            lambda group: _build(group, room), FILTERS)
+        return replace(index, filters=written(filters, "line-filters"))
+
+    def _with_room(self, more: int) -> "LineIndex":
+        """The index with shards for `more` further keys."""
+        need = max(1, -(-(self.counts.count() + more) // self.shard_keys))
+        return self if need <= self.shards else self._built(1 << (need - 1).bit_length())
 
     def _asked(self, counts: DataFrame) -> DataFrame:
-        """New counts with `maybe`, answered by each key's shard."""
-        batch = self._sharded(counts, self.shards)
+        """A batch's counts with `maybe`, answered by each key's shard."""
+        ask = _ask
+        asked = self._sharded(counts).groupBy("shard").cogroup(self.filters.groupBy("shard"))
         return written(
-            batch.groupBy("shard").cogroup(self.filters.groupBy("shard"))
-            .applyInPandas(_ask, "key binary, docs long, last_doc long, maybe boolean"), "line-asked")
-
-    def _filters(self, keys: DataFrame) -> DataFrame:
-        changed = self._sharded(keys, self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard"))
-        return written(changed.applyInPandas(_change, FILTERS), "line-filters")
-
-    def insert(self, refs: DataFrame) -> "LineIndex":
-        """The index with a further batch; references that it already holds change nothing."""
-        fresh = written(refs.join(self.refs, ["doc_id", "key"], "left_anti"), "line-refs")
-        asked = self._asked(_count(fresh))
-        new = asked.where(~F.col("maybe")).drop("maybe")
-        old = self.counts.join(asked.where("maybe").select("key").distinct(), "key", "left_semi")
-        untouched = self.counts.join(asked.where("maybe").select("key").distinct(), "key", "left_anti")
-        merged = old.unionByName(asked.where("maybe").drop("maybe")).groupBy("key").agg(
-            F.sum("docs").alias("docs"), F.max("last_doc").alias("last_doc"))
-        counts = written(untouched.unionByName(merged).unionByName(new), "line-counts")
-        known = self.counts.select("key").withColumn("was", F.lit(True))
-        states = counts.select("key").join(known, "key", "left").select(
-            "key", F.when(F.col("was"), "here").otherwise("new").alias("state"))
-        return LineIndex(self.refs.unionByName(fresh), counts, self._filters(states), self.shards)
+            asked.applyInPandas(
+                lambda batch, filters: ask(batch, filters), "key binary, docs long, last_doc long, maybe boolean"),
+            "line-asked")
+
+    def _told(self, keys: DataFrame, gone: bool) -> "LineIndex":
+        """The index after its filters learned of new or gone keys; filters of other shards stay as they are."""
+        room, keys = self._room, written(self._sharded(keys), "line-changed")
+        shards = keys.select("shard").distinct()
+        changed = written(
+            keys.groupBy("shard").cogroup(self.filters.join(shards, "shard", "left_semi").groupBy("shard"))
+            .applyInPandas(lambda keys, filters: _change(keys, filters, gone, room), FILTERS), "line-filters")
+        if not changed.where("filter IS NULL").isEmpty():
+            return self._built(self.shards)
+        return replace(self, filters=self.filters.join(shards, "shard", "left_anti").unionByName(changed))
+
+    def insert(self, refs: DataFrame, repeats: bool = True) -> "LineIndex":
+        """The index with a further batch.
+
+        Keys that the filters don't know are new and are added without a look at the counts; only the others meet them.
+        References that the index already holds change nothing; `repeats` tells whether the batch may have such.
+        """
+        fresh = written(refs.join(self.refs, ["doc_id", "key"], "left_anti"), "line-refs") if repeats else refs
+        batch = written(_count(fresh), "line-counts")
+        index = self._with_room(batch.count())
+        asked = index._asked(batch)
+        maybe = asked.where("maybe").select("key", F.col("docs").alias("more"), F.col("last_doc").alias("later"))
+        met = index.counts.join(maybe, "key", "full").select(
+            "key", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"),
+            F.greatest("last_doc", "later").alias("last_doc"), F.col("docs").isNull().alias("new"))
+        unknown = asked.where(~F.col("maybe")).select("key", "docs", "last_doc", F.lit(True).alias("new"))
+        counts = written(met.unionByName(unknown), "line-counts")
+        index = replace(index, refs=index.refs.unionByName(fresh), counts=counts.drop("new"))
+        return index._told(counts.where("new").select("key"), gone=False)
 
     def delete(self, doc_ids: DataFrame) -> "LineIndex":
-        """The index without these documents: as it was before they came."""
-        ids = doc_ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
-        refs = written(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
-        counts = written(_count(refs), "line-counts")
-        alive = counts.select("key").withColumn("is", F.lit(True))
-        states = self.counts.select("key").join(alive, "key", "left").select(
-            "key", F.when(F.col("is"), "here").otherwise("gone").alias("state"))
-        return LineIndex(refs, counts, self._filters(states), self.shards)
+        """The index without these documents: as it was before they came.
+
+        Only the counts of the documents' own keys change, by subtraction; the latest document is sought again only for
+        keys that lose it. Nothing else is written again.
+        """
+        ids = written(doc_ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "line-gone")
+        gone = written(self.refs.join(ids, "doc_id", "left_semi"), "line-refs")
+        refs = self.refs.join(ids, "doc_id", "left_anti")
+        lost = gone.groupBy("key").agg(F.count(F.lit(1)).alias("less"), F.max("doc_id").alias("top"))
+        less = written(self.counts.join(lost, "key").select(
+            "key", (F.col("docs") - F.col("less")).alias("docs"), "last_doc", (F.col("top") == F.col("last_doc")).alias("bare")),
+            "line-less")
+        headless = less.where("bare AND docs > 0").select("key")
+        heads = refs.join(headless, "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("head"))
+        changed = written(less.join(heads, "key", "left").select(
+            "key", "docs", F.coalesce("head", "last_doc").alias("last_doc")), "line-counts")
+        counts = self.counts.join(changed.select("key"), "key", "left_anti").unionByName(changed.where("docs > 0"))
+        index = replace(self, refs=refs, counts=counts)
+        return index._told(changed.where("docs = 0").select("key"), gone=True)
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """key, last_doc of the keys that lose lines."""
@@ -177,7 +233,7 @@ def split_lines(text: str, keys: set[bytes], min_chars: int) -> tuple[str, int,
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of `docs` (all columns) with `kept` text, n_lines and n_dropped under `line_result`."""
     with work_folders_removed(docs.sparkSession) as kept:
-        drops = kept(written(LineIndex.of(line_refs(docs, min_chars)).drops(min_docs), "line-drops"))
+        drops = kept(written(LineIndex.loaded(line_refs(docs, min_chars)).drops(min_docs), "line-drops"))
 
     @F.pandas_udf("struct<kept:string,n_lines:long,n_dropped:long>")
     def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
