@@ -63,7 +63,16 @@ def test_odd_vectors(spark):
     odd = [(20, None), (21, [0.0, 0.0]), (22, [float("nan"), 1.0]), (23, [float("inf"), 1.0]), (24, [None, 1.0]),
            (25, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (3, [9.0, 9.0]), (4, rows[4][1])]
     got = found(nearest(frame(spark, rows + odd)))
-    assert {q: [j for j, _ in n] for q, n in got.items()} == {0: [4, 3, 2, 1]}
+    assert {q: [j for j, _ in n] for q, n in got.items()} == {0: [3, 4, 3, 2, 1]}
+
+
+def test_every_vector_of_an_id_is_found_and_asked(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [3.0, 3.0]), (20, [2.0, 0.0]), (20, [0.0, 2.0]), (7, [1.0, 1.0])]
+    answers = {}
+    for r in nearest(frame(spark, rows)).orderBy("query_id", "query_vector", "rank").collect():
+        answers.setdefault(r["query_vector"], []).append((r["vec_id"], r["score"]))
+    want = [[(5, 6.0), (5, 2.0), (7, 2.0), (5, 0.0), (20, 0.0)]] * 2
+    assert list(answers.values()) == want
 
 
 def test_empty_table(spark):

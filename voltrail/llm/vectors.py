@@ -6,9 +6,10 @@ are dealt to shards of about `SHARD_ROWS` by a hash; a shard's graph, vectors an
 once. Queries meet every shard, in blocks, as the method asks; scores are computed again in double precision.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part, nor do those without
-an id or of another dimension than most rows have (ties: the smaller one). Of several vectors under one id the smallest
-counts. A query finds all candidates if there are fewer than `NEAREST`. An empty table gives no rows. Extra columns are
-ignored. Equal scores go to the smaller id.
+an id or of another dimension than most rows have (ties: the smaller one). Different vectors under one id are candidates
+and queries each on their own, also for each other, told apart by `query_vector`, a hash of the query's vector; a row
+repeated whole is one row. A query finds all candidates if there are fewer than `NEAREST`. An empty table gives no rows.
+Extra columns are ignored. Equal scores go to the smaller id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ LEVELS = "shard long, classes binary, vectors binary, dim int, levels array<stru
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding: one usable vector per id, all of the commonest dimension."""
+    """vec_id, embedding: the distinct usable rows, all of the commonest dimension."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     other = F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding").where(
@@ -38,7 +39,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if sizes is not None:
         rows = rows.where(F.size("embedding") == sizes["dim"])
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.distinct()
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -58,9 +59,9 @@ def build_shard(group: pd.DataFrame, longest: float) -> pd.DataFrame:
 
 
 def search_shard(index: pd.DataFrame, queries: pd.DataFrame, most: int, width: int) -> pd.DataFrame:
-    """query_id, cls, score: the nearest nodes that the shard's graph finds."""
+    """query_id, query_vector, cls, score: the nearest nodes that the shard's graph finds."""
     if not len(index) or not len(queries):
-        return pd.DataFrame({"query_id": [], "cls": [], "score": []})
+        return pd.DataFrame({"query_id": [], "query_vector": [], "cls": [], "score": []})
     row = index.iloc[0]
     vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
     classes = np.frombuffer(row["classes"], np.int64)
@@ -69,7 +70,8 @@ def search_shard(index: pd.DataFrame, queries: pd.DataFrame, most: int, width: i
         nodes = np.frombuffer(level["nodes"], np.int32)
         graph.append((nodes, np.frombuffer(level["links"], np.int32).reshape(len(nodes), -1)))
     out = []
-    ids, plain = queries["query_id"].to_numpy(np.int64), _matrix(queries["embedding"])
+    ids, prints = queries["query_id"].to_numpy(np.int64), queries["query_vector"].to_numpy(np.int64)
+    plain = _matrix(queries["embedding"])
     for at in range(0, len(ids), 256):
         asked = plain[at:at + 256]
         padded = np.column_stack([asked, np.zeros(len(asked), np.float32)])
@@ -78,12 +80,14 @@ def search_shard(index: pd.DataFrame, queries: pd.DataFrame, most: int, width: i
         found, good = np.take_along_axis(pool, top, 1), np.isfinite(np.take_along_axis(sims, top, 1))
         exact = np.einsum("nkd,nd->nk", vectors[np.maximum(found, 0), :-1].astype(np.float64), asked.astype(np.float64))
         which = np.nonzero(good)
-        out.append(pd.DataFrame({"query_id": ids[at + which[0]], "cls": classes[found[which]], "score": exact[which]}))
+        out.append(pd.DataFrame({
+            "query_id": ids[at + which[0]], "query_vector": prints[at + which[0]], "cls": classes[found[which]],
+            "score": exact[which]}))
     return pd.concat(out)
 
 
 def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, shard_rows: int = SHARD_ROWS, width: int = WIDTH) -> DataFrame:
-    """query_id, rank, vec_id, score: for ids divisible by `every` the `most` nearest other rows found."""
+    """query_id, rank, vec_id, score, query_vector: for ids divisible by `every` the `most` nearest other rows found."""
     for module in (__name__, hnsw.__name__):
         send_to_tasks(module)
     rows = written(usable(vectors), "ann-vectors")
@@ -98,18 +102,21 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, shard_rows
         "cls", "embedding", F.xxhash64("embedding", F.lit(1)).alias("order"),
         F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("shard"))
     index = written(dealt.groupBy("shard").applyInPandas(lambda g: build_shard(g, longest), LEVELS), "ann-index")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    vector = F.xxhash64("embedding")
+    asked = rows.where(F.col("vec_id") % every == 0).select(
+        F.col("vec_id").alias("query_id"), vector.alias("query_vector"), "embedding")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     spread = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     found = copies.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(
-        lambda i, q: search_shard(i, q, most + 1, width), "query_id long, cls long, score double")
+        lambda i, q: search_shard(i, q, most + 1, width), "query_id long, query_vector long, cls long, score double")
     # Each of a query's best nodes gives a row at least, but for its own: one more than `most` nodes are enough.
-    near = found.join(nodes.select("cls", "ids"), "cls")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
+    near = found.join(nodes.select("cls", "ids", vector.alias("vector")), "cls")
+    best = Window.partitionBy("query_id", "query_vector").orderBy(F.desc("score"), F.col("ids")[0], "vector")
     near = near.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most + 1)
-    each = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    each = near.select("query_id", "query_vector", "vector", "score", F.explode("ids").alias("vec_id")).where(
+        "vec_id <> query_id OR vector <> query_vector")
+    order = Window.partitionBy("query_id", "query_vector").orderBy(F.desc("score"), "vec_id", "vector")
     ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_vector")
