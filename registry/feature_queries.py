@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from registry.inputs import READINGS, Query, on_readings
-from voltrail.operators import sessions, status, trends
+from voltrail.operators import sessions, sketches, status, trends
 from voltrail.operators.filters import low_battery_alerts
 
 SOC_BELOW = 65
@@ -121,6 +121,24 @@ SELECT clean_mode, road_mode, endurance_type,
        ROUND(AVG(CAST(display_speed AS DOUBLE)), 6) AS avg_display_speed,
        ROUND(AVG(fuel_percentage), 6) AS avg_fuel_percentage, ROUND(AVG(target_soc), 6) AS avg_target_soc
 FROM readings GROUP BY CUBE (clean_mode, road_mode, endurance_type)""",
+    ),
+    # A sketch of less than 1,536 vehicles holds them all, so here the answer is the exact one.
+    "active_vehicles_by_range": Query(
+        on_readings(lambda df: sketches.active_vehicles_by_range(sketches.daily_vehicle_sketches(df))),
+        READINGS + """
+SELECT e.date, COUNT(DISTINCT vin_id) AS active_vehicles
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM readings WHERE vin_id IS NOT NULL) e
+JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day, vin_id FROM readings) r ON r.day BETWEEN e.date - 6 AND e.date
+GROUP BY e.date""",
+    ),
+    # A sketch of up to 200 speeds holds them all; tests assert the bound on the rank where there are more.
+    "speed_profile_of_days": Query(
+        on_readings(lambda df: sketches.speed_profile_of_days(sketches.daily_speed_sketches(df)), "avg_speed"),
+        READINGS + """
+SELECT vin_id, MIN(display_speed) AS min_speed, ROUND(AVG(CAST(display_speed AS DOUBLE)), 6) AS avg_speed,
+       MAX(display_speed) AS max_speed, quantile_disc(CAST(display_speed AS DOUBLE), 0.5) AS p50_speed,
+       quantile_disc(CAST(display_speed AS DOUBLE), 0.95) AS p95_speed
+FROM readings GROUP BY vin_id""",
     ),
     "charging_sessions_true": Query(on_readings(sessions.charging_sessions_true), SESSIONS_SQL),
     "battery_health": Query(
