@@ -143,6 +143,31 @@ def test_arrivals_are_unpacked_once(spark, tmp_path):
     assert (tmp_path / "processed" / "one.txt").read_bytes() == b"22"
 
 
+def test_the_landing_zone_empties(spark, tmp_path):
+    landing, archive, out = tmp_path / "raw", tmp_path / "done", str(tmp_path / "processed")
+    log, checkpoint = work_path(spark, "log"), work_path(spark, "checkpoint")
+
+    def arrive(*names):
+        for name in names:
+            make_zip(landing / "day one" / f"{name}.zip", [(f"{name}.txt", name.encode())])
+        ingest.ingest_arrivals_stream(
+            spark, str(landing), out, log, checkpoint, files_per_batch=1, archive=str(archive)).awaitTermination()
+        return sorted(p.name for p in landing.rglob("*.zip"))
+
+    assert len(arrive("a", "b", "c", "d")) == 1
+    assert arrive("e") == ["e.zip"]
+    # As a crash after the commit and before the move leaves it.
+    kept = archive / str(landing).lstrip("/") / "day one" / "b.zip"
+    kept.rename(landing / "day one" / "b.zip")
+    assert arrive() == ["b.zip", "e.zip"]
+    for moved in (1, 0):
+        assert ingest.sweep_landing(spark, str(landing), log, str(archive)) == moved
+        assert kept.exists() and [p.name for p in landing.rglob("*.zip")] == ["e.zip"]
+    assert arrive("f") == ["f.zip"]
+    rows = as_dicts(ingest.arrivals_log(spark, log), "filename")
+    assert [r["filename"] for r in rows] == [f"{n}.txt" for n in "abcdef"]
+
+
 def test_landing_zone_to_rollup_tables(spark, small, tmp_path):
     """Archives of Parquet drops -> processed files -> readings table -> three rollup tables."""
     parquet = tmp_path / "parquet"

@@ -78,6 +78,14 @@ def make_folder(spark: SparkSession, path: str) -> None:
     store.mkdirs(folder)
 
 
+def move_file(spark: SparkSession, path: str, below: str) -> bool:
+    """Move the file to the folder `below`, which keeps its whole path."""
+    source, store = _store(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(below.rstrip("/") + source.toUri().getPath())
+    store.mkdirs(target.getParent())
+    return store.rename(source, target)
+
+
 def subfolders(spark: SparkSession, parent: str) -> list[str]:
     """The names of the folders directly in `parent`; none if it does not exist."""
     folder, store = _store(spark, parent)

@@ -11,6 +11,7 @@ from voltrail.functions.keys import is_archive_name
 from voltrail.operators.cleaning import clean_readings
 from voltrail.operators.filters import low_battery_alerts
 from voltrail.schema import RAW_SCHEMA, READINGS_SCHEMA
+from voltrail.session import make_folder, move_file
 from voltrail.sources.archives import (
     FILES_SCHEMA,
     UNPACK_SCHEMA,
@@ -29,18 +30,26 @@ def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000
 
 
 def ingest_arrivals_stream(
-    spark: SparkSession, landing: str, out: str, log: str, checkpoint: str, files_per_batch: int = 1_000, **options
+    spark: SparkSession, landing: str, out: str, log: str, checkpoint: str, files_per_batch: int = 1_000,
+    archive: str | None = None, **options
 ) -> StreamingQuery:
     """Unpack each archive that lands under `landing` once, into `out/<basename>`.
 
     The stream lists files without reading them; the checkpoint remembers which
-    were done. `log` gets one row per file written.
+    were done. `log` gets one row per file written. With `archive`, a folder of the
+    same store outside `landing`, files of a batch move there, under their whole path,
+    once the batch is committed and the next one comes: a trigger lists what is new and
+    one batch, however long the stream runs. What a crash leaves behind, `sweep_landing`
+    moves. Files that are no archives move along.
     """
-    arrivals = (
+    reader = (
         spark.readStream.format("binaryFile").schema(FILES_SCHEMA)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
-        .load(landing).select("path", "modificationTime", "length")
     )
+    if archive is not None:
+        make_folder(spark, archive)
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    arrivals = reader.load(landing).select("path", "modificationTime", "length")
 
     def write(files: DataFrame, batch_id: int) -> None:
         manifest = archive_manifest(files).persist(StorageLevel.MEMORY_AND_DISK)
@@ -56,6 +65,23 @@ def arrivals_log(spark: SparkSession, log: str) -> DataFrame:
     return read_batches(spark.createDataFrame([], UNPACK_SCHEMA), log)
 
 
+def sweep_landing(spark: SparkSession, landing: str, log: str, archive: str) -> int:
+    """Move the archives that the log names, but that still lie in `landing`, to `archive`; returns their number.
+
+    The log's last batch stays, as it may not be committed and may run again; a later batch starts only after a commit.
+    So this may run at any time and any number of times, also beside the stream. Only what a crash between commit and move
+    left is listed, a batch's files for each crash. Archives without a file are not in the log and stay.
+    """
+    logged = arrivals_log(spark, log)
+    last = F.coalesce(logged.agg(F.max("batch_id")).scalar(), F.lit(-1))
+    handled = logged.where(F.col("batch_id") < last).select(F.col("archive").alias("path")).distinct()
+    there = (
+        spark.read.format("binaryFile").schema(FILES_SCHEMA).option("recursiveFileLookup", "true").load(landing)
+        .select("path")
+    )
+    return sum(move_file(spark, row.path, archive) for row in there.join(handled, "path", "left_semi").toLocalIterator())
+
+
 def compact_log(spark: SparkSession, log: str, **options) -> int | None:
     """Fold the log's batches into one."""
     return compact_batches(spark.createDataFrame([], UNPACK_SCHEMA), log, **options)
