@@ -119,6 +119,25 @@ def test_many_edits_of_one_text_in_several_groups(spark, monkeypatch):
     assert sorted(found) == plain(rows, 2)
 
 
+def test_near_misses_of_one_text_make_few_pairs(spark):
+    """Each text is about 0.72 like each other one: near enough for signatures and first shingles, not for bitmaps."""
+    rng = random.Random(7)
+    base = texts(1, 9, (150, 151))[0]
+    rows = [(i, edited(rng, base, 6)) for i in range(200)]
+    found, pairs = run_counting_pairs(make_docs(spark, rows))
+    assert sorted(found) == plain(rows, 2)
+    assert pairs < 1000
+
+
+def test_bitmaps_never_tell_more_than_sets_differ():
+    rng = np.random.default_rng(3)
+    for size in (1, 50, 700, 9000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 5:], rng.integers(0, 2**63, size // 3).astype(np.uint64)]))
+        x, y = (np.frombuffer(near_dedup.bitmap(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum(dtype=int) <= len(np.setxor1d(a, b))
+
+
 def test_rarest_items_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     for size in (1, 4, 5, 9, 10, 61):

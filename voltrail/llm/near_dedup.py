@@ -13,7 +13,9 @@ so on until none is left. A key whose classes are then in one component has noth
 other keys meet by their rarest shingles: of two similar sets of n and m shingles, the n - ceil(0.8 n) + 1 and
 m - ceil(0.8 m) + 1 rarest ones have one in common, whatever the order of rarity (here: the number of such classes that
 hold it). Those that share one, are in different components, and could still share enough of the shingles after it are
-compared by signature, block by block; the pairs within the distance, which share a key, are confirmed. So every pair
+compared by signature and by bitmap, block by block; the pairs within the distance, which share a key, are confirmed. A
+bitmap holds the parity of the number of a set's shingles in each of `BITS` places, so the places in which two of them
+differ are at most the shingles that only one set has: pairs with too many are no copies for certain. So every pair
 that shares a key is linked, disproved or joined, and texts of one template that are no copies make no pairs.
 
 Defined results: null or empty text, and text without words, has no shingle and is its own component. A null id counts
@@ -46,6 +48,7 @@ MISS = 1.25e-6
 BUCKET_KEYS = 250_000
 TEXT_ROWS = 1000
 BLOCK = 1024
+BITS = 2048
 PIVOT_PAIRS = 4096
 STAR_ROWS = 4096
 CHUNK_SHINGLES = 500_000
@@ -123,6 +126,11 @@ def set_key(keys: np.ndarray) -> bytes:
     return np.array(sums, np.uint64).tobytes()
 
 
+def bitmap(keys: np.ndarray) -> bytes:
+    """The parity of the number of keys in each of `BITS` places."""
+    return np.packbits(np.bincount((_mixed(keys) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def describe(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         known = WordHashes()
@@ -206,6 +214,11 @@ def packed_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.Data
         yield pd.DataFrame(rows, columns=["cls", "items"])
 
 
+def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"cls": batch["cls"], "bitmap": [bitmap(unpack_sorted(x)) for x in batch["items"]]})
+
+
 def are_similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= similarity * (len(a) + len(b) - both)
@@ -267,10 +280,11 @@ class Members:
     def __init__(self, rows: pd.DataFrame):
         self.cls, self.component, self.size, self.place, self.block = (rows[c].to_numpy(np.int64) for c in self.COLUMNS)
         self.signature = _signatures(rows["signature"])
+        self.bitmap = np.frombuffer(b"".join(map(bytes, rows["bitmap"])), np.uint64).reshape(-1, BITS // 64)
         self.after = self.size - self.place
 
     def pairs(self, start: int, end: int, group: np.ndarray, distance: int, similarity: int) -> np.ndarray:
-        """a, b, apart: pairs across blocks i and j of different components, within the distance.
+        """a, b, apart: pairs across blocks i and j of different components, within the distance, that bitmaps allow.
 
         `group` is i, j. Of a pair whose first common shingle is the key, at most as many are common as either has from
         there on; so a pair that is similar passes at its first common key, though it may not at others.
@@ -287,6 +301,9 @@ class Members:
             if len(others):
                 apart = (self.signature[others] != self.signature[at]).sum(1)
                 others, apart = others[apart <= distance], apart[apart <= distance]
+                alone = np.bitwise_count(self.bitmap[others] ^ self.bitmap[at]).sum(1, dtype=np.int64)
+                allowed = (100 + similarity) * alone <= (100 - similarity) * (self.size[others] + self.size[at])
+                others, apart = others[allowed], apart[allowed]
                 ends = np.minimum(self.cls[others], self.cls[at]), np.maximum(self.cls[others], self.cls[at])
                 found.append(np.stack([*ends, apart], 1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -450,7 +467,9 @@ class NearDuplicates:
         held = postings.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         held = written(held, "near-held")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        full = self.classes.select("cls", "n_shingles", "signature")
+        own = self.items.join(members, "cls", "left_semi").mapInPandas(bitmaps, "cls long, bitmap binary")
+        own = written(own.dropDuplicates(["cls"]), "near-bitmaps")
+        full = self.classes.select("cls", "n_shingles", "signature").join(own, "cls")
         rows = held.withColumn("other", F.explode(every)).select(
             "key", "cls", "component", "place", "block", F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j")).join(full, "cls")
@@ -470,18 +489,19 @@ class NearDuplicates:
     def settled(self, parts: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
         """The components once no link between two of them is untested.
 
-        A few of the nearest links between two components at a time: one that holds spares the others.
+        A few of the nearest links between two components at a time: one that holds spares the others. A link inside a
+        component stays inside, so each turn looks only at what the last one left.
         """
-        most = 1
+        most, rest = 1, links
         while True:
-            rest = written(self.between(links.join(tested, ["a", "b"], "left_anti"), parts), "near-rest")
+            rest = written(self.between(rest.select("a", "b", "apart").join(tested, ["a", "b"], "left_anti"), parts), "near-rest")
             if rest.isEmpty():
                 return parts
             some = Window.partitionBy("x", "y").orderBy("apart", "a", "b")
             chosen = rest.withColumn("nr", F.row_number().over(some)).where(F.col("nr") <= most).select("a", "b")
             chosen = written(chosen, "near-chosen")
             parts = self.joined(parts, chosen)
-            tested, most = written(tested.union(chosen), "near-tested"), most * 8
+            tested, most = chosen, most * 8
 
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, component_id, first_text (of the component's smallest id)."""
