@@ -5,9 +5,11 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from helpers import plan_of
 from samples import make_docs, odd_rows, texts
-from voltrail.llm.packing import Bins, pack_documents
+from voltrail.llm.packing import Bins, pack_documents, word_count
 
 
 @pytest.mark.parametrize("capacity,pieces", [(100, 4096), (40, 16)])
@@ -53,3 +55,10 @@ def test_groups_are_counted_in_pieces(spark):
     sizes = [r["n"] for r in pack_documents(docs, capacity=10, group_pieces=50).selectExpr(
         "split(bin_id, '-')[0] AS part").groupBy("part").count().toDF("part", "n").collect()]
     assert sum(sizes) == 800 and max(sizes) < 150
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "a"), (4, " A\x0b\x0cb  c\r\n"), (5, "\u0130\u00a0x \u3000 y\x1fz"), (6, "\x00 \x00")]
+    counted = make_docs(spark, rows).select("doc_id", word_count(F.col("text")).alias("n"))
+    assert {r["doc_id"]: r["n"] for r in counted.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 3, 5: 3, 6: 2}
+    assert "regexp_extract_all" not in plan_of(counted).lower() and "regexp_count" not in plan_of(counted).lower()

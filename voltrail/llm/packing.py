@@ -28,14 +28,21 @@ PACKED = ("doc_id long, piece int, start long, n_tokens long, source string, clu
           "position int, bin_tokens long")
 
 
+def plain_text(text: Column) -> Column:
+    """In lower case, with one space between words."""
+    return F.trim(F.regexp_replace(F.lower(text), rf"[{SPACE}]+", " "))
+
+
 def text_cluster(text: Column) -> Column:
     """Copies that agree but for case and white space share a cluster; empty texts are no copies of one another."""
-    plain = F.trim(F.regexp_replace(F.lower(text), rf"[{SPACE}]+", " "))
+    plain = plain_text(text)
     return F.when(plain != "", F.md5(plain))
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0)).cast("long")
+    """One more than the spaces between words: no list of the words is made, which would take many times the text."""
+    plain = plain_text(text)
+    return F.when(plain != "", F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).otherwise(0).cast("long")
 
 
 #: Stands for a null id on the way through pandas, which has no null among whole numbers.
