@@ -284,3 +284,11 @@ def test_a_bomb_is_unpacked_in_pieces(tmp_path):
     reader = open_archive(str(path))
     sizes = [len(p) for p in reader.content(next(reader.members()))]
     assert sum(sizes) == 40 * 1024 * 1024 and max(sizes) <= CHUNK_BYTES
+
+
+def test_a_failed_task_leaves_no_partial_file(spark, tmp_path):
+    path = make_zip(tmp_path / "raw" / "c.zip", [("a.txt", b"whole"), ("b.txt", b"payload")], zipfile.ZIP_STORED)
+    path.write_bytes(path.read_bytes().replace(b"payload", b"paYload", 1))
+    with pytest.raises(Exception, match="bad checksum"):
+        unpack_archives(archive_manifest(scan_archives(spark, str(tmp_path / "raw"))), str(tmp_path / "out")).collect()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.txt"]

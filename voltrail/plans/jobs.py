@@ -28,7 +28,7 @@ from voltrail.operators.rollups import (
     driving_mode_from_facts,
 )
 from voltrail.schema import READINGS_SCHEMA, SIGNAL_SCHEMA
-from voltrail.session import build_session, qualified, written
+from voltrail.session import build_session, fan_out, qualified, written
 from voltrail.sources import ledger
 from voltrail.sources.archives import archive_manifest, check_store, scan_archives, unpack_archives
 from voltrail.sources.envelopes import unpack_event_envelope
@@ -81,6 +81,8 @@ def unpack_messages(spark: SparkSession, messages: DataFrame, store: str, proces
     landed = is_landing_key(F.col("key"))
     files = keys.where(landed).select(
         path, F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(None).cast("long").alias("length"))
+    # The keys are few bytes to many archives, which one task would open one after the other.
+    files = files.repartition(fan_out(spark), "path")
     return _unpack(spark, files, keys.where(~landed).select(path), processed)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pandas as pd
-from pyarrow.fs import FileType
+from pyarrow.fs import FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,35 +170,40 @@ def unpack_archives(manifest: DataFrame, out: str) -> DataFrame:
 
     The manifest is used more than once: persist it, or read it from a table.
 
-    Writing happens when the result is computed. Each file is completed under a
-    name of its own and then takes the place of an earlier one, so a task that is
-    run again repeats its work without harm.
+    Writing happens when the result is computed. Each file is completed in a
+    folder that only its task writes to and then takes the place of an earlier one,
+    so a task that is run again repeats its work without harm, and tasks meet in
+    `out` only for the one move.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, made = [], set()
-        for reader, member, row in _opened(batches):
-            store, target = filesystem(row.target)
-            folder = target.rsplit("/", 1)[0]
-            if folder not in made:
-                store.create_dir(folder, recursive=True)
-                made.add(folder)
-            partial = f"{folder}/_writing-{uuid.uuid4().hex}"
-            size = 0
-            with store.open_output_stream(partial) as sink:
-                for chunk in checked_chunks(reader, member):
-                    sink.write(chunk)
-                    size += len(chunk)
-            # Not every store moves onto a name that exists.
-            if store.get_file_info(target).type != FileType.NotFound:
-                store.delete_file(target)
-            store.move(partial, target)
-            rows.append((row.archive, row.member_no, row.filename, row.target, size))
-            if len(rows) >= _ROWS_PER_BATCH:
+        rows, made = [], {}
+        try:
+            for reader, member, row in _opened(batches):
+                store, target = filesystem(row.target)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    made[folder] = store, f"{folder}/_writing-{uuid.uuid4().hex}"
+                    store.create_dir(made[folder][1], recursive=True)
+                partial = f"{made[folder][1]}/member"
+                size = 0
+                with store.open_output_stream(partial) as sink:
+                    for chunk in checked_chunks(reader, member):
+                        sink.write(chunk)
+                        size += len(chunk)
+                # Not every store moves onto a name that exists.
+                if not isinstance(store, LocalFileSystem) and store.get_file_info(target).type != FileType.NotFound:
+                    store.delete_file(target)
+                store.move(partial, target)
+                rows.append((row.archive, row.member_no, row.filename, row.target, size))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
                 yield pd.DataFrame(rows, columns=columns)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+        finally:
+            for store, own in made.values():
+                store.delete_dir(own)
 
     columns = ["archive", "member_no", "filename", "target", "bytes"]
     winners = unpack_plan(manifest, qualified(manifest.sparkSession, out))
