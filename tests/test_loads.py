@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import at, make_readings, same_rows
+from helpers import at, make_readings, plan_of, same_rows
 from registry.inputs import as_raw, rounded
 from voltrail.operators.rollups import driving_mode_analysis, vehicle_daily_summary
 from voltrail.plans import jobs
 from voltrail.session import work_path
 from voltrail.sources import ledger
+from voltrail.sources.readings import read_if_there
 from voltrail.sources.tables import DAY, read_table, temp_name
 
 
@@ -77,3 +78,8 @@ def test_only_changed_days_are_refreshed(spark):
                                 ("driving_mode_analysis", driving_mode_analysis, "avg_speed_in_mode")):
         assert same_rows(rounded(spark.table(f"{name}.{made}"), double), rounded(fresh(rows), double))
     assert rows.where(F.col("ts").isNull()).count() == 2
+
+
+def test_folders_that_are_not_there_cost_no_task(spark, tmp_path):
+    none = read_if_there(spark, str(tmp_path / "none"), "id long")
+    assert "ExistingRDD" not in plan_of(spark.range(3).union(none)) and none.count() == 0

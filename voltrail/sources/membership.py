@@ -30,6 +30,7 @@ from voltrail.functions.signals import date_of
 from voltrail.operators.dedup import IDENTITY, one_per_identity, row_identity
 from voltrail.schema import READINGS_COLUMNS, READINGS_SCHEMA
 from voltrail.session import make_folder, path_exists, subfolders, written
+from voltrail.sources.readings import no_rows
 from voltrail.sources.tables import DAY, append_counted, read_days, read_table, with_day
 from voltrail.streaming.incremental import batch_path, compact_batches, read_batches
 
@@ -96,7 +97,7 @@ class KeyIndex:
         self.folder = f"{table_path.rstrip('/')}/_keys/of-{buckets}"
 
     def _like(self, kind: str) -> DataFrame:
-        return self.spark.createDataFrame([], KEYS if kind == "keys" else SKETCHES)
+        return no_rows(self.spark, KEYS if kind == "keys" else SKETCHES)
 
     def _out(self, kind: str, writer: str | None = None) -> str:
         return f"{self.folder}/{writer or self.writer}/{kind}"

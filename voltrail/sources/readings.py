@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltrail.operators.cleaning import add_epoch_key, conform
@@ -56,6 +57,11 @@ def read_or_sample(
     return prepare(drops)
 
 
+def no_rows(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows, which the optimizer knows: a union with them runs no Python task to find that out."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
+
+
 def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The Parquet folder, or no rows before the first write."""
     try:
@@ -63,4 +69,4 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str) ->
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
