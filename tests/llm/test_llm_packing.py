@@ -62,3 +62,9 @@ def test_words_are_counted_without_a_list_of_them(spark):
     counted = make_docs(spark, rows).select("doc_id", word_count(F.col("text")).alias("n"))
     assert {r["doc_id"]: r["n"] for r in counted.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 3, 5: 3, 6: 2}
     assert "regexp_extract_all" not in plan_of(counted).lower() and "regexp_count" not in plan_of(counted).lower()
+
+
+def test_texts_are_read_once(spark):
+    """Neither counting the groups nor packing them cuts the texts again."""
+    packed = pack_documents(make_docs(spark, [(i, t) for i, t in enumerate(texts(20))]), capacity=40, group_pieces=16)
+    assert "regexp_replace" not in plan_of(packed).lower() and packed.count() >= 20

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm.common import SPACE
-from voltrail.session import send_to_tasks
+from voltrail.session import send_to_tasks, written
 
 PACKED = ("doc_id long, piece int, start long, n_tokens long, source string, cluster string, bin_id string, "
           "position int, bin_tokens long")
@@ -147,10 +147,11 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, group_pieces: int = 40
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     cut = cut.withColumn("start", F.col("piece").cast("long") * capacity).withColumn(
         "n_tokens", F.least(F.col("length") - F.col("start"), F.lit(capacity))
-    ).withColumn("cut", F.when(last > 0, F.col("key").cast("string")))
-    total = sized.select(F.sum(last.cast("long") + 1)).first()[0] or 0
-    parts = max(1, -(-total // group_pieces))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(parts)))
+    ).withColumn("cut", F.when(last > 0, F.col("key").cast("string"))).withColumn("row", F.monotonically_increasing_id())
+    # Texts are read once: what follows needs their pieces only.
+    cut = written(cut.drop("length"), "packing-pieces")
+    parts = max(1, -(-cut.count() // group_pieces))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("key", "piece", "row"), F.lit(parts)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         return pack_group(group, capacity)[[c.split()[0] for c in PACKED.split(", ")]]
