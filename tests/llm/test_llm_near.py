@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from samples import make_docs, odd_rows, texts
-from voltrail.llm import near_dedup
+from voltrail.llm import graph, near_dedup
 from voltrail.llm.graph import components
 from voltrail.llm.near_dedup import NearDuplicates, distance_for, index_keys, key_places, near_duplicates
 
@@ -167,6 +167,26 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: 3 for i in (3, 5, *range(6, 40))}}
 
 
+@pytest.mark.parametrize("edges", [0, 60, 200_000])
+def test_few_edges_cost_no_rounds(spark, monkeypatch, edges):
+    """Rounds as long as more edges are left than a task follows, with the same components; few edges are written once."""
+    writes, written = [], graph.written
+    monkeypatch.setattr(graph, "TASK_EDGES", edges)
+    monkeypatch.setattr(graph, "written", lambda df, label: writes.append(label) or written(df, label))
+    links = [(i, i + 1) for i in range(100, 160)] + [(i, 5) for i in range(6, 40)] + [(3, 5), (5, 3), (7, 7), (-2, 3)]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == 98 and {r["node"]: r["component"] for r in found} == {
+        **{i: 100 for i in range(100, 161)}, **{i: -2 for i in (-2, 3, 5, *range(6, 40))}}
+    assert len(writes) == 1 if edges == 200_000 else len(writes) > 4
+
+
+def test_a_turn_looks_up_no_known_sets(spark, monkeypatch):
+    labels, written = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, label: labels.append(label) or written(df, label))
+    near_duplicates(make_docs(spark, [(i, " ".join(f"w{j}" for j in range(40 + i % 4))) for i in range(20)])).count()
+    assert labels.count("near-sure") >= 1 and labels.count("near-needed") <= 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(make_docs(spark, [])).count() == 0
     assert got(near_duplicates(make_docs(spark, [(1, None), (2, "")]))) == [("1", 0, "1"), ("2", 0, "2")]

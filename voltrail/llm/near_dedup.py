@@ -52,6 +52,7 @@ BITS = 2048
 PIVOT_PAIRS = 4096
 STAR_ROWS = 4096
 CHUNK_SHINGLES = 500_000
+TASK_LINKS = 5000
 NO_ID = -(2**63)
 
 SETS = "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary"
@@ -389,16 +390,20 @@ class NearDuplicates:
         self.items = more if self.items is None else self.items.unionByName(more)
         return self.items
 
-    def confirm(self, links: DataFrame) -> DataFrame:
-        """The links whose full sets are similar. A class with many links meets them in parts of PIVOT_PAIRS."""
-        similarity = self.similarity
-        items = self.sets_of(links)
+    def confirm(self, links: DataFrame, count: int) -> DataFrame:
+        """The `count` links whose full sets are similar. A class with many links meets them in parts of PIVOT_PAIRS.
+
+        The callers have cut the sets of all links.
+        """
+        similarity, items, tasks = self.similarity, self.items, math.ceil(count / TASK_LINKS) or 1
         dealt = links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).cast("int").alias("parts"))
-        dealt = written(dealt, "near-dealt")
+        dealt = written(dealt.coalesce(tasks), "near-dealt")
         left = items.join(dealt, F.col("cls") == F.col("a")).select(
             "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("items").alias("items_a"))
         right = items.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
-        pairs = links.join(dealt, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
+        pairs = links.join(dealt, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        # Written, so that Spark knows their size and moves no sets to a few pairs.
+        pairs = written(pairs.select("a", "b", "part"), "near-pairs")
 
         @F.pandas_udf("boolean")
         def similar(items_a: pd.Series, items_b: pd.Series) -> pd.Series:
@@ -479,9 +484,10 @@ class NearDuplicates:
 
     def joined(self, parts: DataFrame, links: DataFrame) -> DataFrame:
         """The components after the links that are confirmed."""
-        if links.isEmpty():
+        count = links.count()
+        if not count:
             return parts
-        sure = written(self.confirm(links), "near-sure")
+        sure = written(self.confirm(links, count), "near-sure")
         if sure.isEmpty():
             return parts
         return written(components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(sure)), "near-parts")
