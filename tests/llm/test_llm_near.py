@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from samples import make_docs, odd_rows, texts
@@ -187,6 +188,45 @@ def test_a_turn_looks_up_no_known_sets(spark, monkeypatch):
     assert labels.count("near-sure") >= 1 and labels.count("near-needed") <= 2
 
 
+@pytest.mark.parametrize("bits", [0, 7])
+def test_stars_leave_in_small_pieces(bits):
+    state = np.random.default_rng(3)
+    signatures = state.integers(0, 2**16, (1500, near_dedup.PLACES), np.uint16)
+    signatures[700:900] = signatures[5]
+    classes = state.permutation(1500).astype(np.int64)
+    rows = pd.DataFrame({"cls": classes, "signature": [x.tobytes() for x in signatures]})
+    held = {}
+    for cls, own in zip(classes.tolist(), index_keys(signatures, 80).tolist()):
+        for key in own:
+            held.setdefault(key, []).append(cls)
+    least, links, sizes = {}, set(), []
+    for piece in near_dedup.local_stars(iter([rows]), 80, bits):
+        links |= set(piece.loc[piece["a"].notna(), ["a", "b"]].itertuples(index=False, name=None))
+        groups = piece[piece["bucket"].notna()]
+        keys = [near_dedup.unpack_sorted(x) for x in groups["keys"]]
+        sizes.append(sum(map(len, keys)))
+        for bucket, own, firsts in zip(groups["bucket"], keys, groups["least"]):
+            assert not bits or (own >> np.uint64(64 - bits) == bucket).all()
+            least |= dict(zip(own.tolist(), near_dedup.unpack(firsts, np.int64).tolist()))
+    assert least == {key: min(own) for key, own in held.items()}
+    assert links == {(min(own), cls) for own in held.values() for cls in own if cls != min(own)}
+    assert not bits or max(sizes) < 100_000
+
+
+def test_sets_go_to_tasks_in_small_batches(spark, monkeypatch):
+    seen = []
+    confirm = NearDuplicates.confirm
+
+    def watched(self, links, count):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return confirm(self, links, count)
+
+    monkeypatch.setattr(NearDuplicates, "confirm", watched)
+    rows = [(i, t + " x" * (i % 2)) for i, t in enumerate(t for t in texts(6, 4, (60, 90)) for _ in range(2))]
+    near_duplicates(make_docs(spark, rows), 2).collect()
+    assert set(seen) == {str(near_dedup.TEXT_ROWS)}
+
+
 def test_empty_table(spark):
     assert near_duplicates(make_docs(spark, [])).count() == 0
     assert got(near_duplicates(make_docs(spark, [(1, None), (2, "")]))) == [("1", 0, "1"), ("2", 0, "2")]

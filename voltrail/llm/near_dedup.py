@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from voltrail.llm import blobs
 from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
 from voltrail.llm.graph import components
-from voltrail.session import arrow_rows, fan_out, send_to_tasks, work_folders_removed, written
+from voltrail.session import arrow_rows, fan_out, large_rows_written, send_to_tasks, work_folders_removed, written
 
 SIMILARITY = 80
 PLACES, CHUNKS = 64, 10
@@ -51,6 +51,7 @@ BLOCK = 1024
 BITS = 2048
 PIVOT_PAIRS = 4096
 STAR_ROWS = 4096
+PIECE_KEYS = 65_536
 CHUNK_SHINGLES = 500_000
 TASK_LINKS = 5000
 NO_ID = -(2**63)
@@ -167,23 +168,33 @@ STARS = "bucket long, keys binary, least binary, a long, b long"
 
 
 def local_stars(batches: Iterator[pd.DataFrame], similarity: int, bits: int) -> Iterator[pd.DataFrame]:
-    """Per batch: links to the smallest class of each key, and that class for the bucket that owns the key."""
+    """Per batch: links to the smallest class of each key, and that class for the bucket that owns the key.
+
+    They leave in pieces of about PIECE_KEYS links or keys, as a piece passes through memory whole.
+    """
     for batch in (whole.iloc[at:at + STAR_ROWS] for whole in batches for at in range(0, len(whole), STAR_ROWS)):
+        batch = batch.sort_values("cls")
         classes = batch["cls"].to_numpy(np.int64)
         keys = index_keys(_signatures(batch["signature"]), similarity)
-        flat, owner = keys.ravel(), np.repeat(classes, keys.shape[1])
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
+        flat, width = keys.ravel(), keys.shape[1]
+        # Stable, so that classes ascend under each key.
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], classes[order // width]
         starts = _starts(flat)
         least = np.repeat(owner[starts], np.diff(np.append(starts, len(flat))))
-        pairs = np.unique(np.stack([least, owner], 1)[least != owner], axis=0)
-        yield _rows(a=pairs[:, 0], b=pairs[:, 1])
+        apart = least != owner
+        pairs = np.unique(np.stack([least[apart], owner[apart]], 1), axis=0)
+        del keys, order, least, apart
+        for at in range(0, len(pairs), PIECE_KEYS):
+            yield _rows(a=pairs[at:at + PIECE_KEYS, 0], b=pairs[at:at + PIECE_KEYS, 1])
         flat, owner = flat[starts], owner[starts]
         bucket = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
-        cuts = _starts(bucket)[1:]
-        yield _rows(
-            bucket=bucket[np.append(0, cuts)], keys=[pack_sorted(x) for x in np.split(flat, cuts)],
-            least=[pack(x) for x in np.split(owner, cuts)])
+        cuts = _starts(bucket)
+        for own in np.split(cuts, _starts(cuts // PIECE_KEYS)[1:]):
+            end = cuts[np.searchsorted(cuts, own[-1]) + 1] if own[-1] < cuts[-1] else len(flat)
+            yield _rows(
+                bucket=bucket[own], keys=[pack_sorted(x) for x in np.split(flat[own[0]:end], own[1:] - own[0])],
+                least=[pack(x) for x in np.split(owner[own[0]:end], own[1:] - own[0])])
 
 
 def _rows(**columns) -> pd.DataFrame:
@@ -352,7 +363,7 @@ class NearDuplicates:
         indexed = self.classes.where(F.col("n_shingles") >= least_size).select("cls", "signature")
         similarity = self.similarity
         bits = max(0, math.ceil(math.log2(max(1, indexed.count() * len(key_places(similarity)) / BUCKET_KEYS))))
-        local = written(indexed.mapInPandas(lambda b: local_stars(b, similarity, bits), STARS), "near-stars")
+        local = large_rows_written(indexed.mapInPandas(lambda b: local_stars(b, similarity, bits), STARS), "near-stars")
         across = local.where("bucket IS NOT NULL").select("bucket", "keys", "least").groupBy("bucket").applyInPandas(
             join_stars, "a long, b long")
         return written(local.where("a IS NOT NULL").select("a", "b").union(across).distinct(), "near-stars")
@@ -385,8 +396,8 @@ class NearDuplicates:
         needed = needed.hint("merge") if self.items is None else needed
         texts = self.texts.join(needed, ["doc_id", "text_key"]).select("cls", "set_key", "text")
         with arrow_rows(texts.sparkSession, TEXT_ROWS):
-            cut = written(texts.mapInPandas(lambda b: packed_sets(b, words), "cls long, items binary"), "near-cut")
-        more = written(cut.dropDuplicates(["cls"]), "near-items")
+            cut = large_rows_written(texts.mapInPandas(lambda b: packed_sets(b, words), "cls long, items binary"), "near-cut")
+        more = large_rows_written(cut.dropDuplicates(["cls"]), "near-items")
         self.items = more if self.items is None else self.items.unionByName(more)
         return self.items
 
@@ -447,7 +458,7 @@ class NearDuplicates:
         held = self.classes.join(members, "cls", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
         chunks, bits = math.ceil(held / CHUNK_SHINGLES) or 1, math.ceil(math.log2(max(1, held / BUCKET_KEYS)))
         dealt = items.join(members, "cls").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks)))
-        dealt = written(dealt.select("chunk", "cls", "component", "items"), "near-dealt")
+        dealt = large_rows_written(dealt.select("chunk", "cls", "component", "items"), "near-dealt")
         asked = written(dealt.groupBy("chunk").applyInPandas(
             lambda g: ask_counts(g, bits), "bucket long, chunk long, keys binary, counts binary"), "near-asked")
         counts = written(
@@ -473,7 +484,8 @@ class NearDuplicates:
         held = written(held, "near-held")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         own = self.items.join(members, "cls", "left_semi").mapInPandas(bitmaps, "cls long, bitmap binary")
-        own = written(own.dropDuplicates(["cls"]), "near-bitmaps")
+        with arrow_rows(own.sparkSession, TEXT_ROWS):
+            own = written(own.dropDuplicates(["cls"]), "near-bitmaps")
         full = self.classes.select("cls", "n_shingles", "signature").join(own, "cls")
         rows = held.withColumn("other", F.explode(every)).select(
             "key", "cls", "component", "place", "block", F.least("block", "other").alias("i"),
@@ -487,7 +499,8 @@ class NearDuplicates:
         count = links.count()
         if not count:
             return parts
-        sure = written(self.confirm(links, count), "near-sure")
+        with arrow_rows(links.sparkSession, TEXT_ROWS):
+            sure = written(self.confirm(links, count), "near-sure")
         if sure.isEmpty():
             return parts
         return written(components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(sure)), "near-parts")
