@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm import latent
+from voltrail.llm import latent, slices
 from voltrail.llm.latent import Numbers, decompose, document_frequencies, numbers_of, weighted, words_of
+from voltrail.llm.slices import by_slices
 from voltrail.session import send_to_tasks
 
 STEP = 16
@@ -43,7 +44,8 @@ MIN_WORDS = 5
 ITEM_BLOCK, PART_ITEMS = 2048, 16_384
 # Words of a passage that together hold less than this share of its weight, the commonest, are looked at last.
 COMMON = 0.2
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+WINDOWS = 256
 
 
 def passage_starts(words: int) -> range:
@@ -208,8 +210,8 @@ class Matcher:
         found = []
         # A window is no shorter than the root of its words' squared weights.
         likely = np.flatnonzero(most >= (COSINE - 1e-6) * np.sqrt(whole))
-        for at in range(0, len(likely), 1024):
-            part = likely[at:at + 1024]
+        for at in range(0, len(likely), WINDOWS):
+            part = likely[at:at + WINDOWS]
             near = np.nonzero(self._images(ids, starts[part], ends[part]) @ self.passages.T >= COSINE)
             for row, passage in zip(*near):
                 i = part[row]
@@ -276,15 +278,13 @@ class Matcher:
 
 FIELDS = ("item_id", "first_word", "last_word", "share")
 MATCHES = "array<struct<item_id:long,first_word:long,last_word:long,share:double>>"
+FOUND = pa.list_(pa.struct([(name, pa.float64() if name == "share" else pa.int64()) for name in FIELDS]))
 
 
-def match_texts(texts: pd.Series, numbers: Numbers, matchers: list[Matcher]) -> list[list[dict]]:
-    out = []
-    for at in range(0, len(texts), 1000):
-        ids = [numbers_of(t, numbers) for t in texts.iloc[at:at + 1000]]
-        found = [matcher.matches(ids) for matcher in matchers]
-        out += [[dict(zip(FIELDS, hit)) for hits in own for hit in hits] for own in zip(*found)]
-    return out
+def match_texts(texts: list[str], numbers: Numbers, matchers: list[Matcher]) -> list[list[dict]]:
+    ids = [numbers_of(t, numbers) for t in texts]
+    found = [matcher.matches(ids) for matcher in matchers]
+    return [[dict(zip(FIELDS, hit)) for hits in own for hit in hits] for own in zip(*found)]
 
 
 def _part(texts: DataFrame, items: DataFrame, text: Column) -> Column | None:
@@ -302,18 +302,18 @@ def _part(texts: DataFrame, items: DataFrame, text: Column) -> Column | None:
     features, basis = decompose(passages, idf, RANK)
     matchers = [Matcher.of(made[at:at + ITEM_BLOCK], features, basis, idf) for at in range(0, len(made), ITEM_BLOCK)]
 
-    @F.pandas_udf(MATCHES)
-    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(MATCHES)
+    def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers = Numbers(known)
         for batch in batches:
-            yield pd.Series(match_texts(batch, numbers, matchers), dtype=object)
+            yield by_slices(lambda texts: match_texts(texts, numbers, matchers), FOUND, batch)
 
     return matched(text)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches") -> DataFrame:
     """All rows and columns of `docs`, each row with what its own text holds of the benchmark."""
-    for module in (__name__, latent.__name__):
+    for module in (__name__, latent.__name__, slices.__name__):
         send_to_tasks(module)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"))

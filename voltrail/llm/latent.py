@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltrail.session import TEXT_ROWS, arrow_rows
+
 FOREIGN = 1 << 16
 STRIPPED = ".,;:!?\"'()[]{}"
 
@@ -71,7 +73,9 @@ def document_frequencies(texts: DataFrame, known: dict[str, int]) -> tuple[np.nd
 
     sums = texts.select("text").mapInPandas(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     found = np.zeros(size + 1, np.int64)
-    for number, n in sums.collect():
+    with arrow_rows(texts.sparkSession, TEXT_ROWS):
+        rows = sums.collect()
+    for number, n in rows:
         found[number] = n
     return found[:size], int(found[size])
 

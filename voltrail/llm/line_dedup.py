@@ -21,12 +21,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm import cuckoo
+from voltrail.llm import cuckoo, slices
 from voltrail.llm.common import SPACE, ascii_lower
 from voltrail.llm.cuckoo import CuckooFilter
+from voltrail.llm.slices import by_slices
 from voltrail.session import send_to_tasks, work_folders_removed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -34,6 +36,7 @@ SHARD_KEYS = 500_000
 BATCHES = 4
 FILTERS = "shard int, filter binary"
 NO_ID = -(2**63)
+SPLIT = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
 def line_key(line: Column) -> Column:
@@ -118,7 +121,7 @@ class LineIndex:
 
     @classmethod
     def _first(cls, refs: DataFrame, shard_keys: int) -> "LineIndex":
-        for module in (__name__, cuckoo.__name__):
+        for module in (__name__, cuckoo.__name__, slices.__name__):
             send_to_tasks(module)
         none = refs.sparkSession.createDataFrame([], FILTERS)
         return cls(refs, written(_count(refs), "line-counts"), none, 0, shard_keys)._with_room(0)
@@ -134,7 +137,7 @@ class LineIndex:
     def _built(self, shards: int) -> "LineIndex":
         """The index with filters made anew, in so many shards."""
         index, room = replace(self, shards=shards), self._room
-        filters = index._sharded(self.counts.select("key")).groupBy("shard").applyInPandas(
+        filters = index._sharded(self.counts.select("key")).drop("key").groupBy("shard").applyInPandas(
             lambda group: _build(group, room), FILTERS)
         return replace(index, filters=written(filters, "line-filters"))
 
@@ -154,7 +157,7 @@ class LineIndex:
 
     def _told(self, keys: DataFrame, gone: bool) -> "LineIndex":
         """The index after its filters learned of new or gone keys; filters of other shards stay as they are."""
-        room, keys = self._room, written(self._sharded(keys), "line-changed")
+        room, keys = self._room, written(self._sharded(keys).drop("key"), "line-changed")
         shards = keys.select("shard").distinct()
         changed = written(
             keys.groupBy("shard").cogroup(self.filters.join(shards, "shard", "left_semi").groupBy("shard"))
@@ -235,12 +238,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     with work_folders_removed(docs.sparkSession) as kept:
         drops = kept(written(LineIndex.loaded(line_refs(docs, min_chars)).drops(min_docs), "line-drops"))
 
-    @F.pandas_udf("struct<kept:string,n_lines:long,n_dropped:long>")
-    def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        rows = [
-            split_lines(t or "", set(map(bytes, k)) if k is not None else set(), min_chars) for t, k in zip(texts, keys)
-        ]
-        return pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
+    def split(texts: list[str | None], keys: list[list[bytes] | None]) -> list[tuple[str, int, int]]:
+        return [split_lines(t or "", set(k or ()), min_chars) for t, k in zip(texts, keys)]
+
+    @F.arrow_udf("struct<kept:string,n_lines:long,n_dropped:long>")
+    def apply(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return by_slices(split, SPLIT, texts, keys)
 
     own = docs.columns
     marked = docs.withColumn("_line_doc", F.coalesce("doc_id", F.lit(NO_ID)))

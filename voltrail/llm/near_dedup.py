@@ -40,13 +40,12 @@ from pyspark.sql.window import Window
 from voltrail.llm import blobs
 from voltrail.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
 from voltrail.llm.graph import components
-from voltrail.session import arrow_rows, fan_out, large_rows_written, send_to_tasks, work_folders_removed, written
+from voltrail.session import TEXT_ROWS, arrow_rows, fan_out, large_rows_written, send_to_tasks, work_folders_removed, written
 
 SIMILARITY = 80
 PLACES, CHUNKS = 64, 10
 MISS = 1.25e-6
 BUCKET_KEYS = 250_000
-TEXT_ROWS = 1000
 BLOCK = 1024
 BITS = 2048
 PIVOT_PAIRS = 4096
