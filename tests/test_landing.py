@@ -1,3 +1,4 @@
+import hashlib
 import io
 import os
 import struct
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import as_dicts, plan_of
+from registry.archive_queries import QUERIES
+from registry.inputs import TABLES
 from voltrail.functions.content import MAGIC_NUMBERS, digests
 from voltrail.operators import members as M
 from voltrail.plans import jobs
@@ -20,6 +23,7 @@ from voltrail.sources.archives import (
     landed_archives,
     scan_archives,
     unpack_archives,
+    unpacked_files,
     verify_member_crc,
 )
 from voltrail.sources.containers import CHUNK_BYTES, filesystem
@@ -129,6 +133,33 @@ def test_messages_to_files(spark, tmp_path):
     assert [r["path"].rsplit("/", 2)[1:] for r in as_dicts(done.skipped)] == [["logs", "x.zip"]]
 
 
+def test_unpacked_files_are_read_by_their_log(spark, landing, tmp_path):
+    """Each once, empty ones too; one that is gone gives no row."""
+    out = tmp_path / "out put"
+    log = unpack_archives(archive_manifest(scan_archives(spark, str(landing))), str(out)).persist()
+    assert log.count() == 3
+    (out / "stray.txt").write_text("not in the log")
+    read = unpacked_files(log.union(log))
+    assert read.inputFiles() == log.inputFiles()
+    content = {"one.txt": [b"ONE", b"one"], "two.txt": [b"two" * 1000], "empty.txt": [b""]}
+    rows = as_dicts(read)
+    assert len(rows) == 3 and all(bytes(r["content"]) in content[r["path"].rsplit("/", 1)[1]] for r in rows)
+    (out / "two.txt").unlink()
+    assert {r["path"].rsplit("/", 1)[1] for r in as_dicts(unpacked_files(log))} == {"one.txt", "empty.txt"}
+    log.unpersist()
+
+
+def test_messages_query_reads_what_it_unpacked_without_a_listing(spark, tmp_path):
+    """No file that was unpacked is known to the driver; a document without text is unpacked like any other."""
+    documents = [(i, "text %d" % i if i % 5 else "", "en", "s", 6) for i in range(70)]
+    spark.createDataFrame(documents, TABLES["documents"]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "h")], TABLES["pages"]).write.parquet(f"{tmp_path}/pages.parquet")
+    read = QUERIES["unpack_from_messages"].run(spark, f"file://{tmp_path}")
+    assert not [f for f in read.inputFiles() if f.endswith(".txt")]
+    assert {(r["filename"], r["md5"]) for r in as_dicts(read)} == {
+        (f"doc-{no}.txt", hashlib.md5(text.encode()).hexdigest()) for no, text, *_ in documents}
+
+
 def test_a_store_that_tasks_cannot_open(spark):
     with pytest.raises(RuntimeError, match="viewfs://x/y"):
         jobs.unpack_landing(spark, "viewfs://x/y", "/tmp/nowhere")

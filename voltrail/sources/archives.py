@@ -43,6 +43,7 @@ MANIFEST_SCHEMA = (
 CONTENT_SCHEMA = "archive string, member_no bigint, filename string, part bigint, content binary"
 CHECK_SCHEMA = "archive string, member_no bigint, filename string, expected_crc32 bigint, actual_crc32 bigint, ok boolean"
 UNPACK_SCHEMA = "archive string, member_no bigint, filename string, target string, bytes bigint"
+UNPACKED_SCHEMA = "path string, content binary"
 
 RANGE_BYTES = 64 * 1024 * 1024
 _ROWS_PER_BATCH = 4_096
@@ -210,6 +211,36 @@ def unpack_archives(manifest: DataFrame, out: str) -> DataFrame:
     return _spread(winners).select("archive", *Member._fields, "target").mapInPandas(write, UNPACK_SCHEMA)
 
 
+def unpacked_files(log: DataFrame) -> DataFrame:
+    """(path, content) of every file that a log of unpacking names, each once; a file that is gone gives no row.
+
+    The log takes the place of a listing, which the driver would hold whole and make into tasks of a few files each.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for path in batch["path"]:
+                store, inner = filesystem(path)
+                try:
+                    with store.open_input_stream(inner) as source:
+                        rows.append((path, source.read()))
+                except FileNotFoundError:
+                    continue
+                size += len(rows[-1][1])
+                if size >= CHUNK_BYTES or len(rows) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["path", "content"]
+    # The names are few bytes to many files.
+    paths = log.select(F.col("target").alias("path")).repartition(fan_out(log.sparkSession), "path").distinct()
+    return paths.mapInPandas(read, UNPACKED_SCHEMA)
+
+
 def landed_archives(files: DataFrame) -> DataFrame:
     return files.where(is_landing_key(F.col("path")))
 
