@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 from pathlib import Path
 
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import as_dicts, at, make_readings, same_rows
-from registry.inputs import as_raw, readings, rounded
+from registry.inputs import TABLES, as_raw, readings, rounded
+from registry.stream_queries import QUERIES
 from test_landing import make_zip
 from voltrail.operators.filters import low_battery_alerts
 from voltrail.operators.measures import trend_hourly_fuel_speed
@@ -143,6 +145,20 @@ def test_arrivals_are_unpacked_once(spark, tmp_path):
     assert (tmp_path / "processed" / "one.txt").read_bytes() == b"22"
 
 
+def test_arrivals_query_reads_what_it_wrote_without_a_listing(spark, tmp_path):
+    """No file that was unpacked is known to the driver. One archive has a name twice, one document no text."""
+    documents = [(i, "text %d" % i if i % 5 else "", "en", "s", 6) for i in range(70)]
+    spark.createDataFrame([*documents, (69, "text 69", "en", "s", 6)], TABLES["documents"]).coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    arrived = QUERIES["ingest_arrivals_stream"].run(spark, f"file://{tmp_path}")
+    assert not [f for f in arrived.inputFiles() if ".txt" in f]
+    want = {(f"docs-{no // 64}.zip", f"en/doc-{no}.txt", f"doc-{no}.txt", len(text), hashlib.md5(text.encode()).hexdigest())
+            for no, text, *_ in documents}
+    again = ("docs-1.zip", "en/doc-69.txt", "doc-69.txt_0", 7, hashlib.md5(b"text 69").hexdigest())
+    got = [(r["archive"], r["filename"], r["target"], r["bytes"], r["md5"]) for r in as_dicts(arrived)]
+    assert len(got) == 71 and set(got) == want | {again}
+
+
 def test_the_landing_zone_empties(spark, tmp_path):
     landing, archive, out = tmp_path / "raw", tmp_path / "done", str(tmp_path / "processed")
     log, checkpoint = work_path(spark, "log"), work_path(spark, "checkpoint")
